@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 # The patterns that define tokens.
 WORD = r"[\p{L}\p{N}]+(?:[-_.][\p{L}\p{N}]+)*"
 PLAIN_WORD = r"[\p{L}\p{N}]+"
 DOTTED_NUMBER = r"^\d+(\.\d+)+$"
+SIMPLE = r"^\p{Lu}?[\p{Ll}]+$|^\p{Lu}+$|^\p{N}+$"
 CAMEL = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 # Characters that count as the same when quotes are matched.
@@ -24,12 +27,19 @@ def tokens(text: Column) -> Column:
     """Lower-cased words; of compounds also their parts, and of those the camel-case pieces. Order and repeats stay.
     The text is expected in NFC (see `nfc`)."""
 
+    none = F.array().cast("array<string>")
+
+    def of_part(part: Column) -> Column:
+        return F.when(part.rlike(CAMEL), F.transform(F.split(part, CAMEL), F.lower)).otherwise(none)
+
+    def of_parts(parts: Column) -> Column:
+        return F.concat(F.when(F.size(parts) > 1, F.transform(parts, F.lower)).otherwise(none), F.flatten(F.transform(parts, of_part)))
+
     def of_word(word: Column) -> Column:
-        parts = F.split(word, "[-_.]")
-        lowered = F.transform(parts, F.lower)
-        pieces = F.flatten(F.transform(parts, lambda p: F.when(p.rlike(CAMEL), F.transform(F.split(p, CAMEL), F.lower)).otherwise(F.array().cast("array<string>"))))
-        more = F.concat(F.when(F.size(parts) > 1, lowered).otherwise(F.array().cast("array<string>")), pieces)
-        return F.concat(F.array(F.lower(word)), F.when(word.rlike(DOTTED_NUMBER), F.array().cast("array<string>")).otherwise(more))
+        own = F.array(F.lower(word))
+        # most words are simple; what the others add is computed from parts that are split once
+        compound = F.when(word.rlike(DOTTED_NUMBER), own).otherwise(F.concat(own, let(F.split(word, "[-_.]"), of_parts)))
+        return F.when(word.rlike(SIMPLE), own).otherwise(compound)
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of_word))
 

@@ -228,7 +228,7 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, id, grade): passages of 10 words and more meet documents on their first inner window of eight words;
     a document that holds the whole passage is primary. An equi-join finds the candidates."""
     passages = asked(spark, sf_dir).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 10).select("query_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 2, 8), " ").alias("window"))
-    listed = docs(spark, sf_dir).select("id", F.explode(F.array_distinct(windows_of(T.words(F.col("text")), 8))).alias("window"))
+    listed = docs(spark, sf_dir).select("id", F.explode(F.array_distinct(V.let(T.words(F.col("text")), lambda w: windows_of(w, 8)))).alias("window"))
     pairs = listed.join(passages.select("query_id", "window"), "window").select("query_id", "id")
     wide = pairs.join(passages.select("query_id", "passage"), "query_id").join(docs(spark, sf_dir), "id")
     return wide.select("query_id", "id", F.when(F.contains("text", F.col("passage")), 2).otherwise(1).alias("grade"))
