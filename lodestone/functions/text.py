@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,17 +52,13 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), F.lit(0))
 
 
-def nfc(text: Column) -> Column:
-    """Unicode's composed form, which Spark has no function for: an Arrow batch at a time, once at ingest."""
-    import unicodedata
-
-    import pandas as pd
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
-    @F.pandas_udf("string")
-    def compose(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
-    return compose(text)
+def nfc(text: Column) -> Column:
+    """Unicode's composed form, which Spark has no function for: an Arrow batch at a time, once at ingest."""
+    return F.pandas_udf(_composed, "string")(text)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -95,7 +95,7 @@ class TreeBuilder(HTMLParser):
         self.open[-1].content.append(data)
 
 
-WHITE = re.compile(r"[\s﻿]+")
+WHITE = re.compile(r"[\s\ufeff]+")
 
 
 def squeeze(text: str) -> str:

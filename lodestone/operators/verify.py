@@ -31,7 +31,7 @@ class Normal:
             while end < len(source) and unicodedata.category(source[end])[0] == "M":
                 end += 1
             cluster = source[at:end]
-            if cluster[0].isspace() and not "\x1c" <= cluster[0] <= "\x1f" or cluster[0] == "﻿":
+            if cluster[0].isspace() and not "\x1c" <= cluster[0] <= "\x1f" or cluster[0] == "\ufeff":
                 if out:
                     space = (space[0] if space else at, end)
             else:
