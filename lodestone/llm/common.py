@@ -18,9 +18,8 @@ BATCH_BYTES = 8 << 20
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
+    if not base:  # no cluster has set one, as in tests
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -151,17 +151,17 @@ class PieceEncoder:
         self.sizes = [1 if self.model.is_byte(i) else None if self.model.is_unknown(i) else len(x.encode()) for i, x in enumerate(names)]
         # bytes of the text, where the normal form only marks spaces
         marks = [x.count("▁") for x in names]
-        self.by_word = self.normaliser.plain and all("▁" not in x.lstrip("▁") for x in names) and all(self.model.is_byte(i + self._first_byte()) for i in (0, 255))
+        self.by_word = self.normaliser.plain and "▁" in names and all("▁" not in x.lstrip("▁") for x in names)
         self.plain_sizes = [None if s is None else s - 2 * m for s, m in zip(self.sizes, marks, strict=True)]
+        self.mark = names.index("▁") if self.by_word else 0
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def _first_byte(self) -> int:
-        return next((i for i in range(self.model.get_piece_size()) if self.model.is_byte(i)), 0)
-
     def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             for word, ids in zip(part, self.model.encode([w[1:].decode() for w in part], num_threads=1), strict=True):
+                if word == b" ":  # a last space: the library has no mark for an empty text
+                    ids = [self.mark]
                 self.known[word] = array("I", ids).tobytes(), array("I", [self.plain_sizes[x] for x in ids]).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
