@@ -75,10 +75,10 @@ def chunk_stats(spark, sf_dir):
     return s.select("n", "median", "p10", "p90", *[r6(c).alias(c) for c in ("holds", "ends", "starts", "referenced")])
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, true AS holds, true AS small, true AS ordered, 0::BIGINT AS first FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '\\n\\n')")
+@query("SELECT doc_id::VARCHAR AS doc_id, true AS holds, true AS small, true AS ordered, 0::BIGINT AS first FROM documents WHERE length(text) > 0")
 def chunk_invariant(spark, sf_dir):
     """Of structure-aware chunks: offsets cut out their text, none is too large, none starts before its predecessor."""
-    d = documents(spark, sf_dir).where("length(text) > 0 AND NOT text RLIKE '\\n\\n'")
+    d = documents(spark, sf_dir).where("length(text) > 0")
     c = chunk.chunks(d).join(d.select("doc_id", F.col("text").alias("whole")), "doc_id")
     before = F.lag("char_start").over(Window.partitionBy("doc_id").orderBy("char_start", "char_end"))
     c = c.select("doc_id", "char_start", "token_count", (F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")).alias("holds"), (F.coalesce(before, F.lit(-1)) < F.col("char_start")).alias("ordered"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import bm25, dense, fuse, metrics
@@ -50,10 +51,10 @@ def plain_tokens(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query(f"SELECT doc_id, len(regexp_split_to_array(p, '[|]'))::BIGINT AS n_pieces, md5(p) AS digest FROM (SELECT doc_id, {sql.camel('text')} AS p FROM documents WHERE NOT contains(text, '|'))")
+@query(f"SELECT doc_id, len(string_split(p, '{sql.CUT}'))::BIGINT AS n_pieces, md5(p) AS digest FROM (SELECT doc_id, {sql.camel('text')} AS p FROM documents)")
 def camel_boundaries(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("|"))).select("doc_id", F.split("text", T.CAMEL).alias("p"))
-    return t.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join("p", "|")).alias("digest"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.split("text", T.CAMEL).alias("p"))
+    return t.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join("p", sql.CUT)).alias("digest"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY term")
@@ -272,7 +273,26 @@ def ablation_table(spark, sf_dir):
 @query(f"{_PER} SELECT retriever, '| ' || retriever || ' | ' || printf('%.1f', 100 * avg(recall_10)) || ' | ' || printf('%.3f', avg(mrr)) || ' |' AS line FROM pq WHERE kind <> 'refusal' GROUP BY retriever")
 def ablation_report(spark, sf_dir):
     means = metrics.ablation(scores(spark, sf_dir)).where("kind IS NULL")
-    return means.select("retriever", F.format_string("| %s | %.1f | %.3f |", "retriever", 100 * F.col("recall_10"), "mrr").alias("line"))
+    return means.select("retriever", display.report_row(F.col("retriever"), [(100 * F.col("recall_10"), "%.1f"), (F.col("mrr"), "%.3f")], F.col("n") > 0).alias("line"))
+
+
+@query(f"WITH {sql.bm25()} SELECT query_id, rank, lpad(rank::VARCHAR, 2, ' ') || '. ' || printf('%.3f', score) || '  ' || id || '  ' || substr(source, 1, 70) AS line, substr(regexp_replace(text, '\\n{{2,}}', chr(10), 'g'), 1, 600) AS preview FROM r JOIN documents ON doc_id = id WHERE rank <= 10")
+def hit_lines(spark, sf_dir):
+    top = bm25.search(docs(spark, sf_dir), asked(spark, sf_dir), 10)
+    wide = top.join(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id")
+    line = display.hit_line(F.col("rank"), F.col("score"), F.col("id").cast("string"), F.col("source"))
+    return wide.select("query_id", F.col("rank").cast("long").alias("rank"), line.alias("line"), display.preview(F.col("text")).alias("preview"))
+
+
+@query(f"WITH {sql.bm25()} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS share FROM r")
+def score_shares(spark, sf_dir):
+    return bm25.search(docs(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "id", r6(display.of_peak(F.col("score"), "query_id")).alias("share"))
+
+
+@query("SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start, round(value / sum(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
+def waterfall(spark, sf_dir):
+    start, share = display.waterfall(F.col("value"), ("user_id",), ("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", r6(start).alias("start"), r6(share).alias("share"))
 
 
 @query()

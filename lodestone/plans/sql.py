@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+#: A character of private use, which marks borders.
+CUT = "\ue000"
+
 
 def camel(p: str) -> str:
-    return rf"regexp_replace(regexp_replace({p}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1|\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1|\2', 'g')"
+    return rf"regexp_replace(regexp_replace({p}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1{CUT}\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1{CUT}\2', 'g')"
 
 
 def tokens(text: str) -> str:
     """The tokens of a text, as a list."""
     parts = "regexp_split_to_array(w, '[-_.]')"
     none = "[]::VARCHAR[]"
-    pieces = f"flatten(list_transform({parts}, lambda p: CASE WHEN contains({camel('p')}, '|') THEN list_transform(string_split({camel('p')}, '|'), lambda c: lower(c)) ELSE {none} END))"
+    pieces = f"flatten(list_transform({parts}, lambda p: CASE WHEN contains({camel('p')}, '{CUT}') THEN list_transform(string_split({camel('p')}, '{CUT}'), lambda c: lower(c)) ELSE {none} END))"
     more = f"list_concat(CASE WHEN len({parts}) > 1 THEN list_transform({parts}, lambda p: lower(p)) ELSE {none} END, {pieces})"
     return rf"flatten(list_transform(regexp_extract_all(coalesce({text}, ''), '[\p{{L}}\p{{N}}]+(?:[-_.][\p{{L}}\p{{N}}]+)*'), lambda w: list_concat([lower(w)], CASE WHEN regexp_full_match(w, '\d+(\.\d+)+') THEN {none} ELSE {more} END)))"
 

@@ -60,3 +60,14 @@ def summary(chunks: DataFrame) -> DataFrame:
     sizes = exact_quantiles(chunks.select("token_count"), "token_count", {"median_tokens": 0.5, "max_tokens": 1.0}).drop("n")
     terms = texts.select(F.explode(T.tokens(F.col("text"))).alias("t")).agg(F.countDistinct("t").alias("terms"))
     return counts.crossJoin(sizes).crossJoin(terms).crossJoin(bm25.statistics(texts).select("avgdl"))  # one row each
+
+
+def read_bm25_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of an index in one JSON object: docIds, lengths, avgdl, params, and for each term a flat
+    list of document places and counts."""
+    schema = "params struct<k1:double,b:double>, docIds array<string>, lengths array<long>, avgdl double, postings map<string,array<long>>"
+    whole = spark.read.schema(schema).json(path, multiLine=True)
+    pairs = whole.select("docIds", "lengths", F.explode("postings").alias("term", "flat")).select("docIds", "lengths", "term", "flat", F.explode(F.sequence(F.lit(1), F.size("flat") - 1, F.lit(2))).alias("i"))
+    place = (F.col("flat")[F.col("i") - 1] + 1).cast("int")
+    posted = pairs.select(F.element_at("docIds", place).alias("id"), F.element_at("lengths", place).alias("len"), "term", F.col("flat")[F.col("i")].alias("tf"))
+    return posted, whole.select(F.size("docIds").cast("long").alias("n"), "avgdl", "params.k1", "params.b")
