@@ -50,13 +50,22 @@ def matches(docs: DataFrame, queries: DataFrame, tokens: Tokens = T.tokens) -> D
     Postings of other terms are dropped before they are counted; one exchange of what remains serves both the
     frequencies and the scores.
     """
-    terms = query_terms(queries, tokens)
+    terms = query_terms(queries, tokens).select("term").distinct()
     listed = docs.select("id", tokens(F.col("text")).alias("tokens"))
-    asked = listed.select("id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posted = asked.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    wide = terms.join(frequencies(posted), "term").join(posted, "term")
-    # statistics is one row
-    return wide.crossJoin(F.broadcast(statistics(docs, tokens))).withColumn("idf", idf(F.col("n"), F.col("df")))
+    asked = listed.select("id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    held = asked.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    return _weighted(query_terms(queries, tokens), held, statistics(docs, tokens))
+
+
+def matches_in(posted: DataFrame, stats: DataFrame, queries: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
+    """The same over an index: postings (id, len, term, tf) and the one row of statistics."""
+    terms = query_terms(queries, tokens)
+    return _weighted(terms, posted.join(terms.select("term").distinct(), "term", "left_semi"), stats)
+
+
+def _weighted(terms: DataFrame, held: DataFrame, stats: DataFrame) -> DataFrame:
+    wide = terms.join(frequencies(held), "term").join(held, "term")
+    return wide.crossJoin(F.broadcast(stats.select("n", "avgdl"))).withColumn("idf", idf(F.col("n"), F.col("df")))  # one row
 
 
 def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), ties: tuple[str, ...] = ("first", "id")) -> DataFrame:
@@ -65,11 +74,22 @@ def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), tie
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def scored(found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score, rank) of matches: ties go to the document that an earlier query term found, then to the
+    lower id."""
+    parts = found.select("query_id", "id", "pos", contribution(F.lit(k1), F.lit(b)).alias("part"))
+    sums = parts.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.min("pos").alias("first"))
+    return ranked(sums, k).select("query_id", "id", "score", "rank")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, rank): ties go to the document that an earlier query term found, then to the lower id."""
-    parts = matches(docs, queries, tokens).select("query_id", "id", "pos", contribution(F.lit(k1), F.lit(b)).alias("part"))
-    scored = parts.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.min("pos").alias("first"))
-    return ranked(scored, k).select("query_id", "id", "score", "rank")
+    """(query_id, id, score, rank) over documents (id, text), which are tokenized on the way."""
+    return scored(matches(docs, queries, tokens), k, k1, b)
+
+
+def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
+    """The same over an index that was built once: only postings of the queries' terms are read and joined."""
+    return scored(matches_in(posted, stats, queries), k, k1, b)
 
 
 def sweep(docs: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import bm25, dense, fuse, metrics
+from ..operators import bm25, dense, fuse, metrics, providers
 from ..operators.chunk import exact_quantiles
 from . import sql
 from .registry import query, table
@@ -311,3 +311,22 @@ def relevance_widths(spark, sf_dir):
 def missing_embeddings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return table(spark, sf_dir, "documents").join(e, "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+@query(f"""WITH {sql.bm25()}, {sql.bm25(name='h', text="lang || ' > ' || source || chr(10) || text")}
+SELECT r.query_id, count(rh.id) / 10.0::DOUBLE AS shared FROM r LEFT JOIN rh ON rh.query_id = r.query_id AND rh.id = r.id AND rh.rank <= 10 WHERE r.rank <= 10 GROUP BY r.query_id""")
+def header_ablation(spark, sf_dir):
+    """How much of the first ten stays when headings are indexed with the text."""
+    headed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.document_text(F.array("lang", "source"), F.col("text")).alias("text"))
+    a, b = (bm25.search(d, asked(spark, sf_dir), 10) for d in (docs(spark, sf_dir), headed))
+    return a.groupBy("query_id").agg(F.count("*").alias("n")).join(dense.agreement(a, b), "query_id", "left").select("query_id", F.coalesce("shared", F.lit(0.0)).alias("shared"))
+
+
+@query()
+def query_prefix_ablation(spark, sf_dir):
+    """How much of the first ten stays when queries are embedded with their instruction, with the stand-in encoder."""
+    encoder = providers.HashEncoder()
+    vectors_ = providers.embed(docs(spark, sf_dir), encoder)
+    plain = asked(spark, sf_dir).withColumnRenamed("query_id", "id")
+    found = [dense.search_int8(vectors_, providers.embed(q, encoder).withColumnRenamed("id", "query_id"), 10) for q in (plain, plain.withColumn("text", providers.query_text(F.col("text"))))]
+    return dense.agreement(*found)

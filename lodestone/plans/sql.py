@@ -29,10 +29,10 @@ def normal(text: str) -> str:
     return rf"trim(regexp_replace(replace({folded}, '…', '...'), '[\s\x{{0B}}\x{{85}}\p{{Z}}\x{{FEFF}}]+', ' ', 'g'))"
 
 
-def bm25(tokens=tokens, k1: str = "1.2::DOUBLE", b: str = "0.75::DOUBLE", name: str = "") -> str:
+def bm25(tokens=tokens, k1: str = "1.2::DOUBLE", b: str = "0.75::DOUBLE", name: str = "", text: str = "text") -> str:
     """CTEs: d (documents' tokens), q (query terms), s (scores and first terms), and r (rankings)."""
     return f"""
-d{name} AS (SELECT doc_id AS id, {tokens('text')} AS t FROM documents),
+d{name} AS (SELECT doc_id AS id, {tokens(text)} AS t FROM documents),
 st{name} AS (SELECT count(*) AS n, sum(len(t))::DOUBLE / count(*) AS avgdl FROM d{name}),
 qa{name} AS (SELECT item_id AS query_id, {tokens('text')} AS t FROM benchmark),
 q{name} AS (SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM qa{name}) GROUP BY ALL),

@@ -27,3 +27,14 @@ def write_manifest(docs: DataFrame, path: str) -> None:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("page_id long, url string, html string").parquet(path)
+
+
+def write_text_corpus(docs: DataFrame, root: str) -> None:
+    """One folder of text for each document, for export; tables stay Parquet."""
+    docs.select("doc_id", "text").repartition("doc_id").write.mode("overwrite").option("lineSep", "\n").partitionBy("doc_id").text(root)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """A graded question set in JSON lines."""
+    anchors = "array<struct<doc_id:string,heading:string>>"
+    return spark.read.schema(f"id string, question string, kind string, primary {anchors}, related {anchors}, note string").json(path)
