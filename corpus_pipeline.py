@@ -32,7 +32,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model"), with_lists=True)
+    found = pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model"), lists=("ids",))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 

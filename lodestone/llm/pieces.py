@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import BATCH_BYTES, slices
 
 #: U+2581, which stands for a space in pieces.
 MARK = "▁".encode()
 #: Marked words whose ids a worker remembers; beyond it, it starts afresh.
 KNOWN_WORDS = 500_000
+#: Bytes of text in a batch whose lists are returned.
+LIST_BYTES = 2 << 20
 WORD = re.compile(rb" +[^ ]*")
 
 
@@ -152,9 +154,9 @@ class PieceEncoder:
         # bytes of the text, where the normal form only marks spaces
         marks = [x.count("▁") for x in names]
         self.by_word = self.normaliser.plain and "▁" in names and all("▁" not in x.lstrip("▁") for x in names)
-        self.plain_sizes = [None if s is None else s - 2 * m for s, m in zip(self.sizes, marks, strict=True)]
+        self.plain_sizes = np.array([0 if s is None else s - 2 * m for s, m in zip(self.sizes, marks, strict=True)], dtype=np.int64)
         self.mark = names.index("▁") if self.by_word else 0
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 4096):
@@ -162,7 +164,7 @@ class PieceEncoder:
             for word, ids in zip(part, self.model.encode([w[1:].decode() for w in part], num_threads=1), strict=True):
                 if word == b" ":  # a last space: the library has no mark for an empty text
                     ids = [self.mark]
-                self.known[word] = array("I", ids).tobytes(), array("I", [self.plain_sizes[x] for x in ids]).tobytes()
+                self.known[word] = array("I", ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text (valid UTF-8), its ids and the start and end of each id's span of bytes."""
@@ -176,9 +178,8 @@ class PieceEncoder:
             if words is None:
                 yield self._whole(text)
                 continue
-            pairs = [self.known[w] for w in words]
-            ids = np.frombuffer(b"".join([x[0] for x in pairs]), dtype="<u4")
-            ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in pairs]), dtype="<u4"), dtype=np.int64) - 1  # but for the first mark
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+            ends = np.cumsum(self.plain_sizes[ids]) - 1  # but for the first mark
             starts = np.empty_like(ends)
             starts[0], starts[1:] = 0, ends[:-1]
             yield ids, starts, ends
@@ -212,25 +213,27 @@ def encoder(path: str) -> PieceEncoder:
     return ENCODERS[path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, with_lists: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, lists: tuple[str, ...] = ()) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_crc32 (of all starts and ends
-    as little-endian 64-bit integers); with_lists: also ids, starts and ends of the pieces and the decoded text."""
-    lists = [("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string())] if with_lists else []
-    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("spans_crc32", pa.int64()), *lists]
+    as little-endian 64-bit integers), and those of the lists ids, starts, ends (of the pieces' spans) and decoded (the
+    text) that are asked for."""
+    kinds = {"ids": (pa.list_(pa.int32()), "array<int>"), "starts": (pa.list_(pa.int64()), "array<long>"), "ends": (pa.list_(pa.int64()), "array<long>"), "decoded": (pa.string(), "string")}
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("spans_crc32", pa.int64()), *((x, kinds[x][0]) for x in lists)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path)
         begin, end = (np.array([x], dtype="<u4") for x in (coder.model.bos_id(), coder.model.eos_id()))
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", LIST_BYTES if lists else BATCH_BYTES):
             bodies = [(t or b"").decode("utf-8", "replace").encode() if t and not t.isascii() else t or b"" for t in texts]
             rows = []
             for text, (ids, starts, ends) in zip(bodies, coder.encode(bodies), strict=True):
                 all_ids = np.concatenate([begin, ids, end]).astype("<u4")
                 decoded = coder.model.decode(all_ids.tolist())
                 row = [len(all_ids), hashlib.sha256(all_ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), len(text), zlib.crc32(ends.astype("<i8").tobytes(), zlib.crc32(starts.astype("<i8").tobytes()))]
-                rows.append([*row, all_ids, starts, ends, decoded] if with_lists else row)
+                whole = {"ids": all_ids, "starts": starts, "ends": ends, "decoded": decoded}
+                rows.append([*row, *(whole[x] for x in lists)])
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(name for name, _ in fields)])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long" + ", ids array<int>, starts array<long>, ends array<long>, decoded string" * with_lists
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long" + "".join(f", {x} {kinds[x][1]}" for x in lists)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

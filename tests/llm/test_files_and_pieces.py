@@ -104,7 +104,7 @@ def test_encode_documents(odd, texts):
 
 
 def test_encode_nothing(none):
-    assert pieces.encode_documents(none, PIECE, with_lists=True).collect() == []
+    assert pieces.encode_documents(none, PIECE, ("ids", "starts", "ends", "decoded")).collect() == []
 
 
 def double_array(mapping: dict[bytes, bytes]) -> bytes:
