@@ -137,16 +137,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for batch in batches:
-            keep = []
-            for a, b, x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if estimate(s, t) < floor:
-                    keep.append(False)
-                    continue
-                if a != last:
-                    last, held = a, shingles(words_of(x))
-                other = shingles(words_of(y))
-                keep.append(100 * (i := len(held & other)) >= percent * (len(held) + len(other) - i))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            for at in range(0, batch.num_rows, 256):  # texts become Python objects a few at a time
+                part, keep = batch.slice(at, 256), []
+                for a, x, y, s, t in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                    if estimate(s, t) < floor:
+                        keep.append(False)
+                        continue
+                    if a != last:
+                        last, held = a, shingles(words_of(x))
+                    other = shingles(words_of(y))
+                    keep.append(100 * (i := len(held & other)) >= percent * (len(held) + len(other) - i))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").cast("binary").alias("text_a"), F.col("bits").alias("bits_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").cast("binary").alias("text_b"), F.col("bits").alias("bits_b"))
