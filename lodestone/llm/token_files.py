@@ -12,6 +12,7 @@ are encoded whole: a frame holds at most FRAME_IDS ids, so a long document has s
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
@@ -32,36 +33,67 @@ from .common import scratch, settle, slices
 #: Ids in a frame, about: documents are put together until a frame holds so many, and longer ones are cut.
 FRAME_IDS = 1 << 14
 #: Words whose ids a worker remembers; beyond it, it starts afresh. Bounds memory, never changes an id.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 
+#: All ASCII characters that are neither letters, digits nor white space, but for control characters.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 # Fixed values of the public seekable zstandard layout.
 SKIPPABLE_DOCUMENTS, SKIPPABLE_SEEK, SEEK_END, HAS_CHECKSUM = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pre-tokenizer never joins what ASCII white space separates.
+    """Encodes texts with a tokenizer whose pre-tokenizer never joins what ASCII white space separates, nor letters and
+    digits with marks after them.
 
-    Then a text's ids are the ids of its words, one after another, so each word goes to the library once. Lowering
-    A-Z first is harmless as the tokenizer lowers too, but not where a special token's string may stand.
+    Then a text's ids are the ids of its words, one after another, and a word's are those of what stands before its
+    last ASCII marks and of the marks. Each such part goes to the library once, many in one call with a special token
+    between them. Lowering A-Z first is harmless as the tokenizer lowers too, but not where a special token's string
+    may stand; such words go to the library on their own.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
+        self.border = special[-1] if special else None
         self.known: dict[bytes, bytes] = {}
 
+    def _library(self, words: list[bytes]) -> Iterator[bytes]:
+        plain = [w for w in words if b"<|" not in w] if self.border else []
+        found: dict[bytes, bytes] = {}
+        for i in range(0, len(plain), 256):
+            part = plain[i : i + 256]
+            ids = self.tokenizer.encode_batch_fast([self.border[1].join(w.decode("utf-8", "replace") for w in part)], add_special_tokens=False)[0].ids
+            at, stop = 0, self.border[0]
+            for w in part[:-1]:
+                end = ids.index(stop, at)
+                found[w] = array("I", ids[at:end]).tobytes()
+                at = end + 1
+            found[part[-1]] = array("I", ids[at:]).tobytes()
+        rest = [w for w in words if w not in found]
+        if rest:
+            found.update(zip(rest, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)), strict=True))
+        return map(found.__getitem__, words)
+
+    def _learn(self, words: list[bytes]) -> None:
+        heads = [w.rstrip(MARKS) for w in words]
+        # only where the head ends in a letter or digit: a mark there would join what follows
+        cut = [(h, w[len(h) :]) if len(h) < len(w) and h[-1:].isalnum() and b"<|" not in w else (w, b"") for h, w in zip(heads, words, strict=True)]
+        parts = list({p for pair in cut for p in pair if p}.difference(self.known))
+        new = dict(zip(parts, self._library(parts), strict=True))
+        get = lambda p: new[p] if p in new else self.known[p]
+        self.known.update([(w, get(h) + get(m) if m else get(h)) for w, (h, m) in zip(words, cut, strict=True)])
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         new = set(chain.from_iterable(words)).difference(self.known)
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known = {}
             new = set(chain.from_iterable(words))
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (array("I", x.ids).tobytes() for x in found), strict=True))
+        if new:
+            self._learn(list(new))
         return [b"".join(map(self.known.__getitem__, x)) for x in words]
 
 
