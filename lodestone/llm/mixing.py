@@ -25,7 +25,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Words of the mix, of all words; most that a source may take, of its own.
 SHARE, MOST = 1.5, 2.0
 #: Rows in a block of the flight phase, about.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 
 def size_of(text: Column) -> Column:
@@ -114,19 +114,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), "row_key")
     sizes = {r["source"]: r["size"] for r in sums}
     goal = targets(sizes, weights, share, most)
-    table = docs.sparkSession.createDataFrame([(x, sizes[x], goal[x], goal[x] / sizes[x] if sizes[x] else 0.0) for x in sizes], "key string, source_size long, target double, rate double")
-    # one row for each source: as many as there are sources, not rows
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("key")), "left")
+    blocks = {r["source"]: max(1, r["n"] // BLOCK_ROWS) for r in sums}
+    table = docs.sparkSession.createDataFrame([(x, sizes[x], goal[x], goal[x] / sizes[x] if sizes[x] else 0.0, blocks[x]) for x in sizes], "key string, source_size long, target double, rate double, blocks long")
+    # a row for each source; Spark knows the table's size and broadcasts it only where that is small
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("key")), "left")
     rows = rows.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.floor("rate"))
     rows = rows.withColumn("spin", F.xxhash64(F.lit(seed), "row_key"))
-    n = max(1, sum(r["n"] for r in sums) // BLOCK_ROWS)
     kept = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "row_key", "spin"]
-    blocks = rows.select(*kept, F.pmod("spin", F.lit(n)).alias("block"))
+    dealt = rows.select(*kept, F.pmod("spin", F.col("blocks")).alias("block"))
     schema = "doc_id long, source string, size long, source_size long, target double, whole long, p double, row_key long, spin long"
-    flown = settle(blocks.groupBy("source", "block").applyInPandas(lambda x: _fly(x).drop(columns="block"), schema), "mix-flown")
+    flown = settle(dealt.groupBy("source", "block").applyInPandas(lambda x: _fly(x).drop(columns="block"), schema), "mix-flown")
     done = (F.col("p") <= 0) | (F.col("p") >= 1)
     left = flown.where(~done)
-    step = n
+    step = max(blocks.values())
     while step > BLOCK_ROWS:  # blocks leave two rows each: as long as they are many, they fly in blocks again
         step = max(1, step // BLOCK_ROWS)
         again = settle(left.withColumn("block", F.pmod(F.xxhash64("spin"), F.lit(step))).groupBy("source", "block").applyInPandas(lambda x: _fly(x).drop(columns="block"), schema), "mix-left")
