@@ -1,10 +1,10 @@
 """Substring dedup over sliding spans of sentences.
 
-Every run of RUN consecutive sentences with LEAST_WORDS words or more is hashed (128 bits, of its lower-cased words).
-Equal runs meet in one global aggregation that keeps their first place, by doc_id and position; joining it back gives
-the runs that aren't first, and every sentence that one of them covers is removed. The rest of a text stays byte for
-byte. Sentences end after . ! or ? before white space, at line ends, and after MOST_WORDS words, so that any repeated
-passage of 50 words that begins like a sentence holds whole runs.
+From each sentence on, a run goes on over RUN sentences at least, and to the first at which it holds LEAST_WORDS words.
+Each is hashed (128 bits, of its lower-cased words). Equal runs meet in one global aggregation that keeps their first
+place, by doc_id and position; joining it back gives the runs that aren't first, and every sentence that one of them
+covers is removed. The rest of a text stays byte for byte. Sentences end after . ! or ? before white space, at line
+ends, and after MOST_WORDS words, so that any repeated passage of 50 words that begins like a sentence holds whole runs.
 
 Defined cases: a null or empty text has no sentence; places of one doc_id and position, as in repeated rows, are one
 place, so repeated rows keep the same text; a null doc_id comes first; an empty table gives an empty result; further
@@ -51,13 +51,27 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     return out
 
 
+def run_ends(sizes: list[int]) -> list[int]:
+    """Where the run from each sentence on ends; the last sentences, from which no run holds words enough, have none.
+    Equal runs have sentences of equal sizes, so a run's place gives its length again."""
+    out, end, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        while end < len(sizes) and (end < i + RUN or held < LEAST_WORDS):
+            held += sizes[end]
+            end += 1
+        if end < i + RUN or held < LEAST_WORDS:
+            break
+        out.append(end)
+        held -= size
+    return out
+
+
 def runs(text: bytes) -> tuple[list[bytes], list[int]]:
-    """Hashes of the runs that have words enough, and the sentence each starts at."""
+    """Hashes of the runs, and the sentence each starts at."""
     tiles = sentences(text)
-    names = [xxhash.xxh3_128_digest(b" ".join(w).lower()) for _, _, w in tiles]
-    sizes = [len(w) for _, _, w in tiles]
-    places = [i for i in range(len(tiles) - RUN + 1) if sum(sizes[i : i + RUN]) >= LEAST_WORDS]
-    return [xxhash.xxh3_128_digest(b"".join(names[i : i + RUN])) for i in places], places
+    names = b"".join(xxhash.xxh3_128_digest(b" ".join(w).lower()) for _, _, w in tiles)
+    ends = run_ends([len(w) for _, _, w in tiles])
+    return [xxhash.xxh3_128_digest(names[16 * i : 16 * end]) for i, end in enumerate(ends)], list(range(len(ends)))
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
@@ -88,8 +102,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for text, places in zip(texts, batch.column(2).to_pylist(), strict=True):
                 tiles = sentences(text or b"")
                 gone = np.zeros(len(tiles), dtype=bool)
+                ends = run_ends([len(w) for _, _, w in tiles])
                 for p in places:
-                    gone[p : p + RUN] = True
+                    gone[p : ends[p]] = True
                 stretches: list[list[int]] = []
                 for (start, end, _), out in zip(tiles, gone, strict=True):
                     if out and stretches and stretches[-1][1] == start:

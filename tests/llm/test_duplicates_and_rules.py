@@ -204,6 +204,14 @@ def test_spans_against_brute_force(spark, odd, none):
     assert spans.remove_repeats(none).collect() == []
 
 
+def test_spans_of_short_lines(spark):
+    """60 words in lines of 4: no three of them hold 15 words."""
+    passage = "".join(f"Line {i} of verse\n" for i in range(15))
+    rows = [(d, f"Own text {d} that comes first.\n{passage}Own text {d} that comes last.") for d in range(3)]
+    got = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (r["n_removed"], r["words_removed"], r["text"]) for d, r in got.items()} == {d: (15, 60, f"Own text {d} that comes first.\nOwn text {d} that comes last.") for d in (1, 2)}
+
+
 @pytest.mark.parametrize("text", ["", "A b. C d! E\nF", "  x.  \n\n y ", " ".join(f"w{i}" for i in range(90)), "3.14 is pi. é"])
 def test_sentences_tile(text):
     data = text.encode()
