@@ -3,8 +3,12 @@
 From each sentence on, a run goes on over RUN sentences at least, and to the first at which it holds LEAST_WORDS words.
 Each is hashed (128 bits, of its lower-cased words). Equal runs meet in one global aggregation that keeps their first
 place, by doc_id and position; joining it back gives the runs that aren't first, and every sentence that one of them
-covers is removed. The rest of a text stays byte for byte. Sentences end after . ! or ? before white space, at line
-ends, and after MOST_WORDS words, so that any repeated passage of 50 words that begins like a sentence holds whole runs.
+covers is removed. The rest of a text stays byte for byte.
+
+Sentences end after . ! or ? before white space and at line ends. Those of more than MOST_WORDS words are cut after
+each word whose hash, with the word before, is less than those of the NEAR words to either side; where that leaves more
+than MOST_WORDS words, after the least of the next ones. So cuts fall alike in all copies of a passage from a few words
+after its start on, whatever stands before it. Only its first and last words, up to a sentence's, may be cut otherwise.
 
 Defined cases: a null or empty text has no sentence; places of one doc_id and position, as in repeated rows, are one
 place, so repeated rows keep the same text; a null doc_id comes first; an empty table gives an empty result; further
@@ -25,10 +29,28 @@ from pyspark.sql import functions as F
 from .common import settle, slices
 
 RUN, LEAST_WORDS, MOST_WORDS = 3, 15, 12
+#: Words to either side that decide whether a long sentence is cut after a word.
+NEAR = 3
 BORDER = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r]*\n\s*")
 SPACES = re.compile(rb"[ \t-\r]+")
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """How many words stand before each cut of a long sentence."""
+    hashes = [xxhash.xxh3_64_intdigest(a + b" " + b) for a, b in zip([b"", *words], words, strict=False)]
+    least = [i + 1 for i in range(NEAR, len(words) - NEAR) if (h := hashes[i]) < min(hashes[i - NEAR : i]) and h <= min(hashes[i + 1 : i + 1 + NEAR])]
+    out, last = [], 0
+    for cut in [*least, len(words)]:
+        while cut - last > MOST_WORDS:
+            near = hashes[last + NEAR : last + MOST_WORDS][::-1]
+            last += MOST_WORDS - near.index(min(near))
+            out.append(last)
+        if cut < len(words):
+            out.append(cut)
+        last = cut
+    return out
+
+
 def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of each sentence; they tile the text. White space after a sentence belongs to it."""
     out, start = [], 0
@@ -40,12 +62,12 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
                 start = end
             continue
         if len(words) > MOST_WORDS:
-            cuts = [m.end() for m in SPACES.finditer(text, start, end) if m.start() > start][MOST_WORDS - 1 :: MOST_WORDS]
-            for cut in cuts:
-                if cut < end:
-                    out.append((start, cut, text[start:cut].split()))
-                    start = cut
-            words = text[start:end].split()
+            gaps = [m.end() for m in SPACES.finditer(text, start, end) if m.start() > start]
+            at = 0
+            for n in cuts([w.lower() for w in words]):
+                out.append((start, gaps[n - 1], words[at:n]))
+                start, at = gaps[n - 1], n
+            words = words[at:]
         out.append((start, end, words))
         start = end
     return out

@@ -212,6 +212,22 @@ def test_spans_of_short_lines(spark):
     assert {d: (r["n_removed"], r["words_removed"], r["text"]) for d, r in got.items()} == {d: (15, 60, f"Own text {d} that comes first.\nOwn text {d} that comes last.") for d in (1, 2)}
 
 
+@pytest.mark.parametrize("ends", [(), (30, 60)])
+def test_spans_at_any_offset(spark, ends):
+    """Copies after 0 to 11 words of other text: 200 words without a border, or two sentences that run on from and into it."""
+    n = max(ends, default=200)
+    passage = " ".join(f"Passage{i}" + "." * (i + 1 in ends[:-1]) for i in range(n))
+    rows = [(d, " ".join([*(f"before{d}x{i}" for i in range(d)), passage, *(f"after{d}x{i}" for i in range(9))])) for d in range(12)]
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(1, 12))
+    assert all(t.count("Passage") <= 2 * spans.MOST_WORDS and t.count("before") == d and t.count("after") == 9 for d, t in got.items())
+
+
+def test_cuts_of_a_repeated_phrase():
+    words = [b"one", b"two", b"three"] * 40
+    assert len({tuple(words[a:][:3]) for a in spans.cuts(words)[:-1]} & {tuple(words[1:][a:][:3]) for a in spans.cuts(words[1:])[:-1]}) > 0
+
+
 @pytest.mark.parametrize("text", ["", "A b. C d! E\nF", "  x.  \n\n y ", " ".join(f"w{i}" for i in range(90)), "3.14 is pi. é"])
 def test_sentences_tile(text):
     data = text.encode()
