@@ -6,8 +6,9 @@ is read off the kept ranks from the longest down. A place whose suffix shares L
 repeated substring of L words; the spans' union gives the covered words.
 
 A document fails the base rules with fewer than 10 words, or if over 20 % of its words lie in 5-word windows found
-twice or more. It fails the method's rules if repeats of MIN_REPEAT words or more cover over MOST_COVERED of its words,
-or if one repeat is longer than LONGEST words.
+twice or more. It fails the method's rules if repeats of MIN_REPEAT words or more cover over MOST_COVERED % of its words
+(less than the base rule's share, so that it decides where that doesn't), or if one repeat is longer than LONGEST words
+or, from LONG words on, than LONGEST_PART % of its words.
 
 Defined cases: a null, empty or white text has no words and fails; repeated rows and null doc_ids are kept as they
 are; an empty table gives an empty result; further columns are ignored; texts of any length count whole.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 WINDOW = 5
-MIN_REPEAT, MOST_COVERED, LONGEST = 8, 0.2, 200
+MIN_REPEAT, MOST_COVERED, LONGEST = 8, 12, 200
+LONG, LONGEST_PART = 20, 5
 SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
 WHITE = np.frombuffer(b"\t\n\x0b\x0c\r ", dtype=np.uint8)
 #: Bytes of text for which one suffix array is built, besides one document.
@@ -129,5 +131,6 @@ def repetition(docs: DataFrame) -> DataFrame:
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    verdict = (F.col("n_covered") <= MOST_COVERED * F.col("n_words")) & (F.col("longest_repeat") <= LONGEST)
+    part = (F.col("longest_repeat") < LONG) | (100 * F.col("longest_repeat") <= LONGEST_PART * F.col("n_words"))
+    verdict = (100 * F.col("n_covered") <= MOST_COVERED * F.col("n_words")) & (F.col("longest_repeat") <= LONGEST) & part
     return found.select("doc_id", *names[:5], failed.alias("base_failed"), (~failed & verdict).alias("kept"), *names[5:])

@@ -125,6 +125,20 @@ def test_repetition_against_brute_force(odd, texts, none):
     assert repetition.repetition(none).collect() == []
 
 
+def test_long_repeats_decide_beyond_the_base_rule(spark):
+    """Rows that pass the base rule: by coverage one fails, by the longest repeat's part of the text another."""
+    own = [f"own{i}" for i in range(1000)]
+    many = [f"p{i}" for i in range(90)]
+    long = [f"q{i}" for i in range(55)]
+    short = [f"r{i}" for i in range(19)]
+    rows = [(1, own[:820] + many + own[-1:] + many), (2, own[:890] + long + own[-1:] + long), (3, own[:260] + short + own[-1:] + short), (4, own)]
+    got = {r["doc_id"]: r for r in repetition.repetition(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()}
+    assert {d: (r["n_covered"], r["longest_repeat"], r["base_failed"], r["kept"]) for d, r in got.items()} == {1: (180, 90, False, False), 2: (110, 55, False, False), 3: (38, 19, False, False), 4: (0, 0, False, True)}
+    fits = [(5, own[:300] + short + own[-1:] + short), (6, own[:900] + long[:49] + own[-1:] + long[:49]), (7, own[:960] + ["la"] * 70), (8, own[:960] + ["la"] * 50)]
+    got = {r["doc_id"]: (r["n_covered"], r["kept"]) for r in repetition.repetition(spark.createDataFrame([(d, " ".join(w)) for d, w in fits], "doc_id long, text string")).collect()}
+    assert got == {5: (38, True), 6: (98, True), 7: (70, False), 8: (50, True)}
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for rank, rule in enumerate(secrets.RULES):
