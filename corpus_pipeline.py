@@ -15,12 +15,16 @@ from lodestone.llm.common import documents, settle
 from lodestone.llm.queries import tokenizer
 
 
+#: Documents are near-duplicates from so many percent of common shingles on; op3's own contract has 85.
+NEAR_PERCENT = 80
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, NEAR_PERCENT)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

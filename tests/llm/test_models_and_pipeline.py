@@ -127,5 +127,20 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(last)
 
 
+def test_pipeline_links_from_80_percent(spark):
+    """Pairs between 0.80 and 0.85, below 0.80, and above 0.85, against brute force."""
+    rows, expected = [], set()
+    for i, changed in enumerate((0, 3, 4, 5, 6, 20)):
+        words = [f"w{i}x{j}" for j in range(204)]
+        other = [f"new{j}" if j % 10 == 5 and j < 10 * changed else w for j, w in enumerate(words)]
+        a, b = ({tuple(w[j : j + 5]) for j in range(200)} for w in (words, other))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        expected |= {2 * i} if 100 * len(a & b) >= 80 * len(a | b) else {2 * i, 2 * i + 1}
+        assert changed != 4 or 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()} == expected
+    assert 5 not in expected and len(expected) == 9
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
