@@ -1,24 +1,27 @@
 """Substring dedup over sliding spans of sentences.
 
 From each sentence on, a run goes on over RUN sentences at least, and to the first at which it holds LEAST_WORDS words.
-Each is hashed (128 bits, of its lower-cased words). Equal runs meet in one global aggregation that keeps their first
-place, by doc_id and position; joining it back gives the runs that aren't first, and every sentence that one of them
-covers is removed. The rest of a text stays byte for byte.
+Each is hashed (128 bits, of its lower-cased words), and the runs are written once. Equal runs meet in one global
+aggregation that keeps their first place, by doc_id, text and position; joining it back gives the runs that aren't
+first, and every sentence that one of them covers is removed. The rest of a text stays byte for byte.
 
 Sentences end after . ! or ? before white space and at line ends. Those of more than MOST_WORDS words are cut after
 each word whose hash, with the word before, is less than those of the NEAR words to either side; where that leaves more
 than MOST_WORDS words, after the least of the next ones. So cuts fall alike in all copies of a passage from a few words
 after its start on, whatever stands before it. Only its first and last words, up to a sentence's, may be cut otherwise.
+RUN, LEAST_WORDS and MOST_WORDS are `Shape`'s defaults: what counts as a run is the caller's choice.
 
-Defined cases: a null or empty text has no sentence; places of one doc_id and position, as in repeated rows, are one
-place, so repeated rows keep the same text; a null doc_id comes first; an empty table gives an empty result; further
-columns are ignored; texts of any length count whole.
+Defined cases: a null or empty text has no sentence; a place belongs to a doc_id and a text, so rows that repeat both
+share their places and keep the same text, and other texts of that doc_id, or without one, have places of their own; a
+null doc_id comes first, and equal doc_ids by the text's key; an empty table gives an empty result; further columns are
+ignored; texts of any length count whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import row_key, settle, slices
 
 RUN, LEAST_WORDS, MOST_WORDS = 3, 15, 12
 #: Words to either side that decide whether a long sentence is cut after a word.
@@ -35,15 +38,27 @@ BORDER = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r]*\n\s*")
 SPACES = re.compile(rb"[ \t-\r]+")
 
 
-def cuts(words: list[bytes]) -> list[int]:
+@dataclass(frozen=True)
+class Shape:
+    """Sentences and words that a run holds at least; words of a sentence at most (None: sentences are never cut)."""
+
+    run: int = RUN
+    least_words: int = LEAST_WORDS
+    most_words: int | None = MOST_WORDS
+
+
+SHAPE = Shape()
+
+
+def cuts(words: list[bytes], most: int = MOST_WORDS) -> list[int]:
     """How many words stand before each cut of a long sentence."""
     hashes = [xxhash.xxh3_64_intdigest(a + b" " + b) for a, b in zip([b"", *words], words, strict=False)]
     least = [i + 1 for i in range(NEAR, len(words) - NEAR) if (h := hashes[i]) < min(hashes[i - NEAR : i]) and h <= min(hashes[i + 1 : i + 1 + NEAR])]
     out, last = [], 0
     for cut in [*least, len(words)]:
-        while cut - last > MOST_WORDS:
-            near = hashes[last + NEAR : last + MOST_WORDS][::-1]
-            last += MOST_WORDS - near.index(min(near))
+        while cut - last > most:
+            near = hashes[last + NEAR : last + most][::-1]
+            last += most - near.index(min(near))
             out.append(last)
         if cut < len(words):
             out.append(cut)
@@ -51,7 +66,7 @@ def cuts(words: list[bytes]) -> list[int]:
     return out
 
 
-def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
+def sentences(text: bytes, most: int | None = MOST_WORDS) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of each sentence; they tile the text. White space after a sentence belongs to it."""
     out, start = [], 0
     for end in [*(m.end() for m in BORDER.finditer(text)), len(text)]:
@@ -61,10 +76,10 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
                 out[-1] = out[-1][0], end, out[-1][2]
                 start = end
             continue
-        if len(words) > MOST_WORDS:
+        if most and len(words) > most:
             gaps = [m.end() for m in SPACES.finditer(text, start, end) if m.start() > start]
             at = 0
-            for n in cuts([w.lower() for w in words]):
+            for n in cuts([w.lower() for w in words], most):
                 out.append((start, gaps[n - 1], words[at:n]))
                 start, at = gaps[n - 1], n
             words = words[at:]
@@ -73,58 +88,68 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     return out
 
 
-def run_ends(sizes: list[int]) -> list[int]:
+def run_ends(sizes: list[int], shape: Shape = SHAPE) -> list[int]:
     """Where the run from each sentence on ends; the last sentences, from which no run holds words enough, have none.
     Equal runs have sentences of equal sizes, so a run's place gives its length again."""
     out, end, held = [], 0, 0
     for i, size in enumerate(sizes):
-        while end < len(sizes) and (end < i + RUN or held < LEAST_WORDS):
+        while end < len(sizes) and (end < i + shape.run or held < shape.least_words):
             held += sizes[end]
             end += 1
-        if end < i + RUN or held < LEAST_WORDS:
+        if end < i + shape.run or held < shape.least_words:
             break
         out.append(end)
         held -= size
     return out
 
 
-def runs(text: bytes) -> tuple[list[bytes], list[int]]:
+def runs(text: bytes, shape: Shape = SHAPE) -> tuple[list[bytes], list[int]]:
     """Hashes of the runs, and the sentence each starts at."""
-    tiles = sentences(text)
+    tiles = sentences(text, shape.most_words)
     names = b"".join(xxhash.xxh3_128_digest(b" ".join(w).lower()) for _, _, w in tiles)
-    ends = run_ends([len(w) for _, _, w in tiles])
+    ends = run_ends([len(w) for _, _, w in tiles], shape)
     return [xxhash.xxh3_128_digest(names[16 * i : 16 * end]) for i, end in enumerate(ends)], list(range(len(ends)))
 
 
-def all_runs(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): key stands for doc_id and text; only rows that repeat share it."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), text.alias("text"))
+
+
+def all_runs(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
+    """(doc_id, key, run, place): a row for each run of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 2 << 20):
-            ids, hashes, places = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                h, p = runs(text) if text else ([], [])
-                ids += [doc_id] * len(h)
+            rows, hashes, places = [], [], []
+            for i, text in enumerate(texts):
+                h, p = runs(text, shape) if text else ([], [])
+                rows += [i] * len(h)
                 hashes += h
                 places += p
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(places, pa.int32())], ["doc_id", "run", "place"])
+            of = batch.select(["doc_id", "key"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(hashes, pa.binary()), pa.array(places, pa.int32())], ["doc_id", "key", "run", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, run binary, place int")
+    return keyed(docs).mapInArrow(run, "doc_id long, key binary, run binary, place int")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     """For each row of docs that loses sentences: doc_id, n_sentences, n_removed, words_removed, removed (start and end
     bytes of each removed stretch) and text, what is left."""
-    found = all_runs(docs)
-    first = settle(found.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.struct("doc_id", "place")).alias("last")).where("first <> last").select("run", "first"), "first-runs")
-    later = found.join(first, "run").where(F.struct("doc_id", "place") != F.col("first")).select("doc_id", "place")
-    covered = settle(later.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "later-runs")
+    found = settle(all_runs(docs, shape), "runs")
+    at = F.struct("doc_id", "key", "place")
+    first = settle(found.groupBy("run").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first"), "first-runs")
+    later = found.join(first, "run").where(~at.eqNullSafe(F.col("first"))).select("key", "place")
+    covered = settle(later.groupBy("key").agg(F.collect_set("place").alias("places")), "later-runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             rows = []
             for text, places in zip(texts, batch.column(2).to_pylist(), strict=True):
-                tiles = sentences(text or b"")
+                tiles = sentences(text or b"", shape.most_words)
                 gone = np.zeros(len(tiles), dtype=bool)
-                ends = run_ends([len(w) for _, _, w in tiles])
+                ends = run_ends([len(w) for _, _, w in tiles], shape)
                 for p in places:
                     gone[p : ends[p]] = True
                 stretches: list[list[int]] = []
@@ -138,5 +163,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_sentences", "n_removed", "words_removed", "removed", "text"])
 
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(covered.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "places")
+    wide = keyed(docs).join(covered, "key").select("doc_id", "text", "places")
     return wide.mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, words_removed long, removed array<array<long>>, text string")
