@@ -14,17 +14,20 @@ and a component's smallest doc_id names it.
    of their rarest shingles, at places that leave room for enough others. Only pairs of different components that
    pass are made, and they are confirmed as before.
 
-Components are found by alternating large-star and small-star rounds, written to the shared folder in between.
-
-Defined cases: a null, empty or white text has an empty set and no link; exact copies are one class, signed and
-linked once; rows with the same doc_id are the same document; a null doc_id is a class of its own rows and is named by
-the smallest doc_id it is linked with; an empty table gives an empty result; further columns are ignored; texts of any
-length count whole.
+Texts of the same words are one class, which has a number and is signed, paired and linked once, whatever its rows'
+doc_ids; doc_ids only come back when components are named. Components are found by alternating large-star and
+small-star rounds, written to the shared folder in between.
+
+Defined cases: a null, empty or white text has an empty set and no link, and is named by its own doc_id; different texts
+of one doc_id are texts of one document, so what resembles any of them is linked with it; a null doc_id links nothing by
+itself, and such a row is named by the smallest doc_id that it is linked with, null if none; rows that repeat each get
+the same answer; an empty table gives an empty result; further columns are ignored; texts of any length count whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import row_key, settle, slices
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 24, 4, 4
@@ -105,7 +108,8 @@ def estimate(a: bytes, b: bytes) -> float:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, text_key (128 bits of its words), n_shingles, bands, bits."""
+    """A row for each document: doc_id, row_key (of doc_id and text), text_key (128 bits of its words), n_shingles,
+    bands, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
@@ -118,14 +122,14 @@ def sign(docs: DataFrame) -> DataFrame:
                 b, s = signature(hashes) if len(hashes) else ([], b"")
                 bands.append(b)
                 bits.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "row_key", "text_key", "n_shingles", "bands", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, bands array<long>, bits binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, row_key binary, text_key binary, n_shingles long, bands array<long>, bits binary")
 
 
-def enough(n: int, m: int, percent: int) -> int:
-    """Least size of the intersection: 100 i >= percent (n + m - i)."""
-    return -(-percent * (n + m) // (100 + percent))
+def keyed(docs: DataFrame) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row_key"), text.alias("text"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -149,8 +153,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     keep.append(100 * (i := len(held & other)) >= percent * (len(held) + len(other) - i))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").cast("binary").alias("text_a"), F.col("bits").alias("bits_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").cast("binary").alias("text_b"), F.col("bits").alias("bits_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("text_a"), F.col("bits").alias("bits_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("text_b"), F.col("bits").alias("bits_b"))
     wide = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "bits_a", "bits_b")
     return wide.mapInArrow(run, "a long, b long")
 
@@ -170,11 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, new)]
         edges = new
         if sums[0] == sums[1]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def rare_first(texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the threshold: an exact join on rare shingles."""
+    """Pairs (a, b) of different components that may reach the threshold: an exact join on rare shingles. Sizes that
+    cannot match never meet: the key holds a class of sizes, and the smaller set joins its own and the next one."""
     cells = 1 << 19  # of the table of counts: its size is fixed, whatever the input
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def rare_first(texts: DataFrame, percent: int) -> DataFrame:
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bodies in slices(batches, "text"):
-            for rep, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, strict=True):
+            for node, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, strict=True):
                 h = shingle_hashes(words_of(text))
                 n = len(h)
                 often = shared.value[(h >> U64(45)).astype(np.int64)]
@@ -204,49 +209,72 @@ def rare_first(texts: DataFrame, percent: int) -> DataFrame:
                 first = place < n - -(-2 * percent * n // (100 + percent)) + 1
                 several = often[order] > 1  # else no other document has it
                 k = int(several.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][several].view(np.int64)), pa.array([rep] * k, pa.int64()), pa.array([component] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(place[several]), pa.array(first[several])], ["h", "id", "comp", "n", "place", "first"])
-
-    rows = settle(texts.select("rep", "component", "text").mapInArrow(prefix, "h long, id long, comp long, n long, place int, first boolean"), "rare")
-    a, b = rows.where("first").alias("a"), rows.alias("b")
-    fits = (F.col("a.h") == F.col("b.h")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))) & (100 * F.col("a.n") >= percent * F.col("b.n"))
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][several].view(np.int64)), pa.array([node] * k, pa.int64()), pa.array([component] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(place[several]), pa.array(first[several])], ["h", "id", "comp", "n", "place", "first"])
+
+    rows = texts.select("node", "component", "text").mapInArrow(prefix, "h long, id long, comp long, n long, place int, first boolean")
+    # sets that match lie in the same or in the next class, with a little room for rounding
+    rows = settle(rows.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(1.001 * 100 / percent)).cast("int")), "rare")
+    a = rows.where("first").withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).alias("a")
+    b = rows.alias("b")
+    fits = (F.col("a.h") == F.col("b.h")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))) & (100 * F.col("a.n") >= percent * F.col("b.n"))
     room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     fits = fits & ((100 + percent) * room >= percent * (F.col("a.n") + F.col("b.n")))
     return a.join(b, fits).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, classes): classes (text_key, component, component_id) of all texts with words, component_id being
+    the smallest doc_id of the component. by_id: texts of one doc_id are linked too."""
     signed = settle(sign(docs), "signed")
-    classes = settle(signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
-    reps = signed.join(classes.where("rep IS NOT NULL").select("text_key", "rep"), "text_key").where("doc_id = rep AND n_shingles > 0").select("rep", "text_key", "bands", "bits").dropDuplicates(["rep", "text_key"])
-    rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    least = settle(rows.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least"), "least")
-    members = settle(rows.join(least, "bucket").select("bucket", "rep", "least"), "members")
-    stars = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    # the texts of documents that share a bucket with another, once
-    wanted = members.select("rep").distinct()
-    chosen = reps.join(wanted, "rep").select("rep", "text_key", "bits")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(chosen, "rep")
-    texts = settle(texts.dropDuplicates(["rep"]) , "texts")
+    some = signed.where("n_shingles > 0")
+    # numbered once they are written: a class's number then never changes
+    one = some.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("row_key", "bands", "bits")).alias("s"))
+    classes = settle(one.select("text_key", "rep", "s.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("node", F.explode("bands").alias("bucket"))
+    least = settle(rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "least")
+    members = settle(rows.join(least, "bucket").select("bucket", "node", "least"), "members")
+    stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # the texts of classes that share a bucket with another, once
+    wanted = members.select("node").distinct()
+    chosen = classes.join(wanted, "node").select("node", "row_key", "bits")
+    texts = settle(keyed(docs).join(chosen, "row_key").select("node", "text", "bits").dropDuplicates(["node"]), "texts")
     links = settle(confirm(stars, texts, percent), "links")
     joined = components(links)
     # buckets that several components still share
-    of = members.join(joined, members["rep"] == joined["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    of = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     of = settle(of, "of")
     split = settle(of.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "split")
-    open_ = of.join(split, "bucket").select("rep", "component").distinct()
-    more = rare_first(settle(texts.join(open_, "rep").select("rep", "component", "text"), "open"), percent)
+    open_ = of.join(split, "bucket").select("node", "component").distinct()
+    more = rare_first(settle(texts.join(open_, "node").select("node", "component", "text"), "open"), percent)
     late = settle(confirm(more, texts, percent), "links")
-    joined = components(links.unionByName(late))
-    named = classes.join(joined, classes["rep"] == joined["node"], "left").select("text_key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "text_key", "n_shingles").join(named, "text_key")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    edges = links.unionByName(late)
+    if by_id:
+        several = some.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        own = settle(some.join(several, "doc_id").select("doc_id", "text_key").join(classes.select("text_key", "node"), "text_key").select("doc_id", "node").distinct(), "own")
+        edges = edges.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b")))
+    joined = components(edges)
+    linked = joined.join(classes.select("node", "rep"), "node")
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    named = linked.join(names, "component").select("node", "component", "name")
+    wide = classes.select("text_key", "rep", "node").join(named, "node", "left")
+    return signed, wide.select("text_key", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("name")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    signed, classes = grouped(docs, percent, True)
+    out = signed.select("doc_id", "text_key", "n_shingles").join(classes, "text_key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs, of each group only the smallest doc_id; of rows that repeat, one. Rows without a doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
-    one = one.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """docs, one row of each group of near-duplicate texts: that of the smallest doc_id, of several the one of the least
+    key; a group without any doc_id keeps a row too. Different texts of one doc_id are no group here. Texts without
+    words all stay, but of rows equal in doc_id and text, in either case, one does."""
+    signed, classes = grouped(docs, percent, False)
+    rows = signed.select("doc_id", "row_key", "text_key").join(classes, "text_key", "left")
+    first = rows.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("__key"))
+    kept = first.select("__key").unionByName(rows.where("component IS NULL").select(F.col("row_key").alias("__key"))).distinct()
+    own = docs.withColumn("__key", row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return own.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
