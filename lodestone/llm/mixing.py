@@ -6,19 +6,23 @@ cube method moves those probabilities along directions that keep the sums of wor
 or 1: first within blocks of a source (a block is one group of a Spark shuffle, so a hot source has many), then over
 the few fractional rows that blocks leave, then the two that a source leaves are decided by their number of words.
 
+Sources may be many (hosts, say): their order, their targets and their blocks are found in Spark, and only single sums
+come to the driver.
+
 Defined cases: a null text has size 0; a null source is a source of its own, the last; a source without words has
-target 0 and takes nothing; rows with the same doc_id are kept apart; an empty table gives an empty result; further
-columns are ignored. The same input and seed give the same result.
+target 0 and takes nothing; rows with the same doc_id are kept apart, and only rows equal in all columns, nulls
+included, share what they take; an empty table gives an empty result; further columns only tell rows apart. The same
+input and seed give the same result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import row_key, settle
 
 #: The sources' weights, by order, again and again.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -33,28 +37,30 @@ def size_of(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A fingerprint of a row's doc_id, source and text; only identical rows share it."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["source"].cast("string"), docs["text"].cast("string"))
-
-
-def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
-    """Target words of each source: the budget by weight; a source stops at `most` times its size, and what it leaves
-    is shared again by weight. sizes: source to words, None last. Sources are few: this runs on the driver."""
-    names = sorted((x for x in sizes if x is not None)) + [x for x in sizes if x is None]
-    weight = {x: weights[i % len(weights)] for i, x in enumerate(names)}
-    out, open_, rest = {}, list(names), share * sum(sizes.values())
-    while open_:
-        total = sum(weight[x] for x in open_)
-        over = [x for x in open_ if rest * weight[x] / total > most * sizes[x]]
-        if not over:
-            out |= {x: rest * weight[x] / total for x in open_}
+def placed(sources: DataFrame) -> DataFrame:
+    """sources with place: 0, 1, 2, ... in the order of `source`, null last. Ranges of names are numbered apart, and a
+    row for each range says how many come before it."""
+    order = (F.col("source").isNull(), F.col("source"))
+    dealt = settle(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n_part")).select("part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("inside", inside).join(starts, "part").withColumn("place", F.col("begin") + F.col("inside")).drop("part", "begin", "inside")
+
+
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sources (source, source_size, ...) with target: the budget by weight; a source stops at `most` times its size,
+    and what it leaves is shared again by weight. Each round is one sum over the sources."""
+    listed = placed(sources).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    listed = settle(listed.withColumn("limit", most * F.col("source_size")), "mix-weights")
+    level, full = 0.0, -1
+    while True:  # at a level, sources take level * weight, but for those that reach their limit
+        stops = F.col("limit") < level * F.col("weight")
+        r = listed.agg(F.sum("source_size").alias("size"), F.count_if(stops).alias("full"), F.sum(F.when(stops, F.col("limit")).otherwise(0.0)).alias("taken"), F.sum(F.when(stops, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if r["full"] == full or not r["open"]:
             break
-        for x in over:
-            out[x] = float(most * sizes[x])
-            open_.remove(x)
-        rest -= sum(out[x] for x in over)
-    return out
+        full, level = r["full"], (share * r["size"] - r["taken"]) / r["open"]
+    return listed.withColumn("target", F.least("limit", level * F.col("weight"))).drop("place", "weight", "limit")
 
 
 def flight(p: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
@@ -106,27 +112,23 @@ def _land(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42) -> DataFrame:
     """For each row of docs: doc_id, size, source_size, target, copies (times it is taken), taken (copies * size),
-    and row_key, a fingerprint of the row with which docs can be joined."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"), row_key(docs).alias("row_key"))
+    and row_key, which stands for all of the row's columns, and with which docs can be joined."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"), key_of(docs).alias("row_key"))
     rows = settle(rows, "mix-sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
-    if not sums:
-        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), "row_key")
-    sizes = {r["source"]: r["size"] for r in sums}
-    goal = targets(sizes, weights, share, most)
-    blocks = {r["source"]: max(1, r["n"] // BLOCK_ROWS) for r in sums}
-    table = docs.sparkSession.createDataFrame([(x, sizes[x], goal[x], goal[x] / sizes[x] if sizes[x] else 0.0, blocks[x]) for x in sizes], "key string, source_size long, target double, rate double, blocks long")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.floor(F.count("*") / BLOCK_ROWS), F.lit(1)).alias("blocks"))
+    table = settle(targets(sums, weights, share, most).withColumnRenamed("source", "key"), "mix-targets")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # a row for each source; Spark knows the table's size and broadcasts it only where that is small
-    rows = rows.join(table, F.col("source").eqNullSafe(F.col("key")), "left")
+    rows = rows.join(table.withColumn("rate", rate), F.col("source").eqNullSafe(F.col("key")), "left")
     rows = rows.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.floor("rate"))
     rows = rows.withColumn("spin", F.xxhash64(F.lit(seed), "row_key"))
     kept = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "row_key", "spin"]
     dealt = rows.select(*kept, F.pmod("spin", F.col("blocks")).alias("block"))
-    schema = "doc_id long, source string, size long, source_size long, target double, whole long, p double, row_key long, spin long"
+    schema = "doc_id long, source string, size long, source_size long, target double, whole long, p double, row_key binary, spin long"
     flown = settle(dealt.groupBy("source", "block").applyInPandas(lambda x: _fly(x).drop(columns="block"), schema), "mix-flown")
     done = (F.col("p") <= 0) | (F.col("p") >= 1)
     left = flown.where(~done)
-    step = max(blocks.values())
+    step = table.agg(F.max("blocks")).first()[0] or 1
     while step > BLOCK_ROWS:  # blocks leave two rows each: as long as they are many, they fly in blocks again
         step = max(1, step // BLOCK_ROWS)
         again = settle(left.withColumn("block", F.pmod(F.xxhash64("spin"), F.lit(step))).groupBy("source", "block").applyInPandas(lambda x: _fly(x).drop(columns="block"), schema), "mix-left")
@@ -137,8 +139,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     return flown.where(done).unionByName(landed).select("doc_id", "size", "source_size", "target", copies, (copies * F.col("size")).cast("long").alias("taken"), "row_key")
 
 
+def key_of(docs: DataFrame) -> Column:
+    """Of all columns, so that only equal rows share it."""
+    return row_key(*[docs[f"`{c}`"] for c in docs.columns])
+
+
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as many times as the mix takes it."""
+    """docs, each row as many times as the mix takes it; equal rows together."""
     totals = mix(docs, **options).groupBy("row_key").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0").withColumnRenamed("row_key", "__key")
-    once = docs.withColumn("__key", row_key(docs)).dropDuplicates(["__key"])  # identical rows are counted in the total
+    once = docs.withColumn("__key", key_of(docs)).dropDuplicates(["__key"])  # equal rows are counted in the total
     return once.join(totals, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
