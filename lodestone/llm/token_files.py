@@ -12,11 +12,13 @@ are encoded whole: a frame holds at most FRAME_IDS ids, so a long document has s
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, chain
 
 import numpy as np
@@ -32,20 +34,36 @@ from .common import scratch, settle, slices
 
 #: Ids in a frame, about: documents are put together until a frame holds so many, and longer ones are cut.
 FRAME_IDS = 1 << 14
-#: Words whose ids a worker remembers; beyond it, it starts afresh. Bounds memory, never changes an id.
-KNOWN_WORDS = 1_000_000
+#: Bytes that the words which a worker remembers take, with what Python needs for each; beyond it, it starts afresh.
+#: Longer words are never remembered. Both bound memory and never change an id.
+KNOWN_BYTES, WORD_BYTES, WORD_COST = 192 << 20, 256, 200
+#: Bytes of text whose words are looked up at once; longer texts are cut at white space.
+PART_BYTES = 2 << 20
+
+# Rules by which a text's ids are those of its words, one after another. White space becomes a space and
+# is no part of any match, the composed form never joins what a space separates, and lowering goes by character.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 #: All ASCII characters that are neither letters, digits nor white space, but for control characters.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+SPACE = re.compile(rb"[ \t-\r]")
 # Fixed values of the public seekable zstandard layout.
 SKIPPABLE_DOCUMENTS, SKIPPABLE_SEEK, SEEK_END, HAS_CHECKSUM = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pre-tokenizer never joins what ASCII white space separates, nor letters and
-    digits with marks after them.
+    """Encodes texts with a tokenizer; by words where its rules are WORD_RULES, else each text whole.
 
-    Then a text's ids are the ids of its words, one after another, and a word's are those of what stands before its
+    By words, a text's ids are the ids of its words, one after another, and a word's are those of what stands before its
     last ASCII marks and of the marks. Each such part goes to the library once, many in one call with a special token
     between them. Lowering A-Z first is harmless as the tokenizer lowers too, but not where a special token's string
     may stand; such words go to the library on their own.
@@ -56,9 +74,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word))
-        self.border = special[-1] if special else None
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        added = list(self.tokenizer.get_added_tokens_decoder().items())
+        plain = all(t.special and t.content.startswith("<|") and not re.search(r"\s", t.content) and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for _, t in added)
+        self.by_word = bool(added) and plain and all(rules.get(k) == v for k, v in WORD_RULES.items()) and not rules["model"].get("dropout")
+        self.border = max((i, t.content) for i, t in added) if self.by_word else None
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _library(self, words: list[bytes]) -> Iterator[bytes]:
         plain = [w for w in words if b"<|" not in w] if self.border else []
@@ -77,24 +100,55 @@ class WordEncoder:
             found.update(zip(rest, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)), strict=True))
         return map(found.__getitem__, words)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
         heads = [w.rstrip(MARKS) for w in words]
         # only where the head ends in a letter or digit: a mark there would join what follows
         cut = [(h, w[len(h) :]) if len(h) < len(w) and h[-1:].isalnum() and b"<|" not in w else (w, b"") for h, w in zip(heads, words, strict=True)]
         parts = list({p for pair in cut for p in pair if p}.difference(self.known))
         new = dict(zip(parts, self._library(parts), strict=True))
         get = lambda p: new[p] if p in new else self.known[p]
-        self.known.update([(w, get(h) + get(m) if m else get(h)) for w, (h, m) in zip(words, cut, strict=True)])
+        new |= {w: get(h) + get(m) for w, (h, m) in zip(words, cut, strict=True) if m}
+        return new
+
+    def _lookup(self, words: set[bytes]) -> Callable[[bytes], bytes]:
+        """What gives the ids of any of the words."""
+        new = words.difference(self.known)
+        if new and self.held > KNOWN_BYTES:
+            self.known, self.held, new = {}, 0, words
+        found = self._ids_of(list(new)) if new else {}
+        short = found if max(map(len, found), default=0) <= WORD_BYTES else {w: ids for w, ids in found.items() if len(w) <= WORD_BYTES}
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + WORD_COST * len(short)
+        self.known.update(short)
+        return self.known.__getitem__ if len(short) == len(found) else lambda w: found[w] if w in found else self.known[w]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = set(chain.from_iterable(words))
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+        if not self.by_word:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for group in groups(texts):
+            words = [(p if b"<|" in p else p.lower()).split() for _, p in group]
+            ids = self._lookup(set(chain.from_iterable(words)))
+            for (i, _), ws in zip(group, words, strict=True):
+                out[i].append(b"".join(map(ids, ws)))
+        return [b"".join(x) for x in out]
+
+
+def groups(texts: list[bytes | None]) -> Iterator[list[tuple[int, bytes]]]:
+    """(place, part) of the texts in groups of about PART_BYTES; longer texts are cut at white space."""
+    group, held = [], 0
+    for i, text in enumerate(texts):
+        at, size = 0, len(text or b"")
+        while at < size:
+            gap = SPACE.search(text, at + PART_BYTES)
+            end = gap.start() if gap else size
+            if group and held + end - at > PART_BYTES:
+                yield group
+                group, held = [], 0
+            group.append((i, text[at:end]))
+            held += end - at
+            at = end
+    if group:
+        yield group
 
 
 ENCODERS: dict[str, WordEncoder] = {}
