@@ -101,13 +101,11 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
         due = due.where(F.size(F.array_except(ids, F.col("seen"))) > 0)
     new = [F.when(F.array_contains("seen", r.id), none).otherwise(spans_of(F.col("text"), r, i)) for i, r in enumerate(rules)]
     due.select("blob", F.array_except(ids, F.col("seen")).alias("rules"), F.array_sort(F.concat(*new)).alias("spans")).write.mode("append").parquet(ledger)
-    # no two rows of a blob share a rule; of other rules and versions nothing is taken
+    # rows of a blob share a rule only if two scans ran at once, and then its spans; of other rules nothing is taken
     current = F.array_intersect("rules", ids)
     wanted = F.filter("spans", lambda s: F.exists(current, lambda r: F.startswith(r, F.concat(s["kind"], F.lit("@")))))
     found = _ledger(spark, ledger).select("blob", wanted.alias("spans")).where(F.size("spans") > 0)
-    if before is not None:
-        found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return found
+    return found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
