@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices, training_row
 
 CELLS = 1 << 14
+#: Numbers that an array of the inference holds at most, besides one document's.
+WIDTH = 1 << 22
 ROUNDS = 12
 #: A further language must gain so many times half the logarithm of the number of trigrams, which overlap.
 PENALTY = 12.0
@@ -60,8 +62,8 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
     found = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found.column(0).to_pylist()))
-    table = np.full((CELLS, len(langs)), 0.5)
-    at = np.array([langs.index(x) for x in found.column(0).to_pylist()], dtype=np.int64)
+    table, place = np.full((CELLS, len(langs)), 0.5), {x: i for i, x in enumerate(langs)}
+    at = np.array([place[x] for x in found.column(0).to_pylist()], dtype=np.int64)
     table[found.column(1).to_numpy(), at] += found.column(2).to_numpy()
     return langs, np.log(table / table.sum(axis=0))
 
@@ -112,21 +114,36 @@ def infer(texts: list[bytes], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best, np.clip(everything[np.arange(n), best], 0.0, 1.0), chosen.sum(axis=1).astype(int)
 
 
+def held_together(texts: list[bytes], languages: int) -> Iterator[range]:
+    """Places of texts whose different trigrams, for all languages, are WIDTH numbers at most, or of one text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        size = min(len(text), CELLS) * languages
+        if held and held + size > WIDTH:
+            yield range(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield range(start, len(texts))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, held_out, lang_pred, score, n_languages."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     langs, logs = learn(rows.where(training_row()))
+    shared = docs.sparkSession.sparkContext.broadcast(logs)  # CELLS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 4 << 20):
             n = len(texts)
             names, scores, many = ["und"] * n, np.zeros(n), np.zeros(n, dtype=np.int64)
             known = [i for i, t in enumerate(texts) if langs and has_letter(t)]
-            if known:
-                best, score, count = infer([texts[i] for i in known], logs)
-                for i, b in zip(known, best, strict=True):
+            for some in held_together([texts[i] for i in known], len(langs)):
+                at = [known[j] for j in some]
+                best, score, count = infer([texts[i] for i in at], shared.value)
+                for i, b in zip(at, best, strict=True):
                     names[i] = langs[b]
-                scores[known], many[known] = score, count
+                scores[at], many[at] = score, count
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(many)], ["doc_id", "lang_pred", "score", "n_languages"])
 
     found = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_languages long")
