@@ -88,10 +88,6 @@ def quantile_cuts(x: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
 
 
-def leaf_values(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    return gradient / (weight + 1.0)
-
-
 def tree(gradient: np.ndarray, weight: np.ndarray, leaves: int = LEAVES) -> np.ndarray:
     """A shallow tree over ordered bins, as each bin's value: the best split of all leaves, again and again."""
     edges = [0, len(gradient)]
