@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, near_dup, repetition, secrets, spans
@@ -27,7 +28,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     """rows: (id, text) with different ids."""
     sets, up = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
 
@@ -40,7 +41,7 @@ def brute_components(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             n = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            if sets[a] and sets[b] and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 x, y = sorted((find(a), find(b)))
                 up[y] = x
     return {d: (len(sets[d]), find(d), d == find(d)) for d in ids}
@@ -74,6 +75,62 @@ def test_near_duplicates_of_odd_rows(odd, texts, none):
     assert near_dup.keep_one(none).collect() == []
 
 
+def brute_rows(rows, percent=85, by_id=True):
+    """Of any rows (id or None, text): for each its set's size, group and the smallest id of the group."""
+    found = brute_components(list(enumerate(t for _, t in rows)), percent)
+    group = [found[i][1] for i in range(len(rows))]
+    for i, (d, t) in enumerate(rows):
+        for j in range(i):
+            if by_id and d is not None and d == rows[j][0] and shingles(t) and shingles(rows[j][1]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    names = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return [(found[i][0], group[i], names[group[i]] if found[i][0] else d) for i, (d, _) in enumerate(rows)]
+
+
+def rows_of_one_id():
+    """Other texts under one id, several null ids, repeats, and copies that only they connect."""
+    a, b, c, d, e, f = (prose(s, 120) for s in range(300, 306))
+    rows = [(1, a), (1, b), (2, edited(a, 1, 1)), (3, edited(b, 1, 2)), (9, c), (None, edited(c, 1, 3)), (None, d), (None, edited(d, 1, 4)), (None, e), (None, None), (None, "")]
+    rows += [(20, f), (20, f), (20, ""), (20, None), (21, edited(f, 1, 5)), (5, a.upper()), (30, prose(400, 80)), (30, prose(401, 80)), (31, edited(prose(401, 80), 1, 6)), (29, edited(prose(400, 80), 1, 7))]
+    return rows
+
+
+def test_near_duplicates_of_other_texts_of_one_id(spark):
+    rows = rows_of_one_id()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = [(d, n, name, d is not None and d == name) for (d, _), (n, _, name) in zip(rows, brute_rows(rows), strict=True)]
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, expected))
+
+
+def test_keep_one_keeps_a_row_of_every_group(spark, odd, texts):
+    rows = rows_of_one_id()
+    kept = [tuple(r) for r in near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    found = brute_rows(rows, by_id=False)
+    assert set(kept) <= set(rows) and len(kept) == len(set(kept))
+    groups = {}
+    for row, (n, group, name) in zip(rows, found, strict=True):
+        groups.setdefault(group if n else ("empty", row), []).append((row, name))
+    for members in groups.values():
+        stay = [r for r in kept if r in {row for row, _ in members}]
+        assert len(stay) == 1 and stay[0][0] == members[0][1]
+    assert near_dup.keep_one(odd).columns == odd.columns
+    assert near_dup.keep_one(odd).count() == sum(1 for _ in {g if n else (d, t) for (d, t), (n, g, _) in zip([(d, t) for d, t, *_ in texts], brute_rows([(d, t) for d, t, *_ in texts], by_id=False), strict=True)})
+
+
+def test_rare_shingles_find_what_the_smallest_hides(spark):
+    """Sizes from small to large, so that links cross the classes of sizes."""
+    r, rows = random.Random(8), []
+    for i in range(60):
+        base = [f"x{i % 6}y{j}" for j in range(40)]
+        rows.append((i, " ".join(base[: 30 + r.randrange(11)])))
+    texts = spark.createDataFrame([(i, i, t, b"") for i, t in rows], "node long, component long, text string, bits binary")
+    got = {tuple(x) for x in near_dup.rare_first(texts, 80).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked and linked <= got
+
+
 def test_estimate_is_corrected():
     a = [f"w{i}".encode() for i in range(2000)]
     b = a[:1500] + [f"v{i}".encode() for i in range(500)]
@@ -189,35 +246,107 @@ def test_redaction(spark, odd, texts):
     assert secrets.redact(odd).columns == odd.columns
 
 
+def plain_sentences(text):
+    """(text, lower-cased words) of each sentence: a word ends one if white space follows it and it ends in a mark, or
+    if a line end follows it. Long ones are cut as the module's docstring says."""
+    out, current = [], []
+    for m in re.finditer(r"^[ \t-\r]+|[^ \t-\r]+[ \t-\r]*", text):
+        word = m[0].strip(" \t\n\x0b\x0c\r")
+        current.append((m[0], lower(word)))
+        if word and (word[-1] in ".!?" and m[0] != word or "\n" in m[0]):
+            out.append(current)
+            current = []
+    out += [current] if current else []
+    cut = []
+    for sentence in out:
+        ws = [w for _, w in sentence if w]
+        h = [xxhash.xxh3_64_intdigest(f"{x} {w}".encode()) for x, w in zip(["", *ws], ws, strict=False)]
+        n, ends = len(ws), []
+        if n > spans.MOST_WORDS:
+            k, last = spans.NEAR, 0
+            low = [i + 1 for i in range(n) if k <= i < n - k and all(h[i] < h[j] for j in range(i - k, i)) and all(h[i] <= h[j] for j in range(i + 1, i + k + 1))]
+            for at in [*low, n]:
+                while at - last > spans.MOST_WORDS:
+                    last = max(range(last + k + 1, last + spans.MOST_WORDS + 1), key=lambda e: (-h[e - 1], e))
+                    ends.append(last)
+                ends += [at] if at < n else []
+                last = at
+        part, seen = [], 0
+        for raw, w in sentence:
+            part.append((raw, w))
+            seen += bool(w)
+            if w and seen in ends:
+                cut.append(part)
+                part = []
+        cut += [part] if part else []
+    return [("".join(raw for raw, _ in p), tuple(w for _, w in p if w)) for p in cut]
+
+
+def plain_runs(tiles):
+    """(start, end) of each run."""
+    for i in range(len(tiles)):
+        for end in range(i + spans.RUN, len(tiles) + 1):
+            if sum(len(w) for _, w in tiles[i:end]) >= spans.LEAST_WORDS:
+                yield i, end
+                break
+
+
+def place_of(row):
+    """How rows come before each other: null ids first, then by id, then by what stands for id and text."""
+    d, t = row
+    named = "-" if d is None else f"{len(str(d))}:{d}"
+    body = "-" if t is None else f"{len(t.encode())}:{t}"
+    return d is not None, d or 0, hashlib.md5((named + body).encode()).digest()
+
+
 def brute_spans(rows):
-    """What is left of each text: the first place of each run stays."""
+    """What is left of each row that loses something: of equal runs the first place stays."""
+    tiles = {row: plain_sentences(row[1] or "") for row in rows}
     places = {}
-    for d, t in rows:
-        for h, p in zip(*spans.runs(t.encode()), strict=True):
-            places.setdefault(h, set()).add((d, p))
-    gone = {}
+    for row in tiles:
+        for i, end in plain_runs(tiles[row]):
+            places.setdefault(tuple(w for _, w in tiles[row][i:end]), []).append((place_of(row), i, end, row))
+    gone = {row: set() for row in tiles}
     for found in places.values():
-        for d, p in sorted(found)[1:]:
-            gone.setdefault(d, set()).update(range(p, p + spans.RUN))
-    out = {}
-    for d, t in rows:
-        if d in gone:
-            out[d] = "".join(t.encode()[a:b].decode() for i, (a, b, _) in enumerate(spans.sentences(t.encode())) if i not in gone[d])
-    return out
+        for _, i, end, row in sorted(found, key=lambda x: x[:2])[1:]:
+            gone[row] |= set(range(i, end))
+    return [(d, "".join(raw for i, (raw, _) in enumerate(tiles[d, t]) if i not in gone[d, t])) for d, t in rows if gone[d, t]]
 
 
-def test_spans_against_brute_force(spark, odd, none):
+def test_spans_against_brute_force(spark, odd, texts, none):
     passage = ". ".join(" ".join(f"Word{i}{j}" for j in range(9)) for i in range(7)) + ". "
     own = [". ".join(f"Own {d} {i} sentence of some length here" for i in range(6)) + ". " for d in range(8)]
     rows = [(d, own[d] + (passage if d % 2 else "") + own[d][:40]) for d in range(8)] + [(20, passage + "Between. " + passage), (21, "")]
-    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_spans(rows)
-    assert set(got) == {3, 5, 7, 20}
-    assert all("Word" not in got[d] and got[d].startswith(f"Own {d} 0") for d in (3, 5, 7))
-    assert {r["doc_id"] for r in spans.remove_repeats(odd).collect()} >= {7}
+    got = [(r["doc_id"], r["text"]) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_spans(rows))
+    assert {d for d, _ in got} == {3, 5, 7, 20}
+    assert all("Word" not in t and t.startswith(f"Own {d} 0") for d, t in got if d != 20)
+    all_odd = [(d, t) for d, t, *_ in texts]
+    got = [(r["doc_id"], r["text"]) for r in spans.remove_repeats(odd).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_spans(all_odd)))
+    assert {d for d, _ in got} >= {7}
     assert spans.remove_repeats(none).collect() == []
 
 
+def test_spans_of_other_texts_of_one_id(spark):
+    """A row loses only what it repeats itself, whatever other rows of its id, or without one, repeat."""
+    passage = "".join(f"Shared line {i} of five words\n" for i in range(8))
+    alone = ["".join(f"Sentence {i} of {n} stands alone here. " for i in range(8)) for n in range(6)]
+    rows = [(1, "Begins. " + passage), (7, "Copied. " + passage), (7, alone[0]), (None, alone[1] + passage), (None, alone[2]), (None, alone[3] + passage), (8, alone[4] + passage), (8, alone[4] + passage), (8, alone[5])]
+    got = [(r["doc_id"], r["text"]) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_spans(rows)))
+    left = {t for _, t in got}
+    assert not left & {alone[0], alone[2], alone[5]} and alone[4] in left
+    assert len(got) == 5
+
+
+def test_shapes_are_the_callers_choice(spark):
+    rows = [(d, f"Own {d} text here. One two three. Four five six. Seven eight nine. Own end {d}.") for d in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spans.remove_repeats(frame).collect() == []
+    assert [r["n_removed"] for r in spans.remove_repeats(frame, spans.Shape(3, 1, None)).collect()] == [3]
+
+
 def test_spans_of_short_lines(spark):
     """60 words in lines of 4: no three of them hold 15 words."""
     passage = "".join(f"Line {i} of verse\n" for i in range(15))
@@ -294,6 +423,20 @@ def test_mix(spark, odd, texts, none):
     assert applied.count() == sum(x["copies"] for x in weird)
 
 
+def test_mix_tells_rows_apart(spark):
+    """Nulls, values that look like them, and rows that only differ in another column are rows of their own."""
+    rows = [(1, "x", "en", None, 1), (1, None, "en", "x", 1), (1, "-", "en", None, 1), (None, "1:x", "en", None, 1), (2, "a b", "en", "s", 1), (2, "a b", "de", "s", 1), (2, "a b", None, "s", 1), (3, "same", "en", "s", 1), (3, "same", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = {}
+    for r in mixing.mix(docs, share=2.0).collect():
+        taken[r["row_key"]] = taken.get(r["row_key"], 0) + r["copies"]
+    keys = [r["k"] for r in docs.select(mixing.key_of(docs).alias("k")).collect()]
+    assert len(set(keys)) == len(set(rows)) == 8
+    got = Counter(tuple(r) for r in mixing.apply_mix(docs, share=2.0).collect())
+    assert got == Counter({row: taken[k] for row, k in zip(rows, keys, strict=True) if taken[k]})
+    assert got[rows[0]] == 2 and got[rows[7]] == 4
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(2)
     p, s = rng.random(500), rng.integers(1, 900, 500)
@@ -305,9 +448,21 @@ def test_flight_keeps_sums():
     assert np.abs(mean - p).max() < 0.15
 
 
-def test_targets_cap_and_share():
-    assert mixing.targets({"a": 10, "b": 1000, None: 10}) == pytest.approx(brute_targets({"a": 10, "b": 1000, None: 10}))
-    assert mixing.targets({"a": 0}) == {"a": 0.0}
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 10}, {"a": 0}, {"a": 5, "B": 7, "é": 900, "b": 0, "\U0001f600": 3, "\uffee": 80, None: 1}, {f"host{i:05}": (i * i) % 997 for i in range(500)}])
+def test_targets_cap_and_share(spark, sizes):
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+    assert got == pytest.approx(brute_targets(sizes) if any(sizes.values()) else sizes)
+
+
+def test_places_over_ranges(spark):
+    """More ranges than one, so that numbers go on from range to range."""
+    names = [f"s{i:04}" for i in range(3000)] + [None]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = {r["source"]: r["place"] for r in mixing.placed(spark.createDataFrame([(x,) for x in reversed(names)], "source string")).collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert got == {x: i for i, x in enumerate(names)}
 
 
 def test_size_of(spark, texts):

@@ -67,7 +67,7 @@ def test_reader_takes_what_is_asked(odd, texts, library, tmp_path):
 def test_spaces_at_the_end(text):
     coder = pieces.encoder(PIECE)
     ids, _, ends = next(iter(coder.encode([text.encode()])))
-    assert ids.tolist() == coder.model.encode(text)
+    assert ids == coder.model.encode(text)
     assert ends[-1] == len(text.encode())
 
 
@@ -81,18 +81,106 @@ def test_words_equal_whole_texts(text):
     assert np.frombuffer(coder.encode([text.encode()])[0], "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["日本語テキスト" * 400, "x" * 5000 + " " + "y" * 300, "a b " * 3000, "é" * 257 + "<|endoftext|>" + "w" * 700, ""])
+def test_words_under_a_budget(text, monkeypatch, library):
+    """Long words aren't remembered, and what is remembered stays near its bound."""
+    coder = token_files.WordEncoder(WORD)
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 10_000)
+    monkeypatch.setattr(token_files, "PART_BYTES", 1_000)
+    texts = [f"{text} {i} word{i} {text[:200]}" for i in range(30)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, coder.known), default=0) <= token_files.WORD_BYTES
+    assert sum(len(k) + len(v) for k, v in coder.known.items()) <= coder.held <= 10_000 + 260 * (token_files.WORD_COST + 1_000)
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path, library):
+    import json
+
+    rules = json.load(open(WORD))
+    assert token_files.WordEncoder(WORD).by_word
+    rules["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    path = str(tmp_path / "other.json")
+    json.dump(rules, open(path, "w"))
+    coder = token_files.WordEncoder(path)
+    assert not coder.by_word
+    texts = ["one two  three.", "", "a\nb c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode([t.encode() for t in texts])] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.tokenizer.encode(texts[0]).ids != library.encode(texts[0]).ids
+
+
+def library_spans(model, text):
+    return [(p.id, p.begin, p.end) for p in model.encode(text, return_type="proto").pieces]
+
+
+def with_map(rule: str, **options) -> bytes:
+    """The given model with the library's own compiled map of a rule in place of its own."""
+    import sentencepiece
+
+    other = sentencepiece.SentencePieceNormalizer(rule_name=rule, **options).serialized_model_proto()
+    spec = next(v for k, v in pieces.proto_fields(other) if k == 3)
+    return b"".join(field(k, v) for k, v in pieces.proto_fields(open(PIECE, "rb").read()) if k != 3) + field(3, spec)
+
+
 @settings(max_examples=300, deadline=None)
 @given(MIXED)
 def test_pieces_equal_library(text):
+    """Ids and spans, of the given model."""
     coder = pieces.encoder(PIECE)
     (ids, starts, ends), data = next(iter(coder.encode([text.encode()]))), text.encode()
-    assert ids.tolist() == coder.model.encode(text)
-    assert (starts <= ends).all()
+    assert list(zip(ids, starts.tolist(), ends.tolist(), strict=True)) == library_spans(coder.model, text)
     if len(ids):
         assert (starts[0], ends[-1]) == (0, len(data))
         assert (starts[1:] == ends[:-1]).all()
 
 
+EXPANDING = st.text(st.one_of(st.sampled_from("abXY 1.\n\t▁éß　\xa0\x1cﬁﬂ½Ａ㌀㍿\u200b\xadΣ\u0301"), st.characters(exclude_categories=["Cs"])), max_size=40)
+
+
+@pytest.fixture(scope="module")
+def mapped():
+    return [pieces.PieceEncoder(model=with_map(rule)) for rule in ("nmt_nfkc", "nfkc_cf")]
+
+
+@settings(max_examples=400, deadline=None)
+@given(EXPANDING)
+def test_spans_through_a_compiled_map(mapped, text):
+    """Characters that the map expands, joins and drops: ids and spans are the library's own."""
+    for coder in mapped:
+        ids, starts, ends = next(iter(coder.encode([text.encode()])))
+        assert list(zip(ids, starts.tolist(), ends.tolist(), strict=True)) == library_spans(coder.model, text)
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("prefix", [True, False])
+@settings(max_examples=150, deadline=None)
+@given(text=EXPANDING)
+def test_alignment_equals_library(squeeze, prefix, text):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=prefix, remove_extra_whitespaces=squeeze, escape_whitespaces=True)
+    normal, origin, _ = pieces.Normaliser(lib.serialized_model_proto()).align(text.encode())
+    wanted, places = lib.Normalize(text, with_offsets=True)
+    at = np.cumsum([0, *(len(c.encode()) for c in normal.decode())])
+    assert normal.decode() == wanted
+    assert [len(text.encode()[: origin[i]].decode()) for i in at] == places
+
+
+def test_long_texts_in_parts(monkeypatch):
+    coder = pieces.PieceEncoder(PIECE)
+    texts = [t.encode() for t in ("one  two three   four " * 60, " lead" * 90, "日本語 " * 80, "unspaced" * 90, "a ▁ b " * 90, "x y" + " " * 300)]
+    whole = list(coder.encode(texts))
+    monkeypatch.setattr(pieces, "PART_BYTES", 64)
+    assert len(coder.parts(texts[0])) > 5 and len(coder.parts(texts[3])) == len(coder.parts(texts[4])) == 1
+    for a, b in zip(whole, coder.encode(texts), strict=True):
+        assert a[0] == b[0] and a[1].tolist() == b[1].tolist() and a[2].tolist() == b[2].tolist()
+
+
+def test_user_defined_pieces_are_refused():
+    extra = field(1, field(1, b"<sep>") + b"\x15\x00\x00\x00\x00" + field(3, 4))
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.PieceEncoder(model=open(PIECE, "rb").read() + extra)
+
+
 def test_encode_documents(odd, texts):
     model = pieces.encoder(PIECE).model
     expected = []
