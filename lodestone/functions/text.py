@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,22 +13,30 @@ from .vectors import let
 # The patterns that define tokens.
 WORD = r"[\p{L}\p{N}]+(?:[-_.][\p{L}\p{N}]+)*"
 PLAIN_WORD = r"[\p{L}\p{N}]+"
-DOTTED_NUMBER = r"^\d+(\.\d+)+$"
+DOTTED_NUMBER = r"^\d+(?:\.\d+)+$"
+CAMEL = r"(?<=\p{Ll}|\p{N})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+
 SIMPLE = r"^\p{Lu}?[\p{Ll}]+$|^\p{Lu}+$|^\p{N}+$"
-CAMEL = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: Where a text has none of these, its tokens are the words of the lowered text: no compound, no camel case, and no
+#: letter whose lower case depends on what follows or is no letter only. All but a few characters fail the first test.
+SPECIAL = r"(?=[-_.\p{Lu}])(?:(?<=[\p{L}\p{N}])[-_.](?=[\p{L}\p{N}])|(?<=[\p{Ll}\p{N}])\p{Lu}|(?<=\p{Lu})\p{Lu}(?=\p{Ll})|[\x{130}\x{3A3}])"
+#: Only texts with characters beyond these can change when they are composed.
+COMPOSED = r"[^\x{0}-\x{2FF}\x{2002}-\x{20CF}]"
 
 # Characters that count as the same when quotes are matched.
 SAME = {"'": "‘’‚‛′", '"': "“”„‟″", "-": "‐‑‒–—―−"}
 ELLIPSIS = "…"
 #: White space of all scripts, and the byte order mark.
 WHITE = r"(?U)[\s\x{FEFF}]+"
+NOT_WHITE = r"(?U)[^\s\x{FEFF}]"
 
 CHARS_PER_TOKEN = 3.5
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words; of compounds also their parts, and of those the camel-case pieces. Order and repeats stay.
-    The text is expected in NFC (see `nfc`)."""
+    """Lower-cased words of the composed text; of compounds also their parts, and of those the camel-case pieces. Order
+    and repeats stay."""
+    composed = nfc(F.coalesce(text, F.lit("")))
 
     none = F.array().cast("array<string>")
 
@@ -44,7 +52,8 @@ def tokens(text: Column) -> Column:
         compound = F.when(word.rlike(DOTTED_NUMBER), own).otherwise(F.concat(own, let(F.split(word, "[-_.]"), of_parts)))
         return F.when(word.rlike(SIMPLE), own).otherwise(compound)
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of_word))
+    plain = F.regexp_extract_all(F.lower(composed), F.lit(PLAIN_WORD), F.lit(0))
+    return F.when(composed.rlike(SPECIAL), F.flatten(F.transform(F.regexp_extract_all(composed, F.lit(WORD), F.lit(0)), of_word))).otherwise(plain)
 
 
 def plain_tokens(text: Column) -> Column:
@@ -52,13 +61,11 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), F.lit(0))
 
 
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
-
-
 def nfc(text: Column) -> Column:
-    """Unicode's composed form, which Spark has no function for: an Arrow batch at a time, once at ingest."""
-    return F.pandas_udf(_composed, "string")(text)
+    """Unicode's composed form, by the Unicode library that Spark ships for its collations; only texts that may change
+    go through it."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(COMPOSED), composed).otherwise(text)
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -69,11 +76,68 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
+class Normal:
+    """A text's normal form; starts and ends give each of its characters the range of the source it came from.
+
+    It is made by clusters, of a character and the marks after it: each is folded or composed on its own.
+    """
+
+    def __init__(self, source: str):
+        out, self.starts, self.ends, space, at = [], [], [], None, 0
+        while at < len(source):
+            end = at + 1
+            while end < len(source) and unicodedata.category(source[end])[0] == "M":
+                end += 1
+            cluster = source[at:end]
+            if is_white(cluster[0]):
+                if out:
+                    space = (space[0] if space else at, end)
+            else:
+                if space:
+                    self._add(out, " ", *space)
+                    space = None
+                self._add(out, unicodedata.normalize("NFC", FOLDED.get(cluster, cluster)), at, end)
+            at = end
+        self.text = "".join(out)
+
+    def _add(self, out: list[str], what: str, start: int, end: int) -> None:
+        out.append(what)
+        self.starts += [start] * len(what)
+        self.ends += [end] * len(what)
+
+    def find(self, needle: str) -> Iterator[tuple[int, int]]:
+        """Source ranges of all places, those that overlap too."""
+        at = self.text.find(needle) if needle else -1
+        while at >= 0:
+            yield self.starts[at], self.ends[at + len(needle) - 1]
+            at = self.text.find(needle, at + 1)
+
+
+FOLDED = {c: to for to, chars in SAME.items() for c in chars} | {ELLIPSIS: "..."}
+
+
+def is_white(c: str) -> bool:
+    return c.isspace() and not "\x1c" <= c <= "\x1f" or c == "\ufeff"
+
+
+#: Vowels and ends of Korean syllables, which would join the letter before; a cluster is one of them alone.
+JOINING = r"(?=[\x{1160}-\x{11FF}\x{D7B0}-\x{D7FB}])"
+#: A code point that no text holds.
+APART = "\uffff"
+
+
 def normalize_for_match(text: Column) -> Column:
-    """What quotes are compared by: one space per run of white space, plain quotes and dashes, case kept."""
-    found = "".join(SAME.values()) + " "
+    """What quotes are compared by, the text of `Normal`: one space per run of white space, plain quotes and dashes,
+    composed, case kept. Characters with marks are folded by clusters, in texts that may hold any."""
+    found = "".join(SAME.values()) + " "
     by = "".join(k * len(v) for k, v in SAME.items()) + " "
-    return collapse(F.replace(F.translate(text, found, by), F.lit(ELLIPSIS), F.lit("...")))
+    plain = collapse(F.replace(F.translate(text, found, by), F.lit(ELLIPSIS), F.lit("...")))
+    marked = text
+    for to, chars in (SAME | {"...": ELLIPSIS}).items():
+        marked = F.regexp_replace(marked, f"[{chars}](?!\\p{{M}})", to)
+    marked = F.replace(nfc(F.regexp_replace(marked, JOINING, APART)), F.lit(APART), F.lit(""))
+    marked = F.trim(F.regexp_replace(marked, r"(?U)(?:[\s\x{FEFF}]\p{M}*)+", " "))
+    return F.when(text.rlike(COMPOSED), marked).otherwise(plain)
 
 
 def words(text: Column) -> Column:
@@ -82,7 +146,7 @@ def words(text: Column) -> Column:
 
 
 # A trailing bracket that holds claim numbers or chunk ids only, and how levels are named.
-MARKERS = r"(?i)(?:\s*\[(?:(?:claims?|citazion[ei]|cita|fonte|sources?)\s+)?(?:\d+(?:,\s*\d+)*|[0-9a-f]{16}(?:,\s*[0-9a-f]{16})*)\]\s*)+$"
+MARKERS = r"(?i)(?:\s*\[(?:(?:claims?|citazion[ei]|cita|fonte|source|sources)\s+)?(?:\d+(?:,\s*\d+)*|[0-9a-f]{16}(?:,\s*[0-9a-f]{16})*)\]\s*)+$"
 LEVEL_IN_TITLE = r"\(Level (A{1,3})\)"
 LEVEL_NAMED = r"(?<![A-Za-z0-9_])(?:(?:Level|Livello)\s+(A{1,3})|(AAA?))(?![A-Za-z0-9_])"
 SC_REF = r"(?:Success Criterion|SC)\s+(\d+\.\d+\.\d+)(?![A-Za-z0-9_])|^(\d+\.\d+\.\d+)(?=\s)"
