@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import settle
 
 K1, B = 1.2, 0.75
 CANDIDATES = 30
@@ -44,17 +45,32 @@ def contribution(k1: Column, b: Column) -> Column:
     return F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
 
 
+def tokenized(docs: DataFrame, **tokenizers: Tokens) -> DataFrame:
+    """(id, and a list of tokens for each tokenizer, by its name) of docs (id, text): the texts are read and cut once,
+    and written, so that statistics, frequencies and scores all come from here."""
+    return settle(docs.select("id", *[f(F.col("text")).alias(name) for name, f in (tokenizers or {"tokens": T.tokens}).items()]), "tokens")
+
+
+def asked_postings(listed: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the terms, the one row of statistics) of listed (id, tokens). Tokens of other terms are dropped
+    before they are counted."""
+    size = F.size("tokens").cast("long")
+    asked = listed.select("id", size.alias("len"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    # by document, so that a document's scores are summed where its postings lie
+    held = settle(asked.repartition("id").groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "postings")
+    n = F.count("*")
+    return held, listed.select(size.alias("len")).agg(n.alias("n"), F.coalesce(F.sum("len") / F.nullif(n, F.lit(0)), F.lit(0.0)).cast("double").alias("avgdl"))
+
+
 def matches(docs: DataFrame, queries: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
-    """(query_id, pos, term, id, len, tf, df, idf, avgdl): a row for each term of a query that a document holds.
+    """(query_id, pos, term, id, len, tf, df, idf, avgdl): a row for each term of a query that a document holds."""
+    return matches_of(tokenized(docs, tokens=tokens), queries, tokens)
 
-    Postings of other terms are dropped before they are counted; one exchange of what remains serves both the
-    frequencies and the scores.
-    """
-    terms = query_terms(queries, tokens).select("term").distinct()
-    listed = docs.select("id", tokens(F.col("text")).alias("tokens"))
-    asked = listed.select("id", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    held = asked.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    return _weighted(query_terms(queries, tokens), held, statistics(docs, tokens))
+
+def matches_of(listed: DataFrame, queries: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
+    """The same over listed (id, tokens)."""
+    terms = query_terms(queries, tokens)
+    return _weighted(terms, *asked_postings(listed, terms))
 
 
 def matches_in(posted: DataFrame, stats: DataFrame, queries: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
@@ -64,8 +80,10 @@ def matches_in(posted: DataFrame, stats: DataFrame, queries: DataFrame, tokens:
 
 
 def _weighted(terms: DataFrame, held: DataFrame, stats: DataFrame) -> DataFrame:
-    wide = terms.join(frequencies(held), "term").join(held, "term")
-    return wide.crossJoin(F.broadcast(stats.select("n", "avgdl"))).withColumn("idf", idf(F.col("n"), F.col("df")))  # one row
+    # a row for each term of a query; written, so that Spark knows its size and sends it to the postings where it is small
+    known = terms.join(frequencies(held), "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))  # one row
+    weights = settle(known.withColumn("idf", idf(F.col("n"), F.col("df"))), "weights")
+    return held.join(weights, "term")
 
 
 def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), ties: tuple[str, ...] = ("first", "id")) -> DataFrame:
@@ -87,6 +105,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tok
     return scored(matches(docs, queries, tokens), k, k1, b)
 
 
+def search_tokenized(listed: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
+    """The same over listed (id, tokens), which several searches share."""
+    return scored(matches_of(listed, queries, tokens), k, k1, b)
+
+
 def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
     """The same over an index that was built once: only postings of the queries' terms are read and joined."""
     return scored(matches_in(posted, stats, queries), k, k1, b)
@@ -103,7 +126,10 @@ def sweep(docs: DataFrame, queries: DataFrame, params: list[tuple[float, float]]
 def explain(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, term, df, idf, tf, score) for each of pairs (query_id, id) and each distinct term of the query;
     terms that the document or the index lacks count 0. The scores of a pair add up to the search's score."""
-    found = matches(docs, queries)
+    return explain_matches(matches(docs, queries), queries, pairs, k1, b)
+
+
+def explain_matches(found: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     known = found.select("query_id", "term", "df", "idf").distinct()
     wanted = pairs.join(query_terms(queries), "query_id").join(known, ["query_id", "term"], "left")
     parts = found.join(pairs, ["query_id", "id"], "left_semi").select("query_id", "id", "term", "tf", contribution(F.lit(k1), F.lit(b)).alias("score"))
@@ -111,6 +137,16 @@ def explain(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K
     return wanted.join(parts, ["query_id", "id", "term"], "left").select("query_id", "id", "term", *zero)
 
 
+def term_summary(parts: DataFrame, stats: DataFrame) -> DataFrame:
+    """Of `explain`'s rows, for each pair: the terms that the document holds, the largest score first, those that only
+    other documents hold, the score's total, and the mean length, rounded."""
+    present = F.filter("listed", lambda x: x["tf"] > 0)
+    absent = F.array_sort(F.transform(F.filter("listed", lambda x: (x["tf"] == 0) & (x["df"] > 0)), lambda x: x["term"]))
+    listed = parts.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("by"), "term", "tf", "df"))).alias("listed"), F.sum("score").alias("total"))
+    one = F.broadcast(stats.select(F.round("avgdl").cast("long").alias("avgdl")))  # one row
+    return listed.select("query_id", "id", F.transform(present, lambda x: x["term"]).alias("present"), absent.alias("absent"), "total").crossJoin(one)
+
+
 def diagnostics(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query: counts of all, distinct, known and missing terms, and the rarest and commonest known one."""
     listed = queries.select("query_id", T.tokens(F.col("text")).alias("tokens"))
