@@ -78,6 +78,18 @@ def cut_block(text: str, start: int, end: int, most: int) -> Iterator[Block]:
         yield from piece()
 
 
+def hard_pieces(docs: DataFrame, most: int = Sizes.most) -> DataFrame:
+    """(doc_id, char_start, char_end) of docs (doc_id, text), cut by length alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(d, x.start, x.end) for d, n in zip(rows["doc_id"], rows["n"], strict=True) for x in cut_hard(0, n, most)]
+            yield pd.DataFrame(found, columns=["doc_id", "char_start", "char_end"])
+
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return sizes.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, char_start int, char_end int")
+
+
 def blocks_of(text: str, most: int) -> Iterator[Block]:
     start = 0
     for raw in text.split("\n\n"):
@@ -182,39 +194,49 @@ def chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
 
 
 def fixed_windows(docs: DataFrame, tokens: int = 400, overlap: float = 0.15) -> DataFrame:
-    """(doc_id, char_start, char_end, text) of docs (doc_id, text): windows of one size, moved to spaces."""
-    size = round(tokens * T.CHARS_PER_TOKEN)
-    step = round(size * (1 - overlap))
+    """(doc_id, char_start, char_end, text) of docs (doc_id, text): windows of one size, rounded down, moved to spaces;
+    blank ones are left out."""
+    size = math.floor(tokens * T.CHARS_PER_TOKEN)
+    step = math.floor(size * (1 - overlap))
     n = F.length("text")
     at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))).alias("at")
     # a window that isn't the first only starts if the one before didn't reach the end
     raw = docs.select("doc_id", "text", at).where((F.col("at") == 0) | (F.col("at") - step + size < n))
     end = F.least(F.col("at") + size, n)
     # the last space at or before the end, and the first at or after the start, in the piece where it may be used
-    tail = F.reverse(F.substring("text", F.col("at") + size // 2 + 2, F.lit(size // 2)))
+    tail = F.reverse(F.substring("text", F.col("at") + size // 2 + 2, F.lit(size - size // 2)))
     back = F.locate(" ", tail)
     snapped = F.when((end < n) & (back > 0), F.col("at") + size - back + 1).otherwise(end)
     ahead = F.locate(" ", F.substring("text", F.col("at") + 1, F.lit(40)))
     begun = F.when((F.col("at") > 0) & (ahead > 0), F.col("at") + ahead).otherwise(F.col("at"))
-    return raw.select("doc_id", begun.alias("char_start"), snapped.alias("char_end"), "text").select("doc_id", "char_start", "char_end", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"))
+    cut = raw.select("doc_id", begun.alias("char_start"), snapped.alias("char_end"), "text").select("doc_id", "char_start", "char_end", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"))
+    return cut.where(F.col("text").rlike(T.NOT_WHITE))
+
+
+HEADING_LINE = r"(?m)^(#{1,6}) (.+)$"
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, level, title) of the heading blocks of docs (doc_id, text)."""
-    blocks = docs.select("doc_id", F.split("text", "\n\n").alias("b")).select("doc_id", F.posexplode("b").alias("i", "block"), F.transform("b", lambda x: F.length(x) + 2).alias("sizes"))
-    at = F.aggregate(F.slice("sizes", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + x)
-    marks = F.regexp_extract("block", r"^(#{1,6}) .+$", 1)
-    return blocks.where(F.col("block").rlike(r"^#{1,6} .+$")).select("doc_id", at.alias("at"), F.length(marks).alias("level"), F.regexp_extract("block", r"^#{1,6} (.+)$", 1).alias("title"))
+    """(doc_id, at, level, title) of the heading lines of docs (doc_id, text), wherever they stand in a block."""
+    found = F.regexp_extract_all("text", F.lit(HEADING_LINE), F.lit(0))
+    between = F.transform(F.split("text", HEADING_LINE, -1), F.length)
+    listed = docs.where(F.col("text").rlike(HEADING_LINE)).select("doc_id", F.posexplode(F.arrays_zip(found.alias("line"), F.slice(between, 1, F.size(found)).alias("gap"))).alias("i", "h"))
+    line = F.col("h.line")
+    # what stands before a heading: all gaps up to its own, and all headings before it
+    at = F.sum(F.col("h.gap") + F.length(line)).over(Window.partitionBy("doc_id").orderBy("i")) - F.length(line)
+    return listed.select("doc_id", at.cast("int").alias("at"), F.length(F.regexp_extract(line, HEADING_LINE, 1)).alias("level"), F.regexp_extract(line, HEADING_LINE, 2).alias("title"))
 
 
 def path_at(windows: DataFrame, heads: DataFrame) -> DataFrame:
     """windows (doc_id, char_start, ...) with heading_path: of the headings at or before the start, those that no later
-    one of their own or a higher level has closed."""
-    listed = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "level", "title"))).alias("heads"))
-    before = F.filter("heads", lambda h: h["at"] <= F.col("char_start"))
-    wide = windows.join(listed, "doc_id", "left").withColumn("before", before)
-    alive = F.filter("before", lambda h: ~F.exists("before", lambda g: (g["at"] > h["at"]) & (g["level"] <= h["level"])))
-    return wide.withColumn("heading_path", F.coalesce(F.transform(alive, lambda h: h["title"]), F.array().cast("array<string>"))).drop("heads", "before")
+    one of their own or a higher level has closed. One pass over a document's windows and headings in their order: the
+    last heading of a level counts unless one of a higher level came after it."""
+    rows = windows.withColumns({"__at": F.col("char_start"), "__kind": F.lit(1)}).unionByName(heads.select("doc_id", F.col("at").alias("__at"), F.lit(0).alias("__kind"), F.col("level").alias("__level"), F.col("title").alias("__title")), allowMissingColumns=True)
+    so_far = Window.partitionBy("doc_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("__level") == n, F.struct("__at", "__title"))).over(so_far).alias(f"__h{n}") for n in range(1, 7)]
+    rows = rows.select("*", *last).where("__kind = 1")
+    open_ = [F.when(F.col(f"__h{n}").isNotNull() & (F.greatest(F.lit(-1), *[F.col(f"__h{m}.__at") for m in range(1, n)]) < F.col(f"__h{n}.__at") if n > 1 else F.col("__h1").isNotNull()), F.col(f"__h{n}.__title")) for n in range(1, 7)]
+    return rows.withColumn("heading_path", F.filter(F.array(*open_), lambda x: x.isNotNull())).select(*windows.columns, "heading_path")
 
 
 def quantile(values: Column, p: float) -> Column:
@@ -227,21 +249,30 @@ def exact_quantiles(rows: DataFrame, value: str, ps: dict[str, float], keys: tup
     """One row (for each key) with the elements at floor(p n) of the sorted values: from counts of equal values, so no
     task holds more rows than there are different values."""
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    listed = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), "c"))).alias("l"), F.sum("c").alias("n"))
-    upto = F.aggregate("l", F.expr(f"named_struct('n', 0L, 'a', cast(array() as array<struct<v:{dict(rows.dtypes)[value]},upto:bigint>>))"), lambda a, x: F.struct((a["n"] + x["c"]).alias("n"), F.array_append(a["a"], F.struct(x["v"].alias("v"), (a["n"] + x["c"]).alias("upto"))).alias("a")), lambda a: a["a"])
-    listed = listed.withColumn("u", upto)
-    return listed.select(*keys, "n", *[F.element_at(F.filter("u", lambda x: x["upto"] > F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q)))), 1)["v"].alias(name) for name, q in ps.items()])
-
-
-def statistics(chunked: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row: count, token quantiles, and shares of chunks whose offsets hold, that end and start cleanly, and that
-    have a reference. chunked: doc_id, text, char_start, char_end, sc_ref."""
+    of = Window.partitionBy(*keys)
+    upto = counts.withColumn("upto", F.sum("c").over(of.orderBy(value))).withColumn("n", F.sum("c").over(of))
+    picked = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))), F.col(value))).alias(name) for name, q in ps.items()]
+    found = upto.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
+    return found if keys else found.where("n IS NOT NULL")
+
+
+def statistics(chunked: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each key): count, token quantiles, and shares of chunks whose offsets hold, that end cleanly (in a
+    mark, a line end, or with the document), that start cleanly (with the document, or right after a line end), and that
+    have a reference. chunked: keys, doc_id, text, char_start, char_end, sc_ref."""
+    text, whole = F.col("text"), F.col("whole")
     wide = chunked.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").select(
-        T.estimate_tokens(F.col("text")).alias("tokens"),
-        (F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")).cast("int").alias("holds"),
-        F.rtrim(F.col("text")).rlike(r"[.!?:;|)\]\"'”’]$").cast("int").alias("ends"),
-        F.col("text").rlike(r"^(#|-|\p{Lu}|\d|[\"'“‘(])").cast("int").alias("starts"),
+        *keys,
+        T.estimate_tokens(text).alias("tokens"),
+        (F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == text).cast("int").alias("holds"),
+        (text.rlike(CLEAN_END) | (F.col("char_end") == F.length(whole))).cast("int").alias("ends"),
+        ((F.col("char_start") == 0) | (F.substring("whole", F.col("char_start"), F.lit(1)) == "\n")).cast("int").alias("starts"),
         F.col("sc_ref").isNotNull().cast("int").alias("referenced"),
     )
-    shares = wide.agg(*[F.avg(c).alias(c) for c in ("holds", "ends", "starts", "referenced")])
-    return exact_quantiles(wide.select("tokens"), "tokens", {"median": 0.5, "p10": 0.1, "p90": 0.9}).crossJoin(shares)  # one row each
+    shares = wide.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("holds", "ends", "starts", "referenced")])
+    found = exact_quantiles(wide.select(*keys, "tokens"), "tokens", {"median": 0.5, "p10": 0.1, "p90": 0.9}, keys)
+    return found.join(shares, list(keys)) if keys else found.crossJoin(shares)  # one row each
+
+
+# Fixed value: how a chunk ends cleanly.
+CLEAN_END = r"[.!?:;)\"'”’\]](?U:[\s\x{FEFF}]*)\z|\n(?U:[\s\x{FEFF}]*)\z"

@@ -39,6 +39,11 @@ def success(k: int) -> Column:
 
 
 def reciprocal_rank() -> Column:
+    """1 for a question without relevant ids, 0 where none was found."""
+    return F.when(F.col("n_primary") == 0, F.lit(1.0)).otherwise(first_relevant())
+
+
+def first_relevant() -> Column:
     return F.coalesce(1.0 / F.array_min(F.transform(F.filter("hits", lambda h: h["grade"] == 2), lambda h: h["rank"])), F.lit(0.0))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,48 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import Normal
+from ..sources.scratch import numbered
 
 VERIFIED_AT, PARTIAL_AT = 0.7, 0.4
 JUDGED_PER_CLAIM = 2
+#: What no chunk says.
+INVENTED = "Every lighthouse keeper shall count the passing ships twice before the evening bell."
 STATUSES = ("verified", "partial", "unverified", "unsupported", "uncited")
 
-SAME = {c: to for to, chars in T.SAME.items() for c in chars} | {T.ELLIPSIS: "..."}
 WHITE_BEFORE = re.compile(r"\s+\Z")
-TERM = re.compile(r"([^:\n]{1,60}):\s+(.+)", re.S)
-
-
-class Normal:
-    """A text's normal form; starts and ends give each of its characters the range of the source it came from."""
-
-    def __init__(self, source: str):
-        out, self.starts, self.ends, space, at = [], [], [], None, 0
-        while at < len(source):
-            end = at + 1
-            while end < len(source) and unicodedata.category(source[end])[0] == "M":
-                end += 1
-            cluster = source[at:end]
-            if cluster[0].isspace() and not "\x1c" <= cluster[0] <= "\x1f" or cluster[0] == "\ufeff":
-                if out:
-                    space = (space[0] if space else at, end)
-            else:
-                if space:
-                    self._add(out, " ", *space)
-                    space = None
-                self._add(out, unicodedata.normalize("NFC", SAME.get(cluster, cluster)), at, end)
-            at = end
-        self.text = "".join(out)
-
-    def _add(self, out: list[str], what: str, start: int, end: int) -> None:
-        out.append(what)
-        self.starts += [start] * len(what)
-        self.ends += [end] * len(what)
-
-    def find(self, needle: str) -> Iterator[tuple[int, int]]:
-        """Source ranges of all places, those that overlap too."""
-        at = self.text.find(needle) if needle else -1
-        while at >= 0:
-            yield self.starts[at], self.ends[at + len(needle) - 1]
-            at = self.text.find(needle, at + 1)
+TERM = r"([^:\n]{1,60}):\s+(.+)"
 
 
 def locate(quote: str | None, text: str | None) -> tuple[int, int] | None:
@@ -63,7 +31,7 @@ def locate(quote: str | None, text: str | None) -> tuple[int, int] | None:
     found = next(haystack.find(Normal(quote).text), None)
     if found:
         return found
-    m = TERM.fullmatch(quote)
+    m = re.fullmatch(TERM, quote, re.S)
     term = Normal(m[1]).text.strip() if m else ""
     if term:
         for start, end in haystack.find(Normal(m[2]).text):
@@ -84,13 +52,14 @@ def quote_holds(quote: Column, text: Column) -> Column:
 
 def citations(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """(answer_id, claim_idx, pos, sentence, quote, chunk_id, doc_title, heading_path, sc_ref, text, span): a row for
-    each cited chunk; one that doesn't exist has no text and no span. Spans are offsets in the document."""
+    each cited chunk; one that doesn't exist has no text and no span. Spans are offsets in the document. Only chunks that
+    hold the quote, or its definition, are searched for the place."""
     cited = claims.select("answer_id", "claim_idx", "sentence", "quote", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
     wide = cited.join(chunks.select(F.col("id").alias("chunk_id"), "doc_title", "heading_path", "sc_ref", "text", "char_start"), "chunk_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = [locate(q, t) if isinstance(t, str) else None for q, t in zip(rows["quote"], rows["text"], strict=True)]
+            found = [locate(q, t) if m else None for q, t, m in zip(rows["quote"], rows["text"], rows["maybe"], strict=True)]
             base = rows["char_start"].fillna(0).astype(int)
             starts = [None if f is None else f[0] + b for f, b in zip(found, base, strict=True)]
             ends = [None if f is None else f[1] + b for f, b in zip(found, base, strict=True)]
@@ -99,7 +68,9 @@ def citations(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     names = ["answer_id", "claim_idx", "pos", "sentence", "quote", "chunk_id", "doc_title", "heading_path", "sc_ref", "text", "span_start", "span_end"]
     kinds = dict(wide.dtypes)
     schema = ", ".join(f"{c} {kinds.get(c, 'int')}" for c in names)
-    return wide.select(*names[:-2], "char_start").mapInPandas(run, schema)
+    definition = F.regexp_extract("quote", f"(?s)^{TERM}$", 2)
+    maybe = quote_holds(F.col("quote"), F.col("text")) | quote_holds(definition, F.col("text"))
+    return wide.select(*names[:-2], "char_start", maybe.alias("maybe")).mapInPandas(run, schema)
 
 
 def status_of(score: Column, verified_at: float = VERIFIED_AT, partial_at: float = PARTIAL_AT) -> Column:
@@ -147,18 +118,19 @@ def sentence_status(sentences: DataFrame, verified: DataFrame) -> DataFrame:
 
 
 def citation_metrics(sentences: DataFrame, verified: DataFrame) -> DataFrame:
-    """For each answer: six rates (0 where nothing is counted), the counts of sentences by status, and the totals.
-    sentences: rows as of `sentence_status`."""
+    """For each answer: six rates (0 where nothing is counted), the counts of sentences by status, the totals, and claims
+    whose quote failed, that were judged, are verified, and left out a level. Coverage and the last three rates are of
+    sentences. sentences: rows as of `sentence_status`."""
     n = F.count("*")
     by_status = sentences.groupBy("answer_id").agg(n.alias("sentences"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES])
-    of = verified.groupBy("answer_id").agg(F.count("*").alias("claims"), F.sum(F.size("chunk_ids")).alias("cited"), F.sum(F.size("supporting_chunk_ids")).alias("supporting"), F.count_if(~F.col("quote_match")).alias("failed"), F.count_if(F.col("status") == "unsupported").alias("c_unsupported"), F.count_if(F.col("status") == "unverified").alias("c_unverified"))
-    wide = by_status.join(of, "answer_id", "left").fillna(0, ["claims", "cited", "supporting", "failed", "c_unsupported", "c_unverified"])
+    of = verified.groupBy("answer_id").agg(F.count("*").alias("claims"), F.sum(F.size("chunk_ids")).alias("cited"), F.sum(F.size("supporting_chunk_ids")).alias("supporting"), F.count_if(~F.col("quote_match")).alias("failed"), F.count_if(F.col("entailment").isNotNull() & F.col("quote_match")).alias("judged"), F.count_if(F.col("status") == "verified").alias("c_verified"), F.count_if(F.col("level_omitted").isNotNull()).alias("levels_omitted"))
+    wide = by_status.join(of, "answer_id", "left").fillna(0, ["claims", "cited", "supporting", "failed", "judged", "c_verified", "levels_omitted"])
 
     def rate(a: Column, b: Column) -> Column:
         return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
     c = F.col
-    return wide.select("answer_id", "sentences", "claims", *[f"n_{s}" for s in STATUSES], rate(c("sentences") - c("n_uncited"), c("sentences")).alias("coverage"), rate(c("supporting"), c("cited")).alias("precision"), rate(c("failed"), c("claims")).alias("quote_failure_rate"), rate(c("c_unsupported"), c("claims")).alias("unsupported_rate"), rate(c("c_unverified"), c("claims")).alias("unverified_rate"), rate(c("n_uncited"), c("sentences")).alias("uncited_rate"))
+    return wide.select("answer_id", "sentences", "claims", *[f"n_{s}" for s in STATUSES], rate(c("sentences") - c("n_uncited"), c("sentences")).alias("coverage"), rate(c("supporting"), c("cited")).alias("precision"), rate(c("failed"), c("claims")).alias("quote_failure_rate"), rate(c("n_unsupported"), c("sentences")).alias("unsupported_rate"), rate(c("n_unverified"), c("sentences")).alias("unverified_rate"), rate(c("n_uncited"), c("sentences")).alias("uncited_rate"), "cited", "failed", "judged", "c_verified", "levels_omitted")
 
 
 RATES = ("coverage", "precision", "quote_failure_rate", "unsupported_rate", "unverified_rate", "uncited_rate")
@@ -177,13 +149,13 @@ def probes(chunks: DataFrame, every: int = 53, length: int = 12) -> DataFrame:
     third = F.floor(F.size(w) / 3).cast("int")
     sample = chunks.where(F.col("ordinal") % every == 0).select("id", "ordinal", "doc_id", "text", w.alias("w"), F.array_join(F.slice(w, third + 1, length), " ").alias("excerpt"))
     usable = sample.where(F.length("excerpt") >= 40)
-    order = Window.orderBy("ordinal")  # of the sample
-    usable = usable.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    places = numbered(usable.select("id", "ordinal"), "ordinal").select("id", F.col("place").alias("i"))
+    usable = usable.join(places, "id").crossJoin(F.broadcast(places.agg(F.count("*").alias("n"))))  # one row
     other = usable.select(F.pmod(F.col("i") - 7, F.col("n")).alias("i"), F.col("id").alias("other_id"), F.col("doc_id").alias("other_doc"), F.col("text").alias("other_text"))
     wide = usable.join(other, "i")
     parts = F.split("excerpt", " ")
     middle = F.floor(F.size(parts) / 2).cast("int")
-    swapped = F.array_join(F.transform(parts, lambda x, j: F.when(j == middle, "blancmange").otherwise(x)), " ")
+    swapped = F.array_join(F.transform(parts, lambda x, j: F.when(j == middle, "quincunx").otherwise(x)), " ")
     straight = F.translate("excerpt", "‘’“”–—", "''\"\"--")
     stitched = F.array_join(F.concat(F.slice("w", 1, 6), F.slice("w", -6, 6)), " ")
     own = (F.col("id"), F.col("text"))
@@ -194,7 +166,7 @@ def probes(chunks: DataFrame, every: int = 53, length: int = 12) -> DataFrame:
         ("wrong chunk", False, F.col("excerpt"), F.col("doc_id") != F.col("other_doc"), (F.col("other_id"), F.col("other_text"))),
         ("one word replaced", False, swapped, F.lit(True), own),
         ("stitched", False, stitched, F.size("w") >= 30, own),
-        ("invented", False, F.lit("Authors must ensure the focus indicator blinks at least twice per second."), F.lit(True), own),
+        ("invented", False, F.lit(INVENTED), F.lit(True), own),
     ]
     built = F.array(*[F.struct(F.lit(name).alias("probe"), F.lit(ok).alias("should_match"), quote.alias("quote"), when.alias("use"), cited[0].alias("id"), cited[1].alias("text")) for name, ok, quote, when, cited in rows])
     return wide.select(F.explode(built).alias("p")).select("p.*").where("use").drop("use")
