@@ -17,16 +17,20 @@ def read_text_corpus(spark: SparkSession, root: str, manifest: str | None = None
     if manifest is None:
         title = F.regexp_extract("text", r"(?m)^# (.+)$", 1)
         return docs.select("doc_id", F.coalesce(F.nullif(title, F.lit("")), "doc_id").alias("doc_title"), F.lit(None).cast("string").alias("source_url"), "text")
-    listed = spark.read.schema(MANIFEST).json(manifest)
-    return listed.join(docs, "doc_id").select("doc_id", "doc_title", "source_url", "text")
+    return read_manifest(spark, manifest).join(docs, "doc_id").select("doc_id", "doc_title", "source_url", "text")
 
 
-def write_manifest(docs: DataFrame, path: str) -> None:
-    docs.select("doc_id", "doc_title", "source_url", F.length("text").cast("long").alias("chars")).write.mode("overwrite").json(path)
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(path)
+
 
+def document(docs: DataFrame, doc_id: str) -> DataFrame:
+    """The document of this id, as the reader of a citation opens it; no row if there is none."""
+    return docs.where(F.col("doc_id") == doc_id).select("doc_id", "text")
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("page_id long, url string, html string").parquet(path)
+
+def write_manifest(docs: DataFrame, path: str) -> None:
+    docs.select("doc_id", "doc_title", "source_url", F.length("text").cast("long").alias("chars")).write.mode("overwrite").json(path)
 
 
 def write_text_corpus(docs: DataFrame, root: str) -> None:

@@ -24,7 +24,7 @@ def rate_limit(events: DataFrame, key: str = "user_id", limit: int = LIMIT, wind
     return events.groupBy(key, F.window("ts", window).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n", (F.col("n") > limit).alias("over"))
 
 
-def latest(results: DataFrame, key: str, order: str) -> DataFrame:
-    """For each key the result of the latest request: earlier ones are stale."""
+def latest(results: DataFrame, key: str, *order: str) -> DataFrame:
+    """For each key the result of the latest request, by the columns of order: earlier ones are stale."""
     others = [c for c in results.columns if c != key]
-    return results.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
+    return results.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r")).select(key, "r.*")
