@@ -9,13 +9,14 @@ from ..functions import text as T
 from ..operators import answers, bm25, verify
 from ..operators.providers import prompt
 from . import sql
+from ..sources.scratch import settle, spread
 from .registry import query, table
 from .retrieval import asked, docs, r6
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks. Titles of some name a level, and some have a reference."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     level = F.element_at(F.array(F.lit(""), F.lit(" (Level A)"), F.lit(" (Level AA)"), F.lit(" (Level AAA)")), (F.col("doc_id") % 4 + 1).cast("int"))
     ref = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("1.4."), (F.col("doc_id") % 10).cast("string")))
     return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("Document "), F.col("doc_id").cast("string"), level).alias("doc_title"), F.array("lang", "source").alias("heading_path"), ref.alias("sc_ref"), "text", F.lit(0).alias("char_start"), F.col("doc_id").cast("string").alias("doc_id"))
@@ -35,12 +36,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sentences(spark, sf_dir).where("pos % 5 <> 4").join(cited, F.col("answer_id") == F.col("query_id"))
     ids = F.when(F.col("pos") % 3 == 0, F.array_append("ids", F.lit("missing"))).otherwise(F.col("ids"))
     quote = F.when(F.col("pos") % 4 == 3, F.concat(F.col("sentence"), F.lit(" blancmange"))).otherwise(F.col("sentence"))
-    return s.select("answer_id", F.col("pos").alias("claim_idx"), "sentence", ids.alias("chunk_ids"), quote.alias("quote"))
+    return settle(s.select("answer_id", F.col("pos").alias("claim_idx"), "sentence", ids.alias("chunk_ids"), quote.alias("quote")), "claims")
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = claims(spark, sf_dir)
-    return verify.verify(own, verify.citations(own, chunk_table(spark, sf_dir)))
+    return settle(verify.verify(own, settle(verify.citations(own, chunk_table(spark, sf_dir)), "citations")), "verified")
 
 
 _CHUNKS = "ch AS (SELECT 'd' || doc_id AS id, doc_id AS ordinal, 'Document ' || doc_id || ['', ' (Level A)', ' (Level AA)', ' (Level AAA)'][doc_id % 4 + 1] AS doc_title, [lang, source] AS heading_path, CASE WHEN doc_id % 3 = 0 THEN '1.4.' || (doc_id % 10) END AS sc_ref, text, doc_id::VARCHAR AS doc_id, ['', 'A', 'AA', 'AAA'][doc_id % 4 + 1] AS level FROM documents)"
@@ -62,13 +63,13 @@ ve AS (SELECT cl.answer_id, cl.claim_idx, cl.sentence, cl.chunk_ids, supporting
 ss AS (SELECT se.answer_id, se.pos, se.sentence, coalesce(arg_max(status, CASE status WHEN 'verified' THEN 4 WHEN 'partial' THEN 3 WHEN 'unverified' THEN 2 ELSE 1 END), 'uncited') AS status FROM se LEFT JOIN ve ON ve.answer_id = se.answer_id AND ve.sentence = se.sentence GROUP BY ALL)"""
 _METRICS = f"""{_JUDGED},
 b AS (SELECT answer_id, count(*) AS sentences, {", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in verify.STATUSES)} FROM ss GROUP BY answer_id),
-o AS (SELECT answer_id, count(*) AS claims, sum(len(chunk_ids)) AS cited, sum(len(supporting)) AS supp, count(*) FILTER (NOT quote_match) AS failed, count(*) FILTER (status = 'unsupported') AS cu, count(*) FILTER (status = 'unverified') AS cv FROM ve GROUP BY answer_id),
-mt AS (SELECT b.*, coalesce(claims, 0) AS claims, coalesce((sentences - n_uncited)::DOUBLE / nullif(sentences, 0), 0) AS coverage, coalesce(supp::DOUBLE / nullif(cited, 0), 0) AS precision, coalesce(failed::DOUBLE / nullif(claims, 0), 0) AS quote_failure_rate, coalesce(cu::DOUBLE / nullif(claims, 0), 0) AS unsupported_rate, coalesce(cv::DOUBLE / nullif(claims, 0), 0) AS unverified_rate, coalesce(n_uncited::DOUBLE / nullif(sentences, 0), 0) AS uncited_rate FROM b LEFT JOIN o ON o.answer_id = b.answer_id)"""
+o AS (SELECT answer_id, count(*) AS claims, sum(len(chunk_ids)) AS cited, sum(len(supporting)) AS supp, count(*) FILTER (NOT quote_match) AS failed, count(*) FILTER (quote_match AND entailment IS NOT NULL) AS judged, count(*) FILTER (status = 'verified') AS c_verified, count(level_omitted) AS levels_omitted FROM ve GROUP BY answer_id),
+mt AS (SELECT b.*, coalesce(claims, 0) AS claims, coalesce((sentences - n_uncited)::DOUBLE / nullif(sentences, 0), 0) AS coverage, coalesce(supp::DOUBLE / nullif(cited, 0), 0) AS precision, coalesce(failed::DOUBLE / nullif(claims, 0), 0) AS quote_failure_rate, coalesce(n_unsupported::DOUBLE / nullif(sentences, 0), 0) AS unsupported_rate, coalesce(n_unverified::DOUBLE / nullif(sentences, 0), 0) AS unverified_rate, coalesce(n_uncited::DOUBLE / nullif(sentences, 0), 0) AS uncited_rate, coalesce(failed, 0) AS failed, coalesce(judged, 0) AS judged, coalesce(c_verified, 0) AS c_verified, coalesce(levels_omitted, 0) AS levels_omitted FROM b LEFT JOIN o ON o.answer_id = b.answer_id)"""
 
 
 @query(f"SELECT doc_id, length({sql.normal('text')})::INTEGER AS n_chars, md5({sql.normal('text')}) AS digest FROM documents")
 def normalize_for_match(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_for_match(F.col("text")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", T.normalize_for_match(F.col("text")).alias("t"))
     return d.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -107,11 +108,12 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COUNTS = ["sentences", "claims", *(f"n_{s}" for s in verify.STATUSES)]
+_CLAIM_COUNTS = ["failed", "judged", "c_verified", "levels_omitted"]
 
 
-@query(f"{_METRICS} SELECT answer_id, {', '.join(_COUNTS)}, {', '.join(f'round({x}, 6) AS {x}' for x in verify.RATES)} FROM mt")
+@query(f"{_METRICS} SELECT answer_id, {', '.join(_COUNTS + _CLAIM_COUNTS)}, {', '.join(f'round({x}, 6) AS {x}' for x in verify.RATES)} FROM mt")
 def citation_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("answer_id", *_COUNTS, *[r6(x).alias(x) for x in verify.RATES])
+    return _metrics(spark, sf_dir).select("answer_id", *_COUNTS, *_CLAIM_COUNTS, *[r6(x).alias(x) for x in verify.RATES])
 
 
 @query(f"{_METRICS} SELECT count(*) AS answers, {', '.join(f'sum({x})::BIGINT AS {x}' for x in _COUNTS)}, {', '.join(f'round(avg({x}), 6) AS {x}' for x in verify.RATES)} FROM mt")
@@ -128,7 +130,7 @@ def level_of(spark, sf_dir):
 _PROBES = r"""WITH ch AS (SELECT 'd' || doc_id AS id, doc_id AS ordinal, doc_id::VARCHAR AS doc_id, text, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents),
 sm AS (SELECT *, array_to_string(w[len(w) // 3 + 1 : len(w) // 3 + 12], ' ') AS excerpt FROM ch WHERE ordinal % 53 = 0),
 us AS (SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS i, count(*) OVER () AS n FROM sm WHERE length(excerpt) >= 40),
-wd AS (SELECT a.*, b.id AS oid, b.doc_id AS odoc FROM us a JOIN us b ON b.i = (a.i + 7) % a.n),
+wd AS (SELECT a.*, b.id AS oid, b.doc_id AS odoc, b.text AS otext FROM us a JOIN us b ON b.i = (a.i + 7) % a.n),
 pr AS (SELECT 'verbatim' AS probe, id FROM wd UNION ALL SELECT 'reflowed', id FROM wd UNION ALL SELECT 'straightened', id FROM wd WHERE regexp_matches(excerpt, '[‘’“”–—]') UNION ALL SELECT 'wrong chunk', oid FROM wd WHERE doc_id <> odoc UNION ALL SELECT 'one word replaced', id FROM wd UNION ALL SELECT 'stitched', id FROM wd WHERE len(w) >= 30 UNION ALL SELECT 'invented', id FROM wd)
 SELECT probe, id, probe IN ('verbatim', 'reflowed', 'straightened') AS should_match FROM pr"""
 
@@ -139,7 +141,9 @@ def fabrication_probes(spark, sf_dir):
     return verify.probes(chunk_table(spark, sf_dir)).select("probe", "id", "should_match")
 
 
-@query()
+@query(rf"""{_PROBES.split("pr AS (")[0]} qt AS (SELECT 'verbatim' AS probe, true AS ok, excerpt AS quote, text FROM wd UNION ALL SELECT 'reflowed', true, replace(excerpt, ' ', chr(10) || '   '), text FROM wd UNION ALL SELECT 'straightened', true, translate(excerpt, '‘’“”–—', chr(39) || chr(39) || '""--'), text FROM wd WHERE regexp_matches(excerpt, '[‘’“”–—]') UNION ALL SELECT 'wrong chunk', false, excerpt, otext FROM wd WHERE doc_id <> odoc
+ UNION ALL SELECT 'one word replaced', false, array_to_string(list_concat(list_concat(x[1 : len(x) // 2], ['quincunx']), x[len(x) // 2 + 2 :]), ' '), text FROM (SELECT *, string_split(excerpt, ' ') AS x FROM wd) UNION ALL SELECT 'stitched', false, array_to_string(list_concat(w[1 : 6], w[len(w) - 5 :]), ' '), text FROM wd WHERE len(w) >= 30 UNION ALL SELECT 'invented', false, '{verify.INVENTED}', text FROM wd)
+SELECT probe, ok AS should_match, count(*) AS n, count(*) FILTER (contains({sql.normal('text')}, {sql.normal('quote')})) AS accepted FROM qt GROUP BY ALL""")
 def fabrication_results(spark, sf_dir):
     """For each probe how many were accepted by the exact check."""
     p = verify.probes(chunk_table(spark, sf_dir))

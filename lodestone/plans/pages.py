@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import chunk, html
 from ..sources import index
 from ..streaming import stateless
+from ..sources import corpus
+from ..sources.scratch import scratch, spread
 from .registry import query, table
 from .retrieval import r6
 
@@ -16,12 +18,12 @@ LINK = r'href="(/[^"#?]*)"'
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("doc_title"), F.lit(None).cast("string").alias("source_url"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("doc_title"), F.lit(None).cast("string").alias("source_url"), "text")
 
 
 @query()
 def normalize_pages(spark, sf_dir):
-    d = html.normalize_pages(table(spark, sf_dir, "pages"))
+    d = html.normalize_pages(spread(table(spark, sf_dir, "pages")))
     return d.select("doc_id", "doc_title", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -49,7 +51,7 @@ _WINDOWS = """ws AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, len
 wk AS (SELECT *, least(s + 1400, n) AS e0 FROM ws WHERE s = 0 OR s - 1190 + 1400 < n),
 wb AS (SELECT *, strpos(reverse(substr(text, (s + 702)::BIGINT, 700)), ' ') AS back, strpos(substr(text, (s + 1)::BIGINT, 40), ' ') AS ahead FROM wk),
 wi AS (SELECT doc_id, text AS whole, CASE WHEN s > 0 AND ahead > 0 THEN s + ahead ELSE s END AS a, CASE WHEN e0 < n AND back > 0 THEN s + 1400 - back + 1 ELSE e0 END AS z FROM wb),
-wt AS (SELECT doc_id, whole, a, z, substr(whole, (a + 1)::BIGINT, (z - a)::BIGINT) AS text FROM wi)"""
+wt AS (SELECT * FROM (SELECT doc_id, whole, a, z, substr(whole, (a + 1)::BIGINT, (z - a)::BIGINT) AS text FROM wi) WHERE regexp_matches(text, '[^\\s\\x{0B}\\x{85}\\p{Z}\\x{FEFF}]'))"""
 
 
 @query(f"WITH {_WINDOWS} SELECT doc_id::VARCHAR AS doc_id, a::INTEGER AS char_start, z::INTEGER AS char_end, md5(text) AS digest FROM wt")
@@ -63,7 +65,7 @@ def window_ids(spark, sf_dir):
     return w.select("doc_id", "char_start", F.substring(F.sha2(F.concat_ws("\n", "doc_id", F.col("char_start").cast("string"), "text"), 256), 1, 16).alias("id"))
 
 
-_STATS = rf"""WITH {_WINDOWS}, q AS (SELECT ceil(length(text) / 3.5::DOUBLE)::BIGINT AS t, (substr(whole, (a + 1)::BIGINT, (z - a)::BIGINT) = text)::INTEGER AS holds, regexp_matches(rtrim(text), '[.!?:;|)\]"''”’]$')::INTEGER AS ends, regexp_matches(text, '^(#|-|\p{{Lu}}|\d|["''“‘(])')::INTEGER AS starts FROM wt),
+_STATS = rf"""WITH {_WINDOWS}, q AS (SELECT ceil(length(text) / 3.5::DOUBLE)::BIGINT AS t, (substr(whole, (a + 1)::BIGINT, (z - a)::BIGINT) = text)::INTEGER AS holds, (regexp_matches(text, '([.!?:;)"''”’\]]|\n)[\s\x{{0B}}\x{{85}}\p{{Z}}\x{{FEFF}}]*$') OR z = length(whole))::INTEGER AS ends, (a = 0 OR substr(whole, a::BIGINT, 1) = chr(10))::INTEGER AS starts FROM wt),
 o AS (SELECT count(*) AS n, list(t ORDER BY t) AS l, avg(holds) AS holds, avg(ends) AS ends, avg(starts) AS starts FROM q)
 SELECT n, l[least(n - 1, floor(n * 0.5))::BIGINT + 1] AS median, l[least(n - 1, floor(n * 0.1))::BIGINT + 1] AS p10, l[least(n - 1, floor(n * 0.9))::BIGINT + 1] AS p90, round(holds, 6) AS holds, round(ends, 6) AS ends, round(starts, 6) AS starts, 0.0::DOUBLE AS referenced FROM o"""
 
@@ -87,14 +89,14 @@ def chunk_invariant(spark, sf_dir):
 
 @query()
 def page_chunks(spark, sf_dir):
-    c = chunk.chunks(html.normalize_pages(table(spark, sf_dir, "pages")))
+    c = chunk.chunks(html.normalize_pages(spread(table(spark, sf_dir, "pages"))))
     return c.select("id", "doc_id", F.array_join("heading_path", " > ").alias("path"), "char_start", "char_end", "token_count")
 
 
 @query()
 def chunk_variants(spark, sf_dir):
     """Statistics of each way to cut pages."""
-    d = html.normalize_pages(table(spark, sf_dir, "pages"))
+    d = html.normalize_pages(spread(table(spark, sf_dir, "pages")))
     cut = {name: chunk.chunks(d, sizes) for name, sizes in chunk.VARIANTS.items()} | {"fixed": chunk.fixed_windows(d).withColumn("sc_ref", F.lit(None).cast("string"))}
     out = None
     for name, frame in cut.items():
@@ -105,27 +107,31 @@ def chunk_variants(spark, sf_dir):
 
 @query()
 def heading_asof(spark, sf_dir):
-    d = html.normalize_pages(table(spark, sf_dir, "pages"))
+    d = html.normalize_pages(spread(table(spark, sf_dir, "pages")))
     w = chunk.path_at(chunk.fixed_windows(d), chunk.headings(d))
     return w.select("doc_id", "char_start", F.array_join("heading_path", " > ").alias("path"))
 
 
-@query("SELECT doc_id, count(*) AS pieces, max(least(1680, n - s))::BIGINT AS longest FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 1680)) AS s FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS pieces, max(least(1680, n - s))::BIGINT AS longest, min(least(1680, n - s))::BIGINT AS last FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 1680)) AS s FROM documents) GROUP BY doc_id")
 def hard_split(spark, sf_dir):
-    n = F.length("text")
-    at = table(spark, sf_dir, "documents").where(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(int(480 * T.CHARS_PER_TOKEN)))).alias("s"))
-    return at.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max(F.least(F.lit(1680), F.col("n") - F.col("s"))).cast("long").alias("longest"))
+    """Documents as if they were one block without any sentence."""
+    at = chunk.hard_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.col("char_end") - F.col("char_start")
+    return at.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max(size).cast("long").alias("longest"), F.min(size).cast("long").alias("last"))
 
 
 @query()
 def index_summary(spark, sf_dir):
-    s = index.summary(chunk.chunks(html.normalize_pages(table(spark, sf_dir, "pages"))))
+    s = index.summary(chunk.chunks(html.normalize_pages(spread(table(spark, sf_dir, "pages")))))
     return s.select(*[c for c in s.columns if c != "avgdl"], r6("avgdl").alias("avgdl"))
 
 
-@query("SELECT doc_id, n_chars, length(text) AS chars FROM documents")
+@query("SELECT doc_id::VARCHAR AS doc_id, source AS doc_title, length(text) AS chars FROM documents")
 def manifest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.length("text").cast("long").alias("chars"))
+    """Written and read again."""
+    path = scratch(spark, "manifest")
+    corpus.write_manifest(documents(spark, sf_dir), path)
+    return corpus.read_manifest(spark, path).select("doc_id", "doc_title", "chars")
 
 
 @query("SELECT source, count(*) AS documents, sum(length(text))::BIGINT AS chars, max(length(text))::BIGINT AS longest FROM documents GROUP BY source")
@@ -142,4 +148,4 @@ def rate_limit(spark, sf_dir):
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM (SELECT user_id, event_id, ts FROM events) GROUP BY user_id")
 def latest_request(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("r")).select("user_id", "r.event_id", "r.ts")
+    return stateless.latest(e, "user_id", "ts", "event_id")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import bm25, dense, fuse, metrics, providers
-from ..operators.chunk import exact_quantiles
+from ..operators import bm25, dense, fuse, golden, metrics, providers
+from ..sources.scratch import settle, spread
 from . import sql
 from .registry import query, table
 
@@ -18,7 +18,7 @@ RRF_KS = (1, 10, 60, 200)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +41,13 @@ def shown(ranking: DataFrame, *more: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql.tokens('text')} AS t FROM documents)")
 def tokenize_documents(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql.plain_tokens('text')} AS t FROM documents)")
 def plain_tokens(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", T.plain_tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", T.plain_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -93,15 +93,32 @@ def bm25_param_sweep(spark, sf_dir):
     return shown(bm25.sweep(docs(spark, sf_dir), asked(spark, sf_dir), PARAMS), "k1", "b")
 
 
-_EXPLAIN = f"""WITH {sql.bm25()}, t AS (SELECT query_id, id FROM r WHERE rank = 1)
+_EXPLAIN = f"""WITH {sql.bm25()}, t AS (SELECT query_id, id FROM r)
 SELECT t.query_id, t.id, q.term, coalesce(f.df, 0) AS df, round(coalesce(ln(1::DOUBLE + (n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)), 0), 6) AS idf, coalesce(w.tf, 0) AS tf, round(coalesce(w.idf * (w.tf * 2.2::DOUBLE) / (w.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * w.len / w.avgdl)), 0), 6) AS score
 FROM t JOIN q ON q.query_id = t.query_id LEFT JOIN f ON f.term = q.term LEFT JOIN w ON w.query_id = t.query_id AND w.id = t.id AND w.term = q.term, st"""
 
 
+def explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the terms of all hits, the statistics): searched and explained from one table of tokens."""
+    own = asked(spark, sf_dir)
+    listed = bm25.tokenized(docs(spark, sf_dir))
+    found = bm25.matches_of(listed, own)
+    hits = settle(bm25.scored(found, bm25.CANDIDATES).select("query_id", "id"), "hits")
+    return bm25.explain_matches(found, own, hits), listed
+
+
 @query(_EXPLAIN)
 def bm25_explain(spark, sf_dir):
-    best = bm25.search(docs(spark, sf_dir), asked(spark, sf_dir), 1).select("query_id", "id")
-    return bm25.explain(docs(spark, sf_dir), asked(spark, sf_dir), best).select("query_id", "id", "term", "df", r6("idf").alias("idf"), "tf", r6("score").alias("score"))
+    return explained(spark, sf_dir)[0].select("query_id", "id", "term", "df", r6("idf").alias("idf"), "tf", r6("score").alias("score"))
+
+
+@query(f"""WITH {sql.bm25()}, e AS (SELECT r.query_id, r.id, q.term, coalesce(f.df, 0) AS df, coalesce(w.tf, 0) AS tf, coalesce(w.idf * (w.tf * 2.2::DOUBLE) / (w.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * w.len / w.avgdl)), 0) AS score FROM r JOIN q ON q.query_id = r.query_id LEFT JOIN f ON f.term = q.term LEFT JOIN w ON w.query_id = r.query_id AND w.id = r.id AND w.term = q.term)
+SELECT query_id, id, array_to_string(list(term ORDER BY round(score, 9) DESC, term) FILTER (tf > 0), ' ') AS present, coalesce(array_to_string(list(term ORDER BY term) FILTER (tf = 0 AND df > 0), ' '), '') AS absent, round(sum(score), 6) AS total, (SELECT round(avgdl) FROM st)::BIGINT AS avgdl FROM e GROUP BY query_id, id""")
+def term_summary(spark, sf_dir):
+    """Which terms of its query each hit holds, and which only others do."""
+    parts, listed = explained(spark, sf_dir)
+    stats = listed.agg(F.avg(F.size("tokens")).alias("avgdl"))
+    return bm25.term_summary(parts, stats).select("query_id", "id", F.array_join("present", " ").alias("present"), F.array_join("absent", " ").alias("absent"), r6("total").alias("total"), "avgdl")
 
 
 _DIAG = f"""WITH d AS (SELECT doc_id, unnest(list_distinct({sql.tokens('text')})) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM d GROUP BY term),
@@ -151,8 +168,10 @@ def cosine_calibration(spark, sf_dir):
 
 
 def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Of the full and of the plain tokenizer."""
-    return bm25.search(docs(spark, sf_dir), asked(spark, sf_dir)), bm25.search(docs(spark, sf_dir), asked(spark, sf_dir), tokens=T.plain_tokens)
+    """Of the full and of the plain tokenizer: the texts are read and cut once for both."""
+    own = asked(spark, sf_dir)
+    listed = bm25.tokenized(docs(spark, sf_dir), full=T.tokens, plain=T.plain_tokens)
+    return tuple(settle(bm25.search_tokenized(listed.select("id", F.col(name).alias("tokens")), own, tokens=f), name) for name, f in (("full", T.tokens), ("plain", T.plain_tokens)))
 
 
 _TWO = f"WITH {sql.bm25()}, {sql.bm25(sql.plain_tokens, name='2')}, l AS (SELECT 'full' AS retriever, * FROM r UNION ALL SELECT 'plain', * FROM r2)"
@@ -183,15 +202,25 @@ def rrf_votes(spark, sf_dir):
     return fuse.votes(fuse.union({"full": a, "plain": b}), ["full", "plain"]).select("query_id", "id", *[r6(c).alias(c) for c in ("vote_full", "vote_plain", "score")])
 
 
-@query(f"{_TWO}, {_FUSED} SELECT fr.query_id, fr.id, fr.rank FROM fr LEFT JOIN r ON r.query_id = fr.query_id AND r.id = fr.id AND r.rank <= 10 WHERE fr.rank <= 10 AND r.id IS NULL")
+_BY_RANK = "l2 AS (SELECT * FROM l WHERE retriever = 'full' AND rank <= 12 OR retriever = 'plain' AND rank > 4), fz2 AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM l2 GROUP BY ALL), fr2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fz2)"
+
+
+def differing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two lists that differ, the first's best 12 and the second without its best 4, and their fusion."""
+    a, b = two_lists(spark, sf_dir)
+    a, b = a.where("rank <= 12"), b.where("rank > 4")
+    return a, b, fuse.rrf(fuse.union({"full": a, "plain": b}))
+
+
+@query(f"{_TWO}, {_BY_RANK} SELECT f.query_id, f.id, f.rank FROM fr2 f LEFT JOIN l2 ON l2.retriever = 'full' AND l2.query_id = f.query_id AND l2.id = f.id AND l2.rank <= 10 WHERE f.rank <= 10 AND l2.id IS NULL")
 def fused_not_in_first(spark, sf_dir):
-    a, _, f = fused(spark, sf_dir)
+    a, _, f = differing(spark, sf_dir)
     return fuse.only_in(f, a, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"{_TWO}, {_FUSED} SELECT fr.query_id, fr.id, fr.rank FROM fr LEFT JOIN r2 ON r2.query_id = fr.query_id AND r2.id = fr.id AND r2.rank <= 10 WHERE fr.rank <= 10 AND r2.id IS NULL")
+@query(f"{_TWO}, {_BY_RANK} SELECT f.query_id, f.id, f.rank FROM fr2 f LEFT JOIN l2 ON l2.retriever = 'plain' AND l2.query_id = f.query_id AND l2.id = f.id AND l2.rank <= 10 WHERE f.rank <= 10 AND l2.id IS NULL")
 def fused_not_in_second(spark, sf_dir):
-    _, b, f = fused(spark, sf_dir)
+    _, b, f = differing(spark, sf_dir)
     return fuse.only_in(f, b, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -220,19 +249,19 @@ def rerank_fallback(spark, sf_dir):
     return fuse.rerank_fallback(fused(spark, sf_dir)[2]).select("query_id", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "degraded")
 
 
-def windows_of(words: Column, n: int) -> Column:
-    """Runs of n words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id, grade): passages of 10 words and more meet documents on their first inner window of eight words;
-    a document that holds the whole passage is primary. An equi-join finds the candidates."""
-    passages = asked(spark, sf_dir).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 10).select("query_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 2, 8), " ").alias("window"))
-    listed = docs(spark, sf_dir).select("id", F.explode(F.array_distinct(V.let(T.words(F.col("text")), lambda w: windows_of(w, 8)))).alias("window"))
-    pairs = listed.join(passages.select("query_id", "window"), "window").select("query_id", "id")
-    wide = pairs.join(passages.select("query_id", "passage"), "query_id").join(docs(spark, sf_dir), "id")
-    return wide.select("query_id", "id", F.when(F.contains("text", F.col("passage")), 2).otherwise(1).alias("grade"))
+    """(query_id, id, grade): documents that hold the first inner window of eight words of a passage of 10 words and
+    more; one that holds the whole passage is primary. Documents that may hold it are found by an equi-join on the
+    window's longest word. Written, as several measures are taken against it."""
+    inner = F.slice("w", 2, 8)
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word")))), 1)["word"]
+    passages = asked(spark, sf_dir).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 10).select("query_id", F.col("text").alias("passage"), F.concat(F.lit(" "), F.array_join(inner, " "), F.lit(" ")).alias("window"), longest.alias("word"))
+    listed = docs(spark, sf_dir).select("id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    pairs = listed.join(passages.select("query_id", "word"), "word").select("query_id", "id")
+    wide = pairs.join(passages.drop("word"), "query_id").join(docs(spark, sf_dir), "id")
+    line = F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" "))
+    held = wide.where(F.contains(line, F.col("window")))
+    return settle(held.select("query_id", "id", F.when(F.contains("text", F.col("passage")), 2).otherwise(1).alias("grade")), "relevance")
 
 
 @query(f"WITH {sql.QRELS} SELECT query_id, id, grade FROM qrels")
@@ -247,7 +276,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, f = fused(spark, sf_dir)
-    return metrics.per_question(fuse.union({"full": a, "plain": b, "fused": f}), relevance(spark, sf_dir), questions(spark, sf_dir))
+    return settle(metrics.per_question(fuse.union({"full": a, "plain": b, "fused": f}), relevance(spark, sf_dir), questions(spark, sf_dir)), "scores")
 
 
 _NAMES = [*(f"recall_{k}" for k in metrics.CUTS), *(f"success_{k}" for k in metrics.CUTS), "mrr", "ndcg_10"]
@@ -256,7 +285,7 @@ _PER = f"""{_TWO}, {_FUSED}, {sql.QRELS}, al AS (SELECT * FROM l UNION ALL SELEC
 np AS (SELECT query_id, count(*) FILTER (grade = 2) AS np, sum(CASE WHEN i <= 10 THEN (2 ** grade - 1) / log2(i + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS i FROM qrels) GROUP BY query_id),
 ht AS (SELECT retriever, query_id, {_HITS}, min(rank) FILTER (grade = 2) AS fst, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM al JOIN qrels USING (query_id, id) GROUP BY ALL),
 pq AS (SELECT rt.retriever, q.query_id, q.kind, {", ".join(f"CASE WHEN coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(h{k}, 0)::DOUBLE / least(np, {k}) END AS recall_{k}, CASE WHEN coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE (coalesce(h{k}, 0) > 0)::INTEGER::DOUBLE END AS success_{k}" for k in metrics.CUTS)},
- coalesce(1.0::DOUBLE / fst, 0) AS mrr, CASE WHEN ideal IS NULL THEN 1.0::DOUBLE ELSE coalesce(dcg, 0) / ideal END AS ndcg_10
+ CASE WHEN coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(1.0::DOUBLE / fst, 0) END AS mrr, CASE WHEN ideal IS NULL THEN 1.0::DOUBLE ELSE coalesce(dcg, 0) / ideal END AS ndcg_10
  FROM questions q CROSS JOIN (SELECT DISTINCT retriever FROM al) rt LEFT JOIN np ON np.query_id = q.query_id LEFT JOIN ht ON ht.query_id = q.query_id AND ht.retriever = rt.retriever)"""
 
 
@@ -301,10 +330,15 @@ def bootstrap_ci(spark, sf_dir):
     return metrics.bootstrap(values).select("retriever", *[r6(c).alias(c) for c in ("mean", "low", "high")])
 
 
-@query(f"WITH {sql.QRELS}, z AS (SELECT query_id, count(*) AS s FROM qrels GROUP BY query_id), o AS (SELECT list(s ORDER BY s) AS l, count(*) AS n FROM z) SELECT n, l[least(n, n // 2 + 1)] AS median, l[n] AS most, l[1] AS least FROM o WHERE n > 0")
+@query(f"""WITH {sql.QRELS}, z AS (SELECT q.query_id, count(*) FILTER (grade = 2) AS s, count(id) AS g FROM questions q LEFT JOIN qrels ON qrels.query_id = q.query_id WHERE kind <> 'refusal' GROUP BY q.query_id), o AS (SELECT list(s ORDER BY s) AS l, count(*) AS n, max(g) AS widest FROM z)
+SELECT n, l[1] AS least, l[least(n, n // 2 + 1)] AS median, l[n] AS most, widest, round(widest / (SELECT count(*) FROM documents)::DOUBLE, 6) AS share FROM o WHERE n > 0""")
 def relevance_widths(spark, sf_dir):
-    sizes = relevance(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("s"))
-    return exact_quantiles(sizes, "s", {"median": 0.5, "most": 1.0, "least": 0.0})
+    return golden.widths(questions(spark, sf_dir), relevance(spark, sf_dir), docs(spark, sf_dir)).withColumn("share", r6("share"))
+
+
+@query(f"WITH {sql.QRELS} SELECT q.query_id FROM questions q LEFT JOIN qrels ON qrels.query_id = q.query_id AND grade = 2 WHERE kind <> 'refusal' AND id IS NULL")
+def unresolved_questions(spark, sf_dir):
+    return golden.unresolved(questions(spark, sf_dir).withColumnRenamed("query_id", "id"), relevance(spark, sf_dir))
 
 
 @query("SELECT d.doc_id, d.n_chars FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL")
@@ -317,11 +351,34 @@ def missing_embeddings(spark, sf_dir):
 SELECT r.query_id, count(rh.id) / 10.0::DOUBLE AS shared FROM r LEFT JOIN rh ON rh.query_id = r.query_id AND rh.id = r.id AND rh.rank <= 10 WHERE r.rank <= 10 GROUP BY r.query_id""")
 def header_ablation(spark, sf_dir):
     """How much of the first ten stays when headings are indexed with the text."""
-    headed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.document_text(F.array("lang", "source"), F.col("text")).alias("text"))
-    a, b = (bm25.search(d, asked(spark, sf_dir), 10) for d in (docs(spark, sf_dir), headed))
+    both = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", T.document_text(F.array("lang", "source"), F.col("text")).alias("headed"))
+    listed = settle(both.select("id", T.tokens(F.col("text")).alias("text"), T.tokens(F.col("headed")).alias("headed")), "tokens")
+    a, b = (settle(bm25.search_tokenized(listed.select("id", F.col(c).alias("tokens")), asked(spark, sf_dir), 10), c) for c in ("text", "headed"))
     return a.groupBy("query_id").agg(F.count("*").alias("n")).join(dense.agreement(a, b), "query_id", "left").select("query_id", F.coalesce("shared", F.lit(0.0)).alias("shared"))
 
 
+_DECOMPOSED = {"é": "e\u0301", "è": "e\u0300", "ü": "u\u0308", "ö": "o\u0308", "ä": "a\u0308", "ñ": "n\u0303", "ç": "c\u0327", "í": "i\u0301", "ó": "o\u0301", "á": "a\u0301"}
+
+
+def decomposed(text: Column) -> Column:
+    """Common letters with their marks apart."""
+    for one, two in _DECOMPOSED.items():
+        text = F.replace(text, F.lit(one), F.lit(two))
+    return text
+
+
+@query(f"WITH {sql.bm25()} SELECT query_id, id, round(score, 6) AS score, rank FROM r")
+def bm25_decomposed_topk(spark, sf_dir):
+    """Documents whose letters and marks are apart, asked for in composed form: as if both were composed."""
+    return shown(bm25.search(docs(spark, sf_dir).withColumn("text", decomposed(F.col("text"))), asked(spark, sf_dir)))
+
+
+@query(f"SELECT doc_id, length({sql.normal('text')})::INTEGER AS n_chars, md5({sql.normal('text')}) AS digest FROM documents")
+def normalize_decomposed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_for_match(decomposed(F.col("text"))).alias("t"))
+    return d.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+
+
 @query()
 def query_prefix_ablation(spark, sf_dir):
     """How much of the first ten stays when queries are embedded with their instruction, with the stand-in encoder."""

@@ -16,7 +16,7 @@ def tokens(text: str) -> str:
     none = "[]::VARCHAR[]"
     pieces = f"flatten(list_transform({parts}, lambda p: CASE WHEN contains({camel('p')}, '{CUT}') THEN list_transform(string_split({camel('p')}, '{CUT}'), lambda c: lower(c)) ELSE {none} END))"
     more = f"list_concat(CASE WHEN len({parts}) > 1 THEN list_transform({parts}, lambda p: lower(p)) ELSE {none} END, {pieces})"
-    return rf"flatten(list_transform(regexp_extract_all(coalesce({text}, ''), '[\p{{L}}\p{{N}}]+(?:[-_.][\p{{L}}\p{{N}}]+)*'), lambda w: list_concat([lower(w)], CASE WHEN regexp_full_match(w, '\d+(\.\d+)+') THEN {none} ELSE {more} END)))"
+    return rf"flatten(list_transform(regexp_extract_all(nfc_normalize(coalesce({text}, '')), '[\p{{L}}\p{{N}}]+(?:[-_.][\p{{L}}\p{{N}}]+)*'), lambda w: list_concat([lower(w)], CASE WHEN regexp_full_match(w, '\d+(\.\d+)+') THEN {none} ELSE {more} END)))"
 
 
 def plain_tokens(text: str) -> str:
@@ -26,7 +26,7 @@ def plain_tokens(text: str) -> str:
 def normal(text: str) -> str:
     """Of quotes."""
     folded = f"translate({text}, '‘’‚‛′“”„‟″‐‑‒–—―−', '''''''''''\"\"\"\"\"-------')"
-    return rf"trim(regexp_replace(replace({folded}, '…', '...'), '[\s\x{{0B}}\x{{85}}\p{{Z}}\x{{FEFF}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(nfc_normalize(replace({folded}, '…', '...')), '[\s\x{{0B}}\x{{85}}\p{{Z}}\x{{FEFF}}]+', ' ', 'g'))"
 
 
 def bm25(tokens=tokens, k1: str = "1.2::DOUBLE", b: str = "0.75::DOUBLE", name: str = "", text: str = "text") -> str:
