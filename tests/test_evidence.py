@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import answers, verify
 
-TEXT = "#### Success Criterion 2.4.11 Focus Not Obscured (Minimum)\n\nWhen a user interface component receives keyboard focus, the component is not entirely hidden due to author-created content."
+TEXT = "#### Rule 7.3.12 Lantern Not Doused (Brief)\n\nWhile a pilot boat crosses the bar, its lantern is never wholly covered by the crew's own sails."
 
 
 def test_normal_maps():
@@ -23,11 +23,11 @@ def test_normal_maps():
 @pytest.mark.parametrize(
     ("quote", "text", "expected"),
     [
-        ("receives keyboard\n focus", TEXT, "receives keyboard focus"),
-        ("Receives keyboard focus", TEXT, None),
+        ("pilot boat\n crosses", TEXT, "pilot boat crosses"),
+        ("Pilot boat crosses", TEXT, None),
         ("  ", TEXT, None),
-        ("Large Text: Large-scale text has 3:1;", "Large Text\n\nLarge-scale text has 3:1;", "Large-scale text has 3:1;"),
-        ("Incidental: Large-scale text has 3:1;", "Large Text\n\nLarge-scale text has 3:1;", None),
+        ("Night Watch: Lamps on the pier burn low;", "Night Watch\n\nLamps on the pier burn low;", "Lamps on the pier burn low;"),
+        ("Day Watch: Lamps on the pier burn low;", "Night Watch\n\nLamps on the pier burn low;", None),
         ("don't", "they don’t", "don’t"),
     ],
 )
@@ -93,6 +93,11 @@ def test_statuses_and_metrics(spark):
     m = {r["answer_id"]: r for r in verify.citation_metrics(status, v).collect()}
     assert (m[1]["coverage"], m[1]["precision"], m[1]["uncited_rate"]) == (0.5, 3 / 6, 0.5)
     assert m[1]["quote_failure_rate"] == pytest.approx(1 / 3)
+    assert (m[1]["unsupported_rate"], m[1]["unverified_rate"]) == (0.0, 0.0)
+    failed = v.where("claim_idx = 1").withColumn("sentence", F.lit("c"))
+    n = {r["answer_id"]: r for r in verify.citation_metrics(verify.sentence_status(said, v.unionByName(failed)), v.unionByName(failed)).collect()}
+    assert n[1]["unsupported_rate"] == 1 / 4 and n[1]["quote_failure_rate"] == 2 / 4
+    assert (n[1]["failed"], n[1]["judged"], n[1]["c_verified"], n[1]["levels_omitted"]) == (2, 2, 2, 0)
     assert (m[2]["coverage"], m[2]["precision"], m[2]["claims"]) == (0.0, 0.0, 0)
     total = verify.citation_summary(verify.citation_metrics(status, v)).first()
     assert (total["coverage"], total["sentences"]) == (0.25, 5)

@@ -1,5 +1,6 @@
 """Tokenizers, normal forms, levels and markers against hand-made cases."""
 
+import re
 import unicodedata
 
 import pytest
@@ -46,6 +47,24 @@ def test_nfc(spark):
     assert one(spark, T.nfc(F.col("t")), t="e\u0301") == unicodedata.normalize("NFC", "e\u0301") == "\u00e9"
 
 
+def test_normal_forms_of_marks(spark):
+    """Clusters: a quote mark with an accent isn't folded, Korean letters apart stay apart, white space takes its marks."""
+    texts = ["cafe\u0301 \u2019\u0301 \u2019", "\u1100\u1161", "a \u0301b", " \u0301x", "\u212b\u2026\u0327", "n\u0303\u0301o", "\u03a9 \u2013", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(T.normalize_for_match(F.col("t"))).collect()] == [None if t is None else T.Normal(t).text for t in texts]
+    assert [r[0] for r in frame.select(T.nfc(F.col("t"))).collect()] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["\u0130stanbul x", "\u0391\u03a3 a", "Plain Words only 12", "e\u0301Tat", "x-1 y"])
+def test_tokens_by_either_way(spark, text):
+    """Texts that need the words one by one, and those that don't, by the definition."""
+    composed, out = unicodedata.normalize("NFC", text), []
+    for word in re.findall(r"[^\W_]+(?:[-_.][^\W_]+)*", composed):
+        own = [word, *(word.split("-") if "-" in word else [])]
+        out += [w.lower() for w in own] + [p.lower() for p in re.split("(?<=[a-z\u00e9])(?=[A-Z])", word) if p != word]
+    assert one(spark, T.tokens(F.col("t")), t=text) == out
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [("a  \n\t b", "a b"), ("don’t “quote” me — please…", "don't \"quote\" me - please..."), ("  x ", "x"), ("Case Kept", "Case Kept")],
