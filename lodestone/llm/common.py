@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: scratch folders, batches of texts, the training split."""
+"""What the operators of this subpackage share: keys of rows, batches of texts, the training split."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,29 +9,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, settle, spread  # noqa: F401
+
 #: Bytes of text that a Python step holds at once, besides one document.
 BATCH_BYTES = 8 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and
-    one machine runs everything."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: what is lost with an executor is reread, not recomputed."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns: Column) -> Column:
     """128 bits that stand for the values of a row's columns; a null differs from every value."""
     texts = [c.cast("string") for c in columns]
@@ -41,7 +22,7 @@ def row_key(*columns: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def training_row(doc_id: str = "doc_id") -> Column:

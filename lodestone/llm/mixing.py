@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import numbered
 from .common import row_key, settle
 
 #: The sources' weights, by order, again and again.
@@ -38,14 +39,8 @@ def size_of(text: Column) -> Column:
 
 
 def placed(sources: DataFrame) -> DataFrame:
-    """sources with place: 0, 1, 2, ... in the order of `source`, null last. Ranges of names are numbered apart, and a
-    row for each range says how many come before it."""
-    order = (F.col("source").isNull(), F.col("source"))
-    dealt = settle(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-sources")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = dealt.groupBy("part").agg(F.count("*").alias("n_part")).select("part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("begin"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("inside", inside).join(starts, "part").withColumn("place", F.col("begin") + F.col("inside")).drop("part", "begin", "inside")
+    """sources with place: 0, 1, 2, ... in the order of `source`, null last."""
+    return numbered(sources, F.col("source").isNull(), F.col("source"))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
