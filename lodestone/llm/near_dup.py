@@ -227,9 +227,11 @@ def grouped(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, Data
     the smallest doc_id of the component. by_id: texts of one doc_id are linked too."""
     signed = settle(sign(docs), "signed")
     some = signed.where("n_shingles > 0")
-    # numbered once they are written: a class's number then never changes
+    # numbered in the order of their smallest doc_ids, which are the likeliest originals and so the stars' centres; once
+    # they are written, a class's number never changes
     one = some.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("row_key", "bands", "bits")).alias("s"))
-    classes = settle(one.select("text_key", "rep", "s.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    order = (F.coalesce("rep", F.lit((1 << 63) - 1)), F.col("text_key"))
+    classes = settle(one.select("text_key", "rep", "s.*").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     least = settle(rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "least")
     members = settle(rows.join(least, "bucket").select("bucket", "node", "least"), "members")
