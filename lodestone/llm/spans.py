@@ -118,29 +118,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
-    """(doc_id, key, run, place): a row for each run of each text."""
+    """(doc_id, key, run, place): a row for each run of each text. What is written is a row for each document, its runs'
+    hashes one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 2 << 20):
-            rows, hashes, places = [], [], []
-            for i, text in enumerate(texts):
-                h, p = runs(text, shape) if text else ([], [])
-                rows += [i] * len(h)
-                hashes += h
-                places += p
-            of = batch.select(["doc_id", "key"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(hashes, pa.binary()), pa.array(places, pa.int32())], ["doc_id", "key", "run", "place"])
+            found = [b"".join(runs(t, shape)[0]) if t else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "key"]).columns, pa.array(found, pa.binary())], ["doc_id", "key", "runs"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key binary, run binary, place int")
+    packed = settle(keyed(docs).mapInArrow(run, "doc_id long, key binary, runs binary").where("length(runs) > 0"), "runs")
+    listed = packed.select("*", F.explode(F.sequence(F.lit(0), (F.length("runs") / 16).cast("int") - 1)).alias("place"))
+    return listed.select("doc_id", "key", F.substring("runs", F.col("place") * 16 + 1, F.lit(16)).alias("run"), "place")
 
 
 def remove_repeats(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     """For each row of docs that loses sentences: doc_id, n_sentences, n_removed, words_removed, removed (start and end
     bytes of each removed stretch) and text, what is left."""
-    found = settle(all_runs(docs, shape), "runs")
+    found = all_runs(docs, shape)
     at = F.struct("doc_id", "key", "place")
-    first = settle(found.groupBy("run").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("run", "first"), "first-runs")
-    later = found.join(first, "run").where(~at.eqNullSafe(F.col("first"))).select("key", "place")
+    first = settle(found.groupBy("run").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first.key", "first.place"), "first-runs")
+    here = (found["key"] == first["key"]) & (found["place"] == first["place"])  # the key stands for the doc_id too
+    later = found.join(first, "run").where(~here).select(found["key"], found["place"])
     covered = settle(later.groupBy("key").agg(F.collect_set("place").alias("places")), "later-runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
