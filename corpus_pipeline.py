@@ -6,7 +6,7 @@ the third replaces secrets in the text, the fourth gives each row as often as th
 each of those with its ids.
 
 Defined cases: those of the operators. A null or empty text is scored, linked with nothing, holds no secret, has size 0
-and so is never taken by the mix unless its source's target is; a null doc_id is kept and counts as held out; rows that
+(the mix may take it, at no words); a null doc_id is kept and counts as held out; rows that
 repeat count once from the second stage on; an empty table gives an empty result; further columns are kept.
 """
 
