@@ -114,7 +114,7 @@ def test_pipeline(spark):
     assert all(f.columns == columns for f in frames[:-1])
     good = {r["doc_id"] for r in quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in frames[0].collect()} == good
-    alone = {r["doc_id"] for r in near_dup.near_duplicates(frames[0]).where("kept").collect()}
+    alone = {r["doc_id"] for r in near_dup.near_duplicates(frames[0], corpus_pipeline.NEAR_PERCENT).where("kept").collect()}
     assert sorted(r["doc_id"] for r in frames[1].collect()) == sorted(alone)
     assert frames[2].count() == frames[1].count()
     assert secrets.scan(frames[2]).where("size(spans) > 0").count() == 0
