@@ -146,8 +146,9 @@ def fabrication_probes(spark, sf_dir):
 SELECT probe, ok AS should_match, count(*) AS n, count(*) FILTER (contains({sql.normal('text')}, {sql.normal('quote')})) AS accepted FROM qt GROUP BY ALL""")
 def fabrication_results(spark, sf_dir):
     """For each probe how many were accepted by the exact check."""
-    p = verify.probes(chunk_table(spark, sf_dir))
-    return p.groupBy("probe", "should_match").agg(F.count("*").alias("n"), F.count_if(verify.quote_holds(F.col("quote"), F.col("text"))).alias("accepted"))
+    # the check composes texts by a method call, which an aggregate doesn't take
+    p = verify.probes(chunk_table(spark, sf_dir)).withColumn("holds", verify.quote_holds(F.col("quote"), F.col("text")))
+    return p.groupBy("probe", "should_match").agg(F.count("*").alias("n"), F.count_if("holds").alias("accepted"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
