@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers, verify
+from lodestone.plans import evidence
 
 TEXT = "#### Rule 7.3.12 Lantern Not Doused (Brief)\n\nWhile a pilot boat crosses the bar, its lantern is never wholly covered by the crew's own sails."
 
@@ -164,3 +165,10 @@ def test_probes_are_told_apart(spark):
     assert len(got) > 100
     assert all(r["ok"] == r["should_match"] for r in got)
     assert all((verify.locate(r["quote"], r["text"]) is not None) == r["should_match"] for r in got)
+
+
+def test_fabrication_results_agree_with_their_probes(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    probes = evidence.fabrication_results(spark, sf_dir).collect()
+    assert probes and all(0 <= r["accepted"] <= r["n"] for r in probes)
+    assert all(r["accepted"] == (r["n"] if r["should_match"] else 0) for r in probes)
