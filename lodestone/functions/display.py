@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 LABEL, PREVIEW = 70, 600
 
 
@@ -22,10 +24,19 @@ def of_peak(value: Column, *keys: str) -> Column:
     return F.coalesce(value / F.nullif(F.max(value).over(Window.partitionBy(*keys)), F.lit(0.0)), F.lit(0.0))
 
 
-def waterfall(value: Column, keys: tuple[str, ...], order: tuple[str, ...]) -> tuple[Column, Column]:
-    """(start, share): the sum of what comes before in the group, and the part of the group's total."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(before), F.lit(0.0)), value / F.nullif(F.sum(value).over(Window.partitionBy(*keys)), F.lit(0.0))
+def waterfall(rows: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """rows with (start, share): the sum of what comes before in the group, and the part of the group's total. Groups are
+    cut into ranges of their order, and a row for each range carries the sums before it, so no task sees more of a group
+    than a range."""
+    dealt = settle(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "waterfall")
+    sums = dealt.groupBy(*keys, "part").agg(F.sum(value).alias("sum"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = sums.select(*keys, "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)).alias("begin"), F.sum("sum").over(Window.partitionBy(*keys)).alias("total"))
+    inside = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+    same = [summed[k].eqNullSafe(ranges[k]) for k in (*keys, "part")]
+    joined = summed.join(ranges, same).select(*[summed[c] for c in rows.columns], (F.col("begin") + F.col("inside")).alias("start"), (F.col(value) / F.nullif("total", F.lit(0.0))).alias("share"))
+    return joined
 
 
 def report_row(name: Column, values: list[tuple[Column, str]], available: Column) -> Column:

@@ -117,8 +117,13 @@ def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int
 
 def sweep(docs: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:
     """(k1, b, query_id, id, score, rank) for each pair of parameters: postings are made once for all."""
+    return sweep_matches(matches(docs, queries), params, k)
+
+
+def sweep_matches(found: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:
+    """The same over matches."""
     pairs = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("k1"), F.lit(float(y)).alias("b")) for x, y in params])).alias("p")
-    parts = matches(docs, queries).select("*", pairs).select("query_id", "id", "pos", "p.k1", "p.b", contribution(F.col("p.k1"), F.col("p.b")).alias("part"))
+    parts = found.select("*", pairs).select("query_id", "id", "pos", "p.k1", "p.b", contribution(F.col("p.k1"), F.col("p.b")).alias("part"))
     scored = parts.groupBy("k1", "b", "query_id", "id").agg(F.sum("part").alias("score"), F.min("pos").alias("first"))
     return ranked(scored, k, ("k1", "b", "query_id")).select("k1", "b", "query_id", "id", "score", "rank")
 

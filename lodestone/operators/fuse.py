@@ -28,6 +28,14 @@ def rrf(rankings: DataFrame, k: int = RRF_K, top: int = CANDIDATES, keys: tuple[
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def sweep(rankings: DataFrame, ks: tuple[int, ...], top: int = CANDIDATES) -> DataFrame:
+    """(k, query_id, id, score, rank) for each k: the lists are read once for all."""
+    wide = rankings.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    scored = wide.groupBy("k", "query_id", "id").agg(F.sum(1.0 / (F.col("k") + F.col("rank"))).alias("score"))
+    order = Window.partitionBy("k", "query_id").orderBy(F.round("score", 12).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def votes(rankings: DataFrame, retrievers: list[str], k: int = RRF_K) -> DataFrame:
     """(query_id, id, vote of each retriever, score): 0 for a list that lacks the id."""
     parts = [F.sum(F.when(F.col("retriever") == r, 1.0 / (F.lit(k) + F.col("rank"))).otherwise(0.0)).alias(f"vote_{r}") for r in retrievers]

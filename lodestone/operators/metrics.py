@@ -70,6 +70,37 @@ def ablation(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("kind") != "refusal").groupingSets([["retriever", "kind"], ["retriever"]], "retriever", "kind").agg(F.count("*").alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names])
 
 
+def by_variant(scores: DataFrame) -> DataFrame:
+    """(group, variant, n, recall_10, success_5, mrr, ndcg_10, identifier, conceptual) over questions that aren't
+    refusals: means for each retriever, named group:variant, the last two being the recall of one kind."""
+    means = [F.avg(c).alias(c) for c in ("recall_10", "success_5", "mrr", "ndcg_10")]
+    kinds = [F.coalesce(F.avg(F.when(F.col("kind") == k, F.col("recall_10"))), F.lit(0.0)).alias(k) for k in ("identifier", "conceptual")]
+    rows = scores.where("kind <> 'refusal'").groupBy(F.col("retriever").alias("variant")).agg(F.count("*").alias("n"), *means, *kinds)
+    return rows.select(F.split("variant", ":")[0].alias("group"), "*")
+
+
+def variant_intervals(scores: DataFrame, measures: tuple[str, ...] = ("recall_10", "success_5")) -> DataFrame:
+    """(variant, measure, mean, low, high) of each measure, over the same questions."""
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]))
+    long = scores.where("kind <> 'refusal'").select(F.col("retriever").alias("variant"), F.col("query_id").alias("ord"), values.alias("x")).select("variant", "ord", "x.measure", "x.value")
+    return bootstrap(long, ("variant", "measure"))
+
+
+def variant_lines(rows: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(group, variant, line): rows of a Markdown table, with percentages and 95 % intervals."""
+    ends = intervals.groupBy("variant").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("ci"))
+
+    def share(name: str) -> Column:
+        return F.format_string("%.1f%%", 100 * F.col(name))
+
+    def with_ends(name: str) -> Column:
+        return F.concat(share(name), F.format_string(" (%.0f–%.0f)", 100 * F.col("ci")[name]["low"], 100 * F.col("ci")[name]["high"]))
+
+    cells = [with_ends("recall_10"), with_ends("success_5"), F.format_string("%.3f", "mrr"), F.format_string("%.3f", "ndcg_10"), share("identifier"), share("conceptual")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "variant", *cells), F.lit(" |"))
+    return rows.join(ends, "variant").select("group", "variant", line.alias("line"))
+
+
 def draws(first: int, n: int) -> np.ndarray:
     """Numbers first .. first + n - 1 of the seeded sequence, in [0, 1). Each depends on its own place only."""
     u = np.uint32

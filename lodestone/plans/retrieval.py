@@ -281,12 +281,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = [*(f"recall_{k}" for k in metrics.CUTS), *(f"success_{k}" for k in metrics.CUTS), "mrr", "ndcg_10"]
 _HITS = ", ".join(f"count(*) FILTER (rank <= {k} AND grade = 2) AS h{k}" for k in metrics.CUTS)
-_PER = f"""{_TWO}, {_FUSED}, {sql.QRELS}, al AS (SELECT * FROM l UNION ALL SELECT 'fused', query_id, id, score, rank FROM fr),
-np AS (SELECT query_id, count(*) FILTER (grade = 2) AS np, sum(CASE WHEN i <= 10 THEN (2 ** grade - 1) / log2(i + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS i FROM qrels) GROUP BY query_id),
+_NP = f"""np AS (SELECT query_id, count(*) FILTER (grade = 2) AS np, sum(CASE WHEN i <= 10 THEN (2 ** grade - 1) / log2(i + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS i FROM qrels) GROUP BY query_id),
 ht AS (SELECT retriever, query_id, {_HITS}, min(rank) FILTER (grade = 2) AS fst, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM al JOIN qrels USING (query_id, id) GROUP BY ALL),
 pq AS (SELECT rt.retriever, q.query_id, q.kind, {", ".join(f"CASE WHEN coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(h{k}, 0)::DOUBLE / least(np, {k}) END AS recall_{k}, CASE WHEN coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE (coalesce(h{k}, 0) > 0)::INTEGER::DOUBLE END AS success_{k}" for k in metrics.CUTS)},
  CASE WHEN coalesce(np, 0) = 0 THEN 1.0::DOUBLE ELSE coalesce(1.0::DOUBLE / fst, 0) END AS mrr, CASE WHEN ideal IS NULL THEN 1.0::DOUBLE ELSE coalesce(dcg, 0) / ideal END AS ndcg_10
  FROM questions q CROSS JOIN (SELECT DISTINCT retriever FROM al) rt LEFT JOIN np ON np.query_id = q.query_id LEFT JOIN ht ON ht.query_id = q.query_id AND ht.retriever = rt.retriever)"""
+_PER = f"{_TWO}, {_FUSED}, {sql.QRELS}, al AS (SELECT * FROM l UNION ALL SELECT 'fused', query_id, id, score, rank FROM fr), {_NP}"
 
 
 @query(f"{_PER} SELECT retriever, query_id, kind, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM pq")
@@ -305,6 +305,47 @@ def ablation_report(spark, sf_dir):
     return means.select("retriever", display.report_row(F.col("retriever"), [(100 * F.col("recall_10"), "%.1f"), (F.col("mrr"), "%.3f")], F.col("n") > 0).alias("line"))
 
 
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings of every variant, named group:variant. The texts are cut once, and the full tokenizer's postings serve
+    all parameters."""
+    own = asked(spark, sf_dir)
+    listed = bm25.tokenized(docs(spark, sf_dir), full=T.tokens, plain=T.plain_tokens)
+    plain = settle(bm25.search_tokenized(listed.select("id", F.col("plain").alias("tokens")), own, tokens=T.plain_tokens), "plain")
+    swept = settle(bm25.sweep_matches(bm25.matches_of(listed.select("id", F.col("full").alias("tokens")), own), PARAMS), "swept")
+    full = swept.where("k1 = 1.2 AND b = 0.75")
+    fused_by = fuse.sweep(fuse.union({"full": full, "plain": plain}), RRF_KS)
+    columns = ("query_id", "id", "score", "rank")
+    by_params = swept.select(F.format_string("bm25:k1=%.1f,b=%.2f", "k1", "b").alias("retriever"), *columns)
+    by_k = fused_by.select(F.format_string("fusion:k=%d", "k").alias("retriever"), *columns)
+    return fuse.union({"tokenizer:plain": plain, "tokenizer:full": full}).unionByName(by_params).unionByName(by_k)
+
+
+_VARIANTS = f"""{_TWO}, {sql.QRELS}, pr AS (SELECT unnest([{", ".join(f"{{'k1': {a}::DOUBLE, 'b': {b}::DOUBLE}}" for a, b in PARAMS)}], recursive := true)),
+bz AS (SELECT k1, b, query_id, id, sum(idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * len / avgdl))) AS score, min(pos) AS first FROM w, pr GROUP BY ALL),
+ks AS (SELECT unnest({list(RRF_KS)})::INTEGER AS k), kz AS (SELECT k, query_id, id, sum(1.0::DOUBLE / (k + rank)) AS score FROM l, ks GROUP BY ALL),
+al AS (SELECT 'tokenizer:' || retriever AS retriever, query_id, id, rank FROM l
+ UNION ALL SELECT * FROM (SELECT printf('bm25:k1=%.1f,b=%.2f', k1, b), query_id, id, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY round(score, 9) DESC, first, id) AS rank FROM bz) WHERE rank <= 30
+ UNION ALL SELECT * FROM (SELECT 'fusion:k=' || k, query_id, id, row_number() OVER (PARTITION BY k, query_id ORDER BY round(score, 12) DESC, id) AS rank FROM kz) WHERE rank <= 30), {_NP}"""
+
+
+def variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(metrics.per_question(settle(variants(spark, sf_dir), "variants"), relevance(spark, sf_dir), questions(spark, sf_dir)), "scores")
+
+
+@query(f"""{_VARIANTS} SELECT string_split(retriever, ':')[1] AS "group", retriever AS variant, count(*) AS n, {', '.join(f'round(avg({n}), 6) AS {n}' for n in ('recall_10', 'success_5', 'mrr', 'ndcg_10'))}, {', '.join(f"round(coalesce(avg(recall_10) FILTER (kind = '{k}'), 0), 6) AS {k}" for k in ('identifier', 'conceptual'))} FROM pq WHERE kind <> 'refusal' GROUP BY retriever""")
+def variant_metrics(spark, sf_dir):
+    """Tokenizers, parameters of BM25 and of the fusion, in all measures."""
+    rows = metrics.by_variant(variant_scores(spark, sf_dir))
+    return rows.select("group", "variant", "n", *[r6(c).alias(c) for c in rows.columns if c not in ("group", "variant", "n")])
+
+
+@query()
+def variant_report(spark, sf_dir):
+    """The same as rows of a table, with intervals; the bootstrap is a seeded sequence that SQL can't express."""
+    scored = variant_scores(spark, sf_dir)
+    return metrics.variant_lines(metrics.by_variant(scored), metrics.variant_intervals(scored))
+
+
 @query(f"WITH {sql.bm25()} SELECT query_id, rank, lpad(rank::VARCHAR, 2, ' ') || '. ' || printf('%.3f', score) || '  ' || id || '  ' || substr(source, 1, 70) AS line, substr(regexp_replace(text, '\\n{{2,}}', chr(10), 'g'), 1, 600) AS preview FROM r JOIN documents ON doc_id = id WHERE rank <= 10")
 def hit_lines(spark, sf_dir):
     top = bm25.search(docs(spark, sf_dir), asked(spark, sf_dir), 10)
@@ -320,8 +361,8 @@ def score_shares(spark, sf_dir):
 
 @query("SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start, round(value / sum(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
 def waterfall(spark, sf_dir):
-    start, share = display.waterfall(F.col("value"), ("user_id",), ("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", r6(start).alias("start"), r6(share).alias("share"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return display.waterfall(events, "value", ("user_id",), ("ts", "event_id")).select("event_id", r6("start").alias("start"), r6("share").alias("share"))
 
 
 @query()
