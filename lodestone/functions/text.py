@@ -181,6 +181,11 @@ def sc_ref_of(path: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1))
 
 
+def source_title(title: Column, path: Column) -> Column:
+    """What a source is called in a prompt: its document and the headings above it."""
+    return F.array_join(F.concat(F.array(title), path), " > ")
+
+
 def document_text(path: Column, text: Column) -> Column:
     """What is indexed: the headings and the text below them."""
     return F.concat(F.array_join(path, " > "), F.lit("\n"), text)

@@ -160,3 +160,11 @@ def normalize_pages(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame, pattern: str) -> DataFrame:
     """(link): the distinct first groups of a pattern in all pages, without slashes at the ends."""
     return pages.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("link")).distinct().select(F.regexp_replace("link", "^/|/$", "").alias("link"))
+
+
+def linked_documents(pages: DataFrame, pattern: str, folder: str) -> DataFrame:
+    """(doc_id, source_url): the distinct first groups of a pattern in all pages, named folder/slug, the slug being the
+    last part of the path without `.html`."""
+    found = pages.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("source_url")).distinct()
+    slug = F.regexp_replace(F.substring_index("source_url", "/", -1), r"\.html$", "")
+    return found.select(F.concat(F.lit(f"{folder}/"), slug).alias("doc_id"), "source_url")

@@ -27,14 +27,13 @@ def normalize_pages(spark, sf_dir):
     return d.select("doc_id", "doc_title", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-_TITLES = r"""SELECT page_id::VARCHAR AS doc_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s+', ' ', 'g')) AS doc_title FROM pages WHERE regexp_matches(html, '<h1[^>]*>[^<&]*[^<& ][^<&]*</h1>')"""
+_HEADING = r"trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s+', ' ', 'g'))"
+_TITLES = f"SELECT page_id::VARCHAR AS doc_id, replace(replace(replace(replace({_HEADING}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS doc_title FROM pages"
 
 
 @query(_TITLES)
 def page_titles(spark, sf_dir):
-    """Of pages whose first h1 is plain text."""
-    pages = table(spark, sf_dir, "pages").where(F.col("html").rlike(r"<h1[^>]*>[^<&]*[^<& ][^<&]*</h1>"))
-    return html.normalize_pages(pages).select("doc_id", "doc_title")
+    return html.normalize_pages(spread(table(spark, sf_dir, "pages"))).select("doc_id", "doc_title")
 
 
 @query("SELECT DISTINCT regexp_replace(link, '^/|/$', '', 'g') AS link FROM (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"(/[^\"#?]*)\"', 1)) AS link FROM pages)")
@@ -42,6 +41,14 @@ def link_discovery(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages"), LINK).distinct()
 
 
+SLUGS = r'href="(/[A-Za-z0-9-]+)"'
+
+
+@query(f"SELECT DISTINCT 'linked/' || substr(link, 2) AS doc_id, link AS source_url FROM (SELECT unnest(regexp_extract_all(html, '{SLUGS}', 1)) AS link FROM pages)")
+def linked_documents(spark, sf_dir):
+    return html.linked_documents(table(spark, sf_dir, "pages"), SLUGS, "linked")
+
+
 @query("SELECT doc_id, ceil(length(text) / 3.5::DOUBLE)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
