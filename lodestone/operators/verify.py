@@ -86,6 +86,18 @@ def overlap_judge(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.when(share >= 0.9, 1.0).when(share >= 0.5, 0.5).otherwise(0.0))
 
 
+def holding(cited: DataFrame) -> DataFrame:
+    """The citations that hold their quote, numbered n = 1, 2, ... for each claim."""
+    return cited.where(F.col("span_start").isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy("answer_id", "claim_idx").orderBy("pos")))
+
+
+def judged_pairs(held: DataFrame) -> DataFrame:
+    """(answer_id, claim_idx, n, sentence, evidence, span, omitted) of the first holding citations of each claim."""
+    level = T.level_of(F.col("doc_title"), F.col("text"))
+    omitted = F.when(level.isNotNull() & ~T.names_level(F.col("sentence"), F.col("sc_ref"), level), level)
+    return held.where(F.col("n") <= JUDGED_PER_CLAIM).select("answer_id", "claim_idx", "n", "sentence", T.evidence(F.col("doc_title"), F.col("heading_path"), F.col("text")).alias("evidence"), F.struct("chunk_id", F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("span"), omitted.alias("omitted"))
+
+
 def verify(claims: DataFrame, cited: DataFrame, judge: Judge = overlap_judge) -> DataFrame:
     """claims with quote_match, supporting_chunk_ids, span, entailment, status, level_omitted.
 
@@ -94,11 +106,9 @@ def verify(claims: DataFrame, cited: DataFrame, judge: Judge = overlap_judge) ->
     equal ones.
     """
     key = ["answer_id", "claim_idx"]
-    held = cited.where(F.col("span_start").isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("pos")))
+    held = holding(cited)
     support = held.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("supporting_chunk_ids"))
-    level = T.level_of(F.col("doc_title"), F.col("text"))
-    omitted = F.when(level.isNotNull() & ~T.names_level(F.col("sentence"), F.col("sc_ref"), level), level)
-    pairs = held.where(F.col("n") <= JUDGED_PER_CLAIM).select(*key, "n", "sentence", T.evidence(F.col("doc_title"), F.col("heading_path"), F.col("text")).alias("evidence"), F.struct("chunk_id", F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("span"), omitted.alias("omitted"))
+    pairs = judged_pairs(held)
     scored = judge(pairs).withColumn("score", F.when(F.col("score").between(0.0, 1.0), F.col("score")))
     order = F.struct(F.coalesce(-F.col("score"), F.lit(1.0)).alias("s"), "n")
     best = scored.groupBy(*key).agg(F.min_by(F.struct("score", "span", "omitted"), order).alias("b"))

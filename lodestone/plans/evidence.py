@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, verify
+from ..operators import answers, bm25, rerank, verify
 from ..operators.providers import prompt
 from . import sql
 from ..sources.scratch import settle, spread
 from .registry import query, table
-from .retrieval import asked, docs, r6
+from .retrieval import _FUSED, _TWO, asked, docs, fused, r6
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,3 +225,34 @@ def chunk_texts(spark, sf_dir):
     return c.select("id", F.md5(T.evidence(title, path, text)).alias("evidence"), F.md5(T.document_text(path, text)).alias("indexed"), T.heading_label(path, title).alias("label"), T.chunk_key(F.col("doc_id"), path, text).alias("key"))
 
 
+@query(f"WITH {_CHUNKS} SELECT id, concat_ws(' > ', doc_title, array_to_string(heading_path, ' > ')) AS title FROM ch")
+def source_titles(spark, sf_dir):
+    return chunk_table(spark, sf_dir).select("id", T.source_title(F.col("doc_title"), F.col("heading_path")).alias("title"))
+
+
+_RERANK = f"""{_TWO}, {_FUSED}, cd AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS n FROM fr JOIN documents ON doc_id = id WHERE text <> ''),
+rr AS (SELECT query_id, id, CASE WHEN query_id % 4 = 0 THEN n - place ELSE place + 1 END AS rank, CASE WHEN query_id % 4 = 0 THEN (place + 1) / n::DOUBLE ELSE 1 - place / n::DOUBLE END AS score, CASE query_id % 4 WHEN 1 THEN 'reranker returned nothing' WHEN 2 THEN 'reranker returned no usable indices' WHEN 3 THEN 'quota used up' END AS degraded FROM cd)"""
+
+
+@query(f"{_RERANK} SELECT query_id, id, round(score, 6) AS score, rank, degraded FROM rr WHERE rank <= 8")
+def rerank_replies(spark, sf_dir):
+    """Replies made from each list: the order reversed, with a place that doesn't exist; an empty one; one of such places
+    only; and none, with a reason."""
+    listed = settle(rerank.candidates(fused(spark, sf_dir)[2], docs(spark, sf_dir)), "candidates")
+    turned = F.transform(F.sequence(F.size("items") - 1, F.lit(0), F.lit(-1)), lambda i: F.struct(i.alias("id"), ((i + 1) / F.size("items")).alias("score")))
+    none = F.struct(F.lit(99).alias("id"), F.lit(1.0).alias("score"))
+    raw = F.when(F.col("query_id") % 4 == 0, F.to_json(F.struct(F.concat(F.array(none), turned).alias("response")))).when(F.col("query_id") % 4 == 1, '{"response":[]}').when(F.col("query_id") % 4 == 2, '{"response":[{"id":99,"score":1},{"id":-1,"score":1},{"score":1}]}')
+    replies = listed.select("query_id", raw.alias("raw"), F.when(F.col("query_id") % 4 == 3, "quota used up").alias("error"))
+    return rerank.reranked(listed, replies).select("query_id", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"), "degraded")
+
+
+@query(f"""{_JUDGED}, nb AS (SELECT answer_id, claim_idx, n, row_number() OVER (PARTITION BY answer_id ORDER BY claim_idx, n) - 1 AS spot FROM jd)
+SELECT answer_id, (spot // 12)::INTEGER AS batch, (spot % 12)::INTEGER AS idx, CASE WHEN answer_id % 3 = 1 THEN NULL WHEN (spot % 12) % 4 = 0 THEN 0.25::DOUBLE WHEN (spot % 12) % 4 = 1 THEN 1.0 WHEN (spot % 12) % 4 = 2 AND answer_id % 3 = 0 THEN 0.0 END AS score FROM nb""")
+def judge_replies(spark, sf_dir):
+    """Pairs in requests of twelve, and replies with scores, with scores out of range or that are no numbers, and none."""
+    batches = settle(rerank.batched(verify.judged_pairs(verify.holding(verify.citations(claims(spark, sf_dir), chunk_table(spark, sf_dir))))), "batches")
+    third = F.when(F.col("answer_id") % 3 == 0, "0").otherwise("1.5")
+    value = F.transform(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.when(i % 4 == 0, "0.25").when(i % 4 == 1, "1").when(i % 4 == 2, third).otherwise('"0.5"'))
+    raw = F.when(F.col("answer_id") % 3 != 1, F.concat(F.lit('{"scores":['), F.array_join(value, ","), F.lit("]}")))
+    replies = batches.select(F.struct("answer_id", "batch").alias("batch_id"), F.size("pairs").alias("n"), raw.alias("raw"))
+    return rerank.scores(replies).select("batch_id.answer_id", "batch_id.batch", "idx", "score")
