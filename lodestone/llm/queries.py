@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, near_dup, pieces, quality, repetition, secrets, spans, token_files
-from .common import documents
+from . import conversations, language, media, mixing, near_dup, pieces, quality, repetition, secrets, spans, token_files
+from .common import documents, spread
+from .conversation_sql import op12_sql
 
 
 def tokenizer(name: str) -> str:
@@ -56,8 +57,12 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_report(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_bbit_minhash, op4_pieces, op5_suffix_repetition, op6_blob_ledger, op7_baseline_jpeg, op8_sentence_spans, op9_language_mixture, op10_additive_model)}
+    return {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_bbit_minhash, op4_pieces, op5_suffix_repetition, op6_blob_ledger, op7_baseline_jpeg, op8_sentence_spans, op9_language_mixture, op10_additive_model, op12_streamed_repair)}
 
 
 OP3_SQL = r"""
@@ -97,4 +102,4 @@ FROM t LEFT JOIN a ON a.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bbit_minhash": OP3_SQL, "op6_blob_ledger": _op6_sql()}
+    return {"op3_bbit_minhash": OP3_SQL, "op6_blob_ledger": _op6_sql(), "op12_streamed_repair": op12_sql()}
