@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, language, media, mixing, near_dup, pieces, quality, repetition, secrets, spans, token_files
+from . import conversations, language, media, mixing, near_dup, pages, pieces, quality, repetition, secrets, spans, token_files
 from .common import documents, spread
 from .conversation_sql import op12_sql
 
@@ -61,8 +61,12 @@ def op12_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_report(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_bbit_minhash, op4_pieces, op5_suffix_repetition, op6_blob_ledger, op7_baseline_jpeg, op8_sentence_spans, op9_language_mixture, op10_additive_model, op12_streamed_repair)}
+    return {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_bbit_minhash, op4_pieces, op5_suffix_repetition, op6_blob_ledger, op7_baseline_jpeg, op8_sentence_spans, op9_language_mixture, op10_additive_model, op12_streamed_repair, op13_page_differencing)}
 
 
 OP3_SQL = r"""
