@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, language, media, mixing, near_dup, pages, pieces, quality, repetition, secrets, spans, token_files
+from . import conversations, language, media, mixing, near_dup, negatives, pages, pieces, quality, repetition, secrets, spans, token_files
 from .common import documents, spread
 from .conversation_sql import op12_sql
 
@@ -57,6 +57,10 @@ def op10_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op12_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_report(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -66,7 +70,7 @@ def op13_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_bbit_minhash, op4_pieces, op5_suffix_repetition, op6_blob_ledger, op7_baseline_jpeg, op8_sentence_spans, op9_language_mixture, op10_additive_model, op12_streamed_repair, op13_page_differencing)}
+    return {f.__name__: f for f in (op1_token_files, op2_cube_mix, op3_bbit_minhash, op4_pieces, op5_suffix_repetition, op6_blob_ledger, op7_baseline_jpeg, op8_sentence_spans, op9_language_mixture, op10_additive_model, op11_anchor_tree_negatives, op12_streamed_repair, op13_page_differencing)}
 
 
 OP3_SQL = r"""
@@ -86,6 +90,21 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.u = w.doc_id
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def _op6_sql() -> str:
     """A place is what the pieces and matches before it add up to."""
     kinds = []
@@ -106,4 +125,4 @@ FROM t LEFT JOIN a ON a.doc_id = t.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bbit_minhash": OP3_SQL, "op6_blob_ledger": _op6_sql(), "op12_streamed_repair": op12_sql()}
+    return {"op3_bbit_minhash": OP3_SQL, "op6_blob_ledger": _op6_sql(), "op11_anchor_tree_negatives": OP11_SQL, "op12_streamed_repair": op12_sql()}
