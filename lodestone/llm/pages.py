@@ -61,8 +61,10 @@ def _order(row) -> tuple:
 
 
 def ranges(rows: DataFrame) -> list[tuple[tuple, tuple]]:
-    """The first and last key of each range of pages, in order: as many rows as a shuffle has partitions."""
-    dealt = rows.select(*KEY).repartitionByRange(*KEY).select(F.spark_partition_id().alias("part"), F.struct(*KEY).alias("key"))
+    """The first and last key of each range of pages, in order: as many rows as a shuffle has partitions, or the table
+    has. The keys alone are small, so their number isn't left to what the keys' size asks for."""
+    count = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    dealt = rows.select(*KEY).repartitionByRange(count, *KEY).select(F.spark_partition_id().alias("part"), F.struct(*KEY).alias("key"))
     found = dealt.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()
     return sorted((_order(r["first"]), _order(r["last"])) for r in found)
 
