@@ -25,6 +25,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def whole(docs: DataFrame, key: Column) -> DataFrame:
+    """(row, key): docs' rows as structs, so that no name of theirs meets a name of an operator's."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key.alias("key"))
+
+
+#: Times that a row is repeated where it lies; beyond, in parts that are dealt out.
+REPEATS = 1024
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """rows, each as many times as its column `times` says (0: none), without that column. Rows that are repeated often
+    are dealt out over all tasks first, so none repeats a row more than a few thousand times."""
+    few, many = rows.where(F.col(times).between(1, REPEATS)), rows.where(F.col(times) > REPEATS)
+
+    def listed(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`") for c in rows.columns if c != times], F.explode(F.array_repeat(F.lit(True), F.col(times).cast("int"))).alias("__again")).drop("__again")
+
+    part = many  # in parts, and those in parts, so that no array is long
+    for _ in range(2):
+        size = F.greatest(F.ceil(F.col(times) / REPEATS), F.lit(REPEATS)).cast("long")
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / size).cast("int")), lambda i: F.least(size, F.col(times) - i * size))
+        own = [F.col(f"`{c}`") for c in rows.columns if c != times]
+        part = part.select(*own, F.posexplode(pieces).alias("__part", times)).repartition("__part").drop("__part")
+    return listed(few).unionByName(listed(part))
+
+
 def training_row(doc_id: str = "doc_id") -> Column:
     """Rows that models may learn from: crc32 of doc_id as text, mod 3, is not 1. A null doc_id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1, F.lit(False))

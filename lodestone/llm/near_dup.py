@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, settle, slices
+from .common import row_key, settle, slices, whole
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 24, 4, 4
@@ -276,7 +276,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     words all stay, but of rows equal in doc_id and text, in either case, one does."""
     signed, classes = grouped(docs, percent, False)
     rows = signed.select("doc_id", "row_key", "text_key").join(classes, "text_key", "left")
-    first = rows.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("__key"))
-    kept = first.select("__key").unionByName(rows.where("component IS NULL").select(F.col("row_key").alias("__key"))).distinct()
-    own = docs.withColumn("__key", row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    return own.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = rows.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("key"))
+    kept = first.select("key").unionByName(rows.where("component IS NULL").select(F.col("row_key").alias("key"))).distinct()
+    own = whole(docs, row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return own.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

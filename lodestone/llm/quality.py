@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, training_row
+from .common import settle, slices, training_row, whole
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -186,5 +186,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects. Rows are matched by doc_id; rows of one doc_id stay if any of
     them is accepted."""
-    good = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    good = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good")).distinct()
+    kept = whole(docs, docs["doc_id"].cast("long")).join(good, F.col("key").eqNullSafe(F.col("good")), "left_semi")
+    return kept.select("row.*")

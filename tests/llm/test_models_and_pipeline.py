@@ -143,4 +143,4 @@ def test_pipeline_links_from_80_percent(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
