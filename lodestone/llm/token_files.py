@@ -277,9 +277,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": pa.array([task.partitionId()], pa.int32()), "n_docs": [len(writer.doc_ids)], "n_tokens": [sum(writer.counts)]})
 
-    # a doc_id that many rows share (null, say) has ranges by digests of texts; texts themselves would go to the driver
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("digest"))
-    ordered = rows.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").select("doc_id", "text")
+    # a doc_id that many rows share (null, say) has ranges by what texts begin with; whole texts would go to the driver
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.substring("text", 1, 128).alias("begin"))
+    ordered = rows.repartitionByRange("doc_id", "begin").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     files = settle(ordered.mapInArrow(write, "path string, part int, n_docs long, n_tokens long"), "token-manifest")
     # a row for each file, so one task can sum them
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
