@@ -1,7 +1,15 @@
-"""Exact dense search: a set of query vectors against all vectors, in blocks.
-
-Vectors and queries are gathered into blocks of bounded size; each pair of blocks is one row, scored by one matrix
-product, and leaves at most k candidates for each of its queries. No pair of single vectors is ever a row.
+"""Exact dense search: a set of query vectors against all vectors, in blocks that are skipped where they can't matter.
+
+Vectors that lie near each other are brought together: they are dealt out in ranges of the signs of a few fixed
+projections (and of ids, so equal vectors by the million are many tasks), and a task cuts what it holds into blocks around
+pivots, halving the widest until blocks are small. A block knows its centre and its radius, so no vector in it can score
+more with a query than the centre does, plus radius times the query's length. A task goes through pairs of blocks of
+vectors and of queries, the most promising first, keeps each query's best k scores, and scores a block only for queries
+whose k-th score it may reach; a first pass over centres alone gives every query a floor under its k-th score, so that
+tasks without good blocks skip all of theirs. No pair of single vectors is ever a row, and nothing runs while the plan is built.
+
+How much is skipped depends on the vectors: where they cluster, most pairs of queries and blocks (`pairs_scored` counts
+them); where they lie evenly on a sphere of many dimensions, no bound of this kind helps, and all are scored.
 """
 
 from __future__ import annotations
@@ -10,41 +18,221 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .bm25 import CANDIDATES, ranked
 
-BLOCK = 2048
+#: Rows of a block at most, rows that a task cuts into blocks at once, and signs that name a cell.
+BLOCK, HELD, SIGNS = 256, 1 << 15, 12
+#: Blocks of twice LEAST rows and more are split on if all parts then have at most GAIN of the radius.
+LEAST, GAIN = 16, 0.8
+#: Room for rounding in bounds on scores.
+SLACK = 1e-8
+
+PACKED = pa.schema([("ids", pa.list_(pa.int64())), ("floors", pa.list_(pa.float64())), ("flat", pa.list_(pa.float64())), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+PACKED_DDL = "ids array<long>, floors array<double>, flat array<double>, centre array<double>, radius double"
+
+
+def radius_of(x: np.ndarray) -> float:
+    return float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).max(initial=0)))
+
+
+def split(x: np.ndarray) -> np.ndarray:
+    """Which rows are nearer to the row farthest from the mean than to the row farthest from that one; the half that
+    leans to it where that would leave one part nearly empty (equal rows, say)."""
+    a = x[np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1))]
+    b = x[np.argmax(((x - a) ** 2).sum(axis=1))]
+    lean = x @ (a - b)
+    nearer = lean > (a @ a - b @ b) / 2
+    if not 0.05 < nearer.mean() < 0.95:
+        nearer = np.zeros(len(x), bool)
+        nearer[np.argsort(lean, kind="stable")[len(x) // 2 :]] = True
+    return nearer
+
+
+def narrowed(v: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Parts of a block, if all of them are narrower than the whole by GAIN; else the block."""
+    if len(own) < 2 * LEAST:
+        return [own]
+    nearer = split(v[own])
+    parts = narrowed(v, own[nearer]) + narrowed(v, own[~nearer])
+    return parts if max(radius_of(v[p]) for p in parts) <= GAIN * radius_of(v[own]) else [own]
+
+
+def halves(v: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of the rows of v, in blocks of at most `most` rows that lie near each other."""
+    stack = [np.arange(len(v))]
+    while stack:
+        own = stack.pop()
+        if len(own) > most:
+            nearer = split(v[own])
+            stack += [own[nearer], own[~nearer]]
+        else:
+            yield from narrowed(v, own)
 
 
 def _blocks(rows: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
-    """Rows (id, scale, v) in blocks of about `block`: arrays of ids and scales, and one flat array of all v."""
-    n = max(1, -(-rows.count() // block))
-    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "scale", "v"))).alias("r"))
-    return packed.select(F.col("r.id").alias(f"{name}_ids"), F.col("r.scale").alias(f"{name}_scales"), F.flatten("r.v").alias(f"{name}_flat"))
+    """Rows (id, scale, v, and perhaps floor) in blocks of near ones: ids, floors, one flat array of all v times their
+    scale, centre, radius."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = []
+            for v in batch.column(2):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid else np.zeros(0)
+                plane = planes.setdefault(len(x), np.random.default_rng(len(x)).normal(size=(SIGNS, len(x))))
+                found.append(int(((plane @ x > 0) << np.arange(SIGNS)).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "cell"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids, scales, floors = (t.column(i).to_numpy() for i in (0, 1, 3))
+            lists = t.column(2).combine_chunks()
+            widths = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+            if len(widths) > 1:
+                raise ValueError(f"vectors have widths {', '.join(map(str, widths))}")
+            v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) * scales.astype(np.float64)[:, None]
+            for own in halves(v, block):
+                x = v[own]
+                flat = pa.array(x.ravel(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[own].tolist()], pa.list_(pa.int64())), pa.array([floors[own].tolist()], pa.list_(pa.float64())), pa.ListArray.from_arrays([0, len(flat)], flat), pa.array([x.mean(axis=0).tolist()], pa.list_(pa.float64())), pa.array([radius_of(x)])], schema=PACKED)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield from out()
+        if sum(b.num_rows for b in held):
+            yield from out()
+
+    kind = dict(rows.dtypes)["v"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges, so that cells which share their first signs lie together, and a large cell has several
+    floor = F.col("floor") if "floor" in rows.columns else F.lit(-np.inf)
+    dealt = rows.select("id", "scale", "v", floor.alias("floor")).mapInArrow(cells, f"id long, scale float, v {kind}, floor double, cell int").repartitionByRange(n, "cell", "id")
+    near = dealt.sortWithinPartitions("cell", "id").select("id", "scale", "v", "floor")
+    return near.mapInArrow(pack, PACKED_DDL).select(*[F.col(c).alias(f"{name}_{c}") for c in PACKED.names])
+
+
+class Best:
+    """The best k of each query of a block, as far as a task has come."""
+
+    def __init__(self, ids: np.ndarray, floors: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.lengths = np.sqrt((q**2).sum(axis=1))
+        self.found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        self.least = floors - SLACK  # what the k-th score can't be below
+
+    def bounds(self, centre: np.ndarray, radius: float) -> np.ndarray:
+        return self.q @ centre + radius * self.lengths + SLACK * (1 + self.lengths)
+
+    def add(self, open_: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        for i, row in zip(open_, self.q[open_] @ x.T, strict=True):
+            at = np.flatnonzero(np.round(row, 9) >= self.least[i])
+            if not len(at):
+                continue
+            all_ids, exact = np.concatenate([self.found[i][0], ids[at]]), np.concatenate([self.found[i][1], row[at]])
+            near = np.round(exact, 9)
+            if len(near) > 4 * self.k:  # only what reaches the k-th is put in order
+                cut = np.flatnonzero(near >= np.partition(near, len(near) - self.k)[len(near) - self.k])
+                all_ids, exact, near = all_ids[cut], exact[cut], near[cut]
+            best = np.lexsort((all_ids, -near))[: self.k]
+            self.found[i] = all_ids[best], exact[best]
+            if len(best) == self.k:
+                self.least[i] = max(self.least[i], near[best[-1]])
+
+
+def _task(k: int, batches: Iterator[pa.RecordBatch]) -> tuple[list[Best], int, int]:
+    """(the best of each block of queries, pairs of a query and a block met, and of these scored)."""
+    known: dict[tuple, Best] = {}
+    met = scored = 0
+    for batch in batches:
+        due = []
+        for r in range(batch.num_rows):
+            ids, _, flat, centre, radius, q_ids, floors, q_flat, _, _ = (c[r] for c in batch.columns)
+            q_ids = q_ids.values.to_numpy(zero_copy_only=False)
+            name = (int(q_ids[0]), int(q_ids[-1]), len(q_ids), hash(q_ids.tobytes()))
+            if name not in known:
+                known[name] = Best(q_ids, floors.values.to_numpy(zero_copy_only=False), q_flat.values.to_numpy(zero_copy_only=False).reshape(len(q_ids), -1), k)
+            best, n = known[name], len(ids.values)
+            x = flat.values.to_numpy(zero_copy_only=False).reshape(n, -1)
+            if x.shape[1] != best.q.shape[1]:
+                raise ValueError(f"queries have width {best.q.shape[1]}, vectors {x.shape[1]}")
+            bounds = best.bounds(centre.values.to_numpy(zero_copy_only=False), radius.as_py())
+            due.append((float(bounds.max()), best, bounds, ids.values.to_numpy(zero_copy_only=False), x))
+        for _, best, bounds, ids, x in sorted(due, key=lambda d: -d[0]):
+            open_ = np.flatnonzero(bounds >= best.least)
+            met, scored = met + len(bounds), scored + len(open_)
+            if len(open_):
+                best.add(open_, ids, x)
+    return list(known.values()), met, scored
+
+
+def _floors(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, floor): a score that a query's k-th is not below. All vectors of a block score at least what its centre
+    does, less radius times the query's length; the best blocks with k vectors give the floor. Only centres are read."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[bytes, list[int]] = {}
+            for r in range(batch.num_rows):
+                groups.setdefault(batch.column(3)[r].values.to_numpy(zero_copy_only=False).tobytes(), []).append(r)
+            for rows in groups.values():
+                q_ids = batch.column(3)[rows[0]].values.to_numpy(zero_copy_only=False)
+                q = batch.column(4)[rows[0]].values.to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
+                sizes = batch.column(0).take(pa.array(rows)).to_numpy()
+                centres = np.array(batch.column(1).take(pa.array(rows)).to_pylist())
+                if centres.shape[1] != q.shape[1]:
+                    raise ValueError(f"queries have width {q.shape[1]}, vectors {centres.shape[1]}")
+                low = q @ centres.T - np.sqrt((q**2).sum(axis=1))[:, None] * batch.column(2).take(pa.array(rows)).to_numpy()
+                for query, row in zip(q_ids, low, strict=True):
+                    best = np.argsort(-row, kind="stable")
+                    best = best[: np.searchsorted(np.cumsum(sizes[best]), k) + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query), pa.int64()), pa.array(row[best]), pa.array(sizes[best], pa.int64())], ["id", "low", "n"])
+
+    met = blocks.select(F.size("v_ids").alias("n"), "v_centre", "v_radius").crossJoin(queries.select("q_ids", "q_flat"))  # of blocks
+    low = met.mapInArrow(least, "id long, low double, n long")
+    upto = F.sum("n").over(Window.partitionBy("id").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    return low.withColumn("upto", upto).groupBy("id").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("low"))), F.lit(-np.inf)).alias("floor"))
+
+
+def _pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    blocks = _blocks(vectors, "v")
+    floors = _floors(blocks, _blocks(queries, "q"), k)
+    # queries of one id share the lower floor
+    return blocks.crossJoin(_blocks(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-np.inf))), "q"))  # of blocks
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, scales, flat, q_ids, _, q_flat = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns)
-                if not len(ids) or not len(q_ids):
-                    continue
-                if len(flat) // len(ids) != len(q_flat) // len(q_ids):
-                    raise ValueError(f"queries have width {len(q_flat) // len(q_ids)}, vectors {len(flat) // len(ids)}")
-                found = q_flat.astype(np.float64).reshape(len(q_ids), -1) @ flat.astype(np.float64).reshape(len(ids), -1).T * scales.astype(np.float64)
-                near = np.round(found, 9)
-                for q, (row, exact) in enumerate(zip(near, found, strict=True)):
-                    cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    some = np.flatnonzero(row >= cut)
-                    best = some[np.lexsort((ids[some], -row[some]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([q_ids[q]] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(exact[best])], ["query_id", "id", "score"])
-
-    pairs = _blocks(vectors, "v").crossJoin(_blocks(queries, "q", 256))  # of blocks
-    return ranked(pairs.mapInArrow(score, "query_id long, id long, score double"), k, ties=("id",)).select("query_id", "id", "score", "rank")
+        for best in _task(k, batches)[0]:
+            sizes = [len(f[0]) for f in best.found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes), pa.int64()), pa.array(np.concatenate([f[0] for f in best.found]), pa.int64()), pa.array(np.concatenate([f[1] for f in best.found]))], ["query_id", "id", "score"])
+
+    found = _pairs(vectors, queries, k).mapInArrow(score, "query_id long, id long, score double")
+    return ranked(found, k, ties=("id",)).select("query_id", "id", "score", "rank")
+
+
+def pairs_scored(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(met, scored): pairs of a query and a block of vectors that search_float meets, and those it scores."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, met, scored = _task(k, batches)
+        yield pa.RecordBatch.from_arrays([pa.array([met], pa.int64()), pa.array([scored], pa.int64())], ["met", "scored"])
+
+    counted = _pairs(*_units(vectors, queries), k).mapInArrow(count, "met long, scored long")
+    return counted.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
+
+
+def _units(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    one = F.lit(1.0).cast("float").alias("scale")
+    return tuple(x.select(F.col(c).alias("id"), one, V.l2_normalize(F.col("embedding")).alias("v")) for x, c in ((vectors, "id"), (queries, "query_id")))
 
 
 def search_int8(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -56,8 +244,7 @@ def search_int8(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
 
 def search_float(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The same without codes: the exact baseline."""
-    unit = vectors.select("id", F.lit(1.0).cast("float").alias("scale"), V.l2_normalize(F.col("embedding")).alias("v"))
-    return _search(unit, queries.select(F.col("query_id").alias("id"), F.lit(1.0).cast("float").alias("scale"), V.l2_normalize(F.col("embedding")).alias("v")), k)
+    return _search(*_units(vectors, queries), k)
 
 
 def agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
