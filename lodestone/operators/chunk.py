@@ -1,7 +1,7 @@
 """Chunks of documents: structure-aware ones with overlap, and fixed windows.
 
 Structure-aware chunking is a state machine over one document's blocks, so documents go through it in batches, one row
-each, without a shuffle. Fixed windows need no state and are Catalyst expressions only.
+each, without a shuffle. Fixed windows are cut in one pass over each text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +82,14 @@ def cut_block(text: str, start: int, end: int, most: int) -> Iterator[Block]:
 def hard_pieces(docs: DataFrame, most: int = Sizes.most) -> DataFrame:
     """(doc_id, char_start, char_end) of docs (doc_id, text), cut by length alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [(d, x.start, x.end) for d, n in zip(rows["doc_id"], rows["n"], strict=True) for x in cut_hard(0, n, most)]
-            yield pd.DataFrame(found, columns=["doc_id", "char_start", "char_end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, x.start, x.end) for i, n in enumerate(batch.column(1).to_pylist()) for x in cut_hard(0, n, most)]
+            at, start, end = (pa.array([f[j] for f in found], pa.int32()) for j in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), start, end], ["doc_id", "char_start", "char_end"])
 
     sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    return sizes.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, char_start int, char_end int")
+    return sizes.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, char_start int, char_end int")
 
 
 def blocks_of(text: str, most: int) -> Iterator[Block]:
@@ -193,23 +195,51 @@ def chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     return with_ids(found).select("id", "doc_id", "doc_title", "source_url", "heading_path", T.sc_ref_of(F.col("heading_path")).alias("sc_ref"), "text", "char_start", "char_end", T.estimate_tokens(F.col("text")).alias("token_count"))
 
 
+#: Characters of windows that go out together.
+OUT_CHARS = 4 << 20
+
+
+def windows_of(text: str, size: int, step: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of windows of `size` characters, `step` apart, until one reaches the end: a window's end moves back
+    to a space in its second half, its start on to behind one of its first 40 characters."""
+    n = len(text)
+    for at in range(0, n, step):
+        if at and at - step + size >= n:
+            return
+        end = min(at + size, n)
+        if end < n:
+            back = text.rfind(" ", at + size // 2 + 1, at + size + 1)
+            end = back if back >= 0 else end
+        ahead = text.find(" ", at, at + 40) if at else -1
+        yield (ahead + 1 if ahead >= 0 else at), end
+
+
 def fixed_windows(docs: DataFrame, tokens: int = 400, overlap: float = 0.15) -> DataFrame:
     """(doc_id, char_start, char_end, text) of docs (doc_id, text): windows of one size, rounded down, moved to spaces;
-    blank ones are left out."""
+    blank ones are left out. One pass over each text, whose time is the windows' length."""
     size = math.floor(tokens * T.CHARS_PER_TOKEN)
     step = math.floor(size * (1 - overlap))
-    n = F.length("text")
-    at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))).alias("at")
-    # a window that isn't the first only starts if the one before didn't reach the end
-    raw = docs.select("doc_id", "text", at).where((F.col("at") == 0) | (F.col("at") - step + size < n))
-    end = F.least(F.col("at") + size, n)
-    # the last space at or before the end, and the first at or after the start, in the piece where it may be used
-    tail = F.reverse(F.substring("text", F.col("at") + size // 2 + 2, F.lit(size - size // 2)))
-    back = F.locate(" ", tail)
-    snapped = F.when((end < n) & (back > 0), F.col("at") + size - back + 1).otherwise(end)
-    ahead = F.locate(" ", F.substring("text", F.col("at") + 1, F.lit(40)))
-    begun = F.when((F.col("at") > 0) & (ahead > 0), F.col("at") + ahead).otherwise(F.col("at"))
-    cut = raw.select("doc_id", begun.alias("char_start"), snapped.alias("char_end"), "text").select("doc_id", "char_start", "char_end", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            rows, starts, ends, texts = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "char_start", "char_end", "text"])
+
+        for batch in batches:
+            held, chars = [], 0
+            for i, whole in enumerate(batch.column(1)):
+                text = whole.as_py() or ""
+                for start, end in windows_of(text, size, step):
+                    if start < end:
+                        held.append((i, start, end, text[start:end]))
+                        chars += end - start
+                    if chars >= OUT_CHARS:
+                        yield out()
+                        held, chars = [], 0
+            if held:
+                yield out()
+
+    cut = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, char_start int, char_end int, text string")
     return cut.where(F.col("text").rlike(T.NOT_WHITE))
 
 
@@ -256,19 +286,42 @@ def exact_quantiles(rows: DataFrame, value: str, ps: dict[str, float], keys: tup
     return found if keys else found.where("n IS NOT NULL")
 
 
+def beside_documents(chunked: DataFrame, docs: DataFrame, own: list[Column]) -> DataFrame:
+    """own, holds, to_end, starts: for each chunk (doc_id, text, char_start, char_end) and document of its id, whether
+    the offsets cut out the chunk's text, whether they reach the document's end, and whether they start with it or right
+    after a line end. A document and its chunks, in their order, stream through one task, which holds one document: no
+    chunk carries a document with it."""
+    parts = chunked.where("doc_id IS NOT NULL").select("doc_id", F.col("char_start").alias("at"), "char_end", "text", F.struct(*own).alias("own"))
+    wholes = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lit(-1).alias("at"), "text")
+    both = parts.unionByName(wholes, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_id, held = None, []  # several, if documents share an id
+        for batch in batches:
+            rows, flags = [], []
+            for i, (doc, at, end, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if doc != doc_id:
+                    doc_id, held = doc, []
+                if at < 0:
+                    held.append(text)
+                    continue
+                for whole in held:
+                    rows.append(i)
+                    flags.append((int(whole[at:end] == text), int(end == len(whole)), int(at == 0 or whole[at - 1 : at] == "\n")))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(rows)), *(pa.array(f, pa.int32()) for f in zip(*flags, strict=True))], ["own", "holds", "to_end", "starts"])
+
+    kind = parts.schema["own"].dataType.simpleString()
+    return both.select("doc_id", "at", "char_end", "text", "own").mapInArrow(run, f"own {kind}, holds int, to_end int, starts int").select("own.*", "holds", "to_end", "starts")
+
+
 def statistics(chunked: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row (for each key): count, token quantiles, and shares of chunks whose offsets hold, that end cleanly (in a
     mark, a line end, or with the document), that start cleanly (with the document, or right after a line end), and that
     have a reference. chunked: keys, doc_id, text, char_start, char_end, sc_ref."""
-    text, whole = F.col("text"), F.col("whole")
-    wide = chunked.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").select(
-        *keys,
-        T.estimate_tokens(text).alias("tokens"),
-        (F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == text).cast("int").alias("holds"),
-        (text.rlike(CLEAN_END) | (F.col("char_end") == F.length(whole))).cast("int").alias("ends"),
-        ((F.col("char_start") == 0) | (F.substring("whole", F.col("char_start"), F.lit(1)) == "\n")).cast("int").alias("starts"),
-        F.col("sc_ref").isNotNull().cast("int").alias("referenced"),
-    )
+    text = F.col("text")
+    own = [*map(F.col, keys), T.estimate_tokens(text).alias("tokens"), text.rlike(CLEAN_END).alias("clean"), F.col("sc_ref").isNotNull().cast("int").alias("referenced")]
+    wide = beside_documents(chunked, docs, own).withColumn("ends", (F.col("clean") | (F.col("to_end") == 1)).cast("int"))
     shares = wide.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("holds", "ends", "starts", "referenced")])
     found = exact_quantiles(wide.select(*keys, "tokens"), "tokens", {"median": 0.5, "p10": 0.1, "p90": 0.9}, keys)
     return found.join(shares, list(keys)) if keys else found.crossJoin(shares)  # one row each
