@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +69,18 @@ class HashEncoder:
 def embed(texts: DataFrame, encoder: Encoder, dims: int = DIMS) -> DataFrame:
     """(id, embedding) of texts (id, text), in requests of the encoder's size. Counts and widths are checked."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for i in range(0, len(rows), encoder.batch):
-                part = rows.iloc[i : i + encoder.batch]
-                found = with_backoff(lambda part=part: encoder.encode(part["text"].fillna("").tolist()))
-                if len(found) != len(part):
-                    raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+            for i in range(0, rows.num_rows, encoder.batch):
+                part = rows.slice(i, encoder.batch)
+                found = with_backoff(lambda part=part: encoder.encode([t or "" for t in part.column(1).to_pylist()]))
+                if len(found) != part.num_rows:
+                    raise ValueError(f"{len(found)} vectors for {part.num_rows} texts")
                 if any(len(v) != dims for v in found):
                     raise ValueError(f"a vector's width isn't {dims}")
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": found})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.asarray(v, np.float32) for v in found], pa.list_(pa.float32()))], ["id", "embedding"])
 
-    return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, embedding array<float>")
+    return texts.select("id", F.col("text").cast("string")).mapInArrow(run, f"id {dict(texts.dtypes)['id']}, embedding array<float>")
 
 
 def query_text(question: Column) -> Column:
@@ -117,13 +117,14 @@ def chain(frame: DataFrame, column: str, models: list[tuple[str, Callable[[str],
                     break
         return None, None, " · ".join(reasons)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [ask(t) for t in rows[column]]
-            yield rows.assign(answer=[x[0] for x in found], model=[x[1] for x in found], degraded=[x[2] for x in found])
+            found = [ask(t) for t in rows.column(rows.schema.get_field_index(column)).to_pylist()]
+            more = [pa.array([x[i] for x in found], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "answer", "model", "degraded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes) + ", answer string, model string, degraded string"
-    return frame.mapInPandas(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def has_uncited_answer(raw: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +35,13 @@ def asked(listed: DataFrame, questions: DataFrame, model: Callable[[str, list[st
         except Exception as e:  # noqa: BLE001  a provider may raise anything
             return None, str(e) or type(e).__name__
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [ask(q, list(t)) for q, t in zip(rows["question"].fillna(""), rows["texts"])]
-            yield pd.DataFrame({"query_id": rows["query_id"], "raw": [x[0] for x in found], "error": [x[1] for x in found]})
+            found = [ask(q or "", t or []) for q, t in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([x[i] for x in found], pa.string()) for i in (0, 1))], ["query_id", "raw", "error"])
 
     sent = wide.select("query_id", "question", F.transform("items", lambda x: x["text"]).alias("texts"))
-    return sent.mapInPandas(run, f"query_id {dict(sent.dtypes)['query_id']}, raw string, error string")
+    return sent.mapInArrow(run, f"query_id {dict(sent.dtypes)['query_id']}, raw string, error string")
 
 
 def reranked(listed: DataFrame, replies: DataFrame, k: int = RERANKED, strict: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import bm25, dense, fuse, golden, metrics, providers
+from ..operators import bm25, contain, dense, fuse, golden, metrics, providers
 from ..sources.scratch import settle, spread
 from . import sql
 from .registry import query, table
@@ -251,16 +251,9 @@ def rerank_fallback(spark, sf_dir):
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, id, grade): documents that hold the first inner window of eight words of a passage of 10 words and
-    more; one that holds the whole passage is primary. Documents that may hold it are found by an equi-join on the
-    window's longest word. Written, as several measures are taken against it."""
-    inner = F.slice("w", 2, 8)
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word")))), 1)["word"]
-    passages = asked(spark, sf_dir).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 10).select("query_id", F.col("text").alias("passage"), F.concat(F.lit(" "), F.array_join(inner, " "), F.lit(" ")).alias("window"), longest.alias("word"))
-    listed = docs(spark, sf_dir).select("id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
-    pairs = listed.join(passages.select("query_id", "word"), "word").select("query_id", "id")
-    wide = pairs.join(passages.drop("word"), "query_id").join(docs(spark, sf_dir), "id")
-    line = F.concat(F.lit(" "), F.array_join(T.words(F.col("text")), " "), F.lit(" "))
-    held = wide.where(F.contains(line, F.col("window")))
+    more; one that holds the whole passage is primary. Written, as several measures are taken against it."""
+    passages = asked(spark, sf_dir).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 10).select("query_id", F.col("text").alias("passage"), F.array_join(F.slice("w", 2, 8), " ").alias("text"))
+    held = contain.containing(docs(spark, sf_dir), passages.select("query_id", "text")).join(passages.select("query_id", "passage"), "query_id")
     return settle(held.select("query_id", "id", F.when(F.contains("text", F.col("passage")), 2).otherwise(1).alias("grade")), "relevance")
 
 
