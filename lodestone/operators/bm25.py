@@ -129,7 +129,7 @@ def sweep_matches(found: DataFrame, params: list[tuple[float, float]], k: int =
 
 
 def explain(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, term, df, idf, tf, score) for each of pairs (query_id, id) and each distinct term of the query;
+    """(query_id, id, term, df, idf, tf, score, pos) for each of pairs (query_id, id) and each distinct term of the query;
     terms that the document or the index lacks count 0. The scores of a pair add up to the search's score."""
     return explain_matches(matches(docs, queries), queries, pairs, k1, b)
 
@@ -139,17 +139,17 @@ def explain_matches(found: DataFrame, queries: DataFrame, pairs: DataFrame, k1:
     wanted = pairs.join(query_terms(queries), "query_id").join(known, ["query_id", "term"], "left")
     parts = found.join(pairs, ["query_id", "id"], "left_semi").select("query_id", "id", "term", "tf", contribution(F.lit(k1), F.lit(b)).alias("score"))
     zero = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in (("df", 0), ("idf", 0.0), ("tf", 0), ("score", 0.0))]
-    return wanted.join(parts, ["query_id", "id", "term"], "left").select("query_id", "id", "term", *zero)
+    return wanted.join(parts, ["query_id", "id", "term"], "left").select("query_id", "id", "term", *zero, "pos")
 
 
 def term_summary(parts: DataFrame, stats: DataFrame) -> DataFrame:
     """Of `explain`'s rows, for each pair: the terms that the document holds, the largest score first, those that only
-    other documents hold, the score's total, and the mean length, rounded."""
+    other documents hold, both in the query's order where nothing else tells, the score's total, and the mean length, rounded."""
     present = F.filter("listed", lambda x: x["tf"] > 0)
-    absent = F.array_sort(F.transform(F.filter("listed", lambda x: (x["tf"] == 0) & (x["df"] > 0)), lambda x: x["term"]))
-    listed = parts.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("by"), "term", "tf", "df"))).alias("listed"), F.sum("score").alias("total"))
+    absent = F.array_sort(F.transform(F.filter("listed", lambda x: (x["tf"] == 0) & (x["df"] > 0)), lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"))))
+    listed = parts.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("by"), "pos", "term", "tf", "df"))).alias("listed"), F.sum("score").alias("total"))
     one = F.broadcast(stats.select(F.round("avgdl").cast("long").alias("avgdl")))  # one row
-    return listed.select("query_id", "id", F.transform(present, lambda x: x["term"]).alias("present"), absent.alias("absent"), "total").crossJoin(one)
+    return listed.select("query_id", "id", F.transform(present, lambda x: x["term"]).alias("present"), F.transform(absent, lambda x: x["term"]).alias("absent"), "total").crossJoin(one)
 
 
 def diagnostics(docs: DataFrame, queries: DataFrame) -> DataFrame:

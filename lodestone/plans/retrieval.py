@@ -122,8 +122,8 @@ def bm25_explain(spark, sf_dir):
     return explained(spark, sf_dir)[0].select("query_id", "id", "term", "df", r6("idf").alias("idf"), "tf", r6("score").alias("score"))
 
 
-@query(f"""WITH {sql.bm25()}, e AS (SELECT r.query_id, r.id, q.term, coalesce(f.df, 0) AS df, coalesce(w.tf, 0) AS tf, coalesce(w.idf * (w.tf * 2.2::DOUBLE) / (w.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * w.len / w.avgdl)), 0) AS score FROM r JOIN q ON q.query_id = r.query_id LEFT JOIN f ON f.term = q.term LEFT JOIN w ON w.query_id = r.query_id AND w.id = r.id AND w.term = q.term)
-SELECT query_id, id, array_to_string(list(term ORDER BY round(score, 9) DESC, term) FILTER (tf > 0), ' ') AS present, coalesce(array_to_string(list(term ORDER BY term) FILTER (tf = 0 AND df > 0), ' '), '') AS absent, round(sum(score), 6) AS total, (SELECT round(avgdl) FROM st)::BIGINT AS avgdl FROM e GROUP BY query_id, id""")
+@query(f"""WITH {sql.bm25()}, e AS (SELECT r.query_id, r.id, q.pos, q.term, coalesce(f.df, 0) AS df, coalesce(w.tf, 0) AS tf, coalesce(w.idf * (w.tf * 2.2::DOUBLE) / (w.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * w.len / w.avgdl)), 0) AS score FROM r JOIN q ON q.query_id = r.query_id LEFT JOIN f ON f.term = q.term LEFT JOIN w ON w.query_id = r.query_id AND w.id = r.id AND w.term = q.term)
+SELECT query_id, id, array_to_string(list(term ORDER BY round(score, 9) DESC, pos) FILTER (tf > 0), ' ') AS present, coalesce(array_to_string(list(term ORDER BY pos) FILTER (tf = 0 AND df > 0), ' '), '') AS absent, round(sum(score), 6) AS total, (SELECT round(avgdl) FROM st)::BIGINT AS avgdl FROM e GROUP BY query_id, id""")
 def term_summary(spark, sf_dir):
     """Which terms of its query each hit holds, and which only others do."""
     parts, listed = explained(spark, sf_dir)
