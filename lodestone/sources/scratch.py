@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[str]:
+    """Tables between stages that are written inside lie in one folder, which is deleted at the end. What a query
+    returns reads such tables, so write or collect it inside, too."""
+    folder = scratch(spark, "scope")
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and
     one machine runs everything."""
+    if scope := _SCOPE.get():
+        return f"{scope}/{name}-{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
