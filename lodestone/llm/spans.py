@@ -34,8 +34,9 @@ from .common import row_key, settle, slices
 RUN, LEAST_WORDS, MOST_WORDS = 3, 15, 12
 #: Words to either side that decide whether a long sentence is cut after a word.
 NEAR = 3
-#: A run of blanks is looked at once, from its start, whether a line ends after it or not.
-BORDER = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]++|(?<![ \t\r])[ \t\r]++\n\s*+|\n\s*+")
+#: After a mark, blanks; else blanks up to a line end and the white space after it. A run of blanks is looked at once,
+#: from its first one, whether a line ends after it or not.
+BORDER = re.compile(rb"[ \t\r\x0b\x0c](?:(?<=[.!?].)[ \t\r\x0b\x0c]*+|(?<![ \t\r].)(?<![\x0b\x0c])[ \t\r]*+\n\s*+)|\n\s*+")
 SPACES = re.compile(rb"[ \t-\r]+")
 
 

@@ -49,7 +49,7 @@ def test_borders_are_where_they_were():
     import itertools
 
     for n in range(7):
-        for x in itertools.product(b"a. \n\x0b", repeat=n):
+        for x in itertools.product(b"a. \n\x0b\r", repeat=n):
             text = bytes(x)
             assert [m.span() for m in spans.BORDER.finditer(text)] == [m.span() for m in OLD.finditer(text)], text
 
