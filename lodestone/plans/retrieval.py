@@ -9,7 +9,8 @@ from ..functions import display
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import blockmax, bm25, contain, dense, fuse, golden, metrics, providers
-from ..sources.scratch import settle, spread
+from ..sources import embedding_cache
+from ..sources.scratch import scratch, settle, spread
 from . import sql
 from .registry import query, table
 
@@ -423,6 +424,18 @@ def normalize_decomposed(spark, sf_dir):
     return d.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
+@query("SELECT count(*) AS texts, count(DISTINCT coalesce(text, '')) AS sent, 0::BIGINT AS sent_again, count(*) AS embedded, count(DISTINCT coalesce(text, '')) AS kept FROM documents")
+def embedding_ledger(spark, sf_dir):
+    """Documents and what a ledger of embeddings sends for them: each different text once, and nothing a second time."""
+    path, encoder, texts = scratch(spark, "embedding-ledger"), providers.HashEncoder(), docs(spark, sf_dir)
+    sent = settle(embedding_cache.unseen(texts, path, "hash"), "sent").agg(F.count("*").alias("sent"))
+    found = embedding_cache.embed_once(texts, path, encoder, "hash").agg(F.count("embedding").alias("embedded"))
+    again = embedding_cache.unseen(texts, path, "hash").agg(F.count("*").alias("sent_again"))
+    kept = embedding_cache.read_ledger(spark, path, "hash").agg(F.count("*").alias("kept"))
+    rows = texts.agg(F.count("*").alias("texts"))
+    return rows.crossJoin(sent).crossJoin(again).crossJoin(found).crossJoin(kept)  # a row each
+
+
 @query()
 def query_prefix_ablation(spark, sf_dir):
     """How much of the first ten stays when queries are embedded with their instruction, with the stand-in encoder."""

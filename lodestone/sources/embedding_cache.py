@@ -30,3 +30,33 @@ def upsert(spark: SparkSession, texts: DataFrame, path: str, encoder: Encoder) -
     new = embed(missing(texts.dropDuplicates(["id"]), read_cache(spark, path)), encoder)
     new.write.mode("append").parquet(path)
     return read_cache(spark, path)
+
+
+LEDGER = "model string, key binary, embedding array<float>"
+
+
+def named(texts: DataFrame) -> DataFrame:
+    """(id, key, text) of texts (id, text): equal texts have one key, and a null text is an empty one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return texts.select("id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+
+
+def read_ledger(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(key, embedding) of one model, a row for each key: two runs at once may both have embedded a text."""
+    rows = spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], LEDGER)
+    return rows.where(F.col("model") == model).groupBy("key").agg(F.first("embedding").alias("embedding"))
+
+
+def unseen(texts: DataFrame, path: str, model: str) -> DataFrame:
+    """(id, text): each different text that the ledger lacks for this model, once; the id is its key in hex."""
+    new = named(texts).groupBy("key").agg(F.first("text").alias("text"))
+    return new.join(read_ledger(texts.sparkSession, path, model).select("key"), "key", "left_anti").select(F.hex("key").alias("id"), "text")
+
+
+def embed_once(texts: DataFrame, path: str, encoder: Encoder, model: str) -> DataFrame:
+    """(id, embedding) of all rows of texts (id, text). Different texts that the ledger lacks are embedded, once each, and
+    appended; what is appended comes from tasks that succeeded, so a task that is run again adds nothing twice."""
+    spark = texts.sparkSession
+    new = embed(unseen(texts, path, model), encoder)
+    new.select(F.lit(model).alias("model"), F.unhex("id").alias("key"), "embedding").write.mode("append").parquet(path)
+    return named(texts).select("id", "key").join(read_ledger(spark, path, model), "key").select("id", "embedding")
