@@ -75,7 +75,7 @@ def scores(replies: DataFrame) -> DataFrame:
 
 def pair_prompt(pairs: Column) -> Column:
     """What a judge is asked about an array of (sentence, evidence): a verdict for every numbered pair."""
-    rule = "For each numbered pair say whether the evidence establishes the claim: supported, partially_supported (it is about the same thing but leaves out a detail, a number, a condition or a conformance level) or not_supported. Judge the meaning, whatever the claim's language. Give a verdict for every index."
+    rule = "Below are numbered pairs of a claim and a text. Take every pair by itself and answer each number with one verdict. Say supported where the text alone shows all that the claim states, partially_supported where it shows only some of it, and not_supported otherwise. Claims and texts may be in different languages."
     blocks = F.transform(pairs, lambda x, i: F.concat(F.lit("[pair "), i.cast("string"), F.lit("]\nevidence: "), capped(x["evidence"], "chunk"), F.lit("\nclaim: "), capped(x["sentence"], "sentence")))
     return F.concat(F.lit(rule + "\n\n"), F.array_join(blocks, "\n\n"))
 
