@@ -133,6 +133,13 @@ def index_summary(spark, sf_dir):
     return s.select(*[c for c in s.columns if c != "avgdl"], r6("avgdl").alias("avgdl"))
 
 
+@query(f"WITH {_WINDOWS} SELECT source AS folder, count(DISTINCT wt.doc_id) AS documents, count(*) AS chunks, sum(strlen(wt.text))::BIGINT AS bytes FROM wt JOIN documents d ON d.doc_id = wt.doc_id WHERE source IS NOT NULL GROUP BY source")
+def folder_summary(spark, sf_dir):
+    """Documents as if their sources were folders, cut into windows."""
+    d = spread(table(spark, sf_dir, "documents")).where("source IS NOT NULL").select(F.concat_ws("/", "source", "doc_id").alias("doc_id"), "text")
+    return index.folders(chunk.fixed_windows(d))
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, source AS doc_title, length(text) AS chars FROM documents")
 def manifest(spark, sf_dir):
     """Written and read again."""

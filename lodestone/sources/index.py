@@ -62,6 +62,13 @@ def summary(chunks: DataFrame) -> DataFrame:
     return counts.crossJoin(sizes).crossJoin(terms).crossJoin(bm25.statistics(texts).select("avgdl"))  # one row each
 
 
+def folders(chunks: DataFrame) -> DataFrame:
+    """(folder, documents, chunks, bytes) of chunks (doc_id, text): a document's folder is its id up to the first slash."""
+    own = chunks.select(F.substring_index("doc_id", "/", 1).alias("folder"), "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    by_document = own.groupBy("folder", "doc_id").agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"))
+    return by_document.groupBy("folder").agg(F.count("*").alias("documents"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"))
+
+
 def read_bm25_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics) of an index in one JSON object: docIds, lengths, avgdl, params, and for each term a flat
     list of document places and counts."""
