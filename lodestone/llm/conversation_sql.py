@@ -35,9 +35,9 @@ WITH RECURSIVE tab AS (
 ), named AS (
   SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink, md5(strlen(role) || ':' || role || strlen(text) || ':' || text) AS digest FROM bad
 ), line AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest, copy) AS i, role[1] AS ini,
-    CASE WHEN ink = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, digest ORDER BY turn NULLS FIRST, copy) > 1 THEN 2 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
-  FROM named
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest, copy, nth) AS i, role[1] AS ini,
+    CASE WHEN ink = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, digest ORDER BY turn NULLS FIRST, copy) AS nth FROM named)
 ), pair AS (
   SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS two FROM line
 ), stat AS (
