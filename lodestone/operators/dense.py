@@ -73,9 +73,10 @@ def halves(v: np.ndarray, most: int) -> Iterator[np.ndarray]:
             yield from narrowed(v, own)
 
 
-def _blocks(rows: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
+def _blocks(rows: DataFrame, name: str, block: int = BLOCK, near: bool = True) -> DataFrame:
     """Rows (id, scale, v, and perhaps floor) in blocks of near ones: ids, floors, one flat array of all v times their
-    scale, centre, radius."""
+    scale, centre, radius. If not `near`, blocks are made
+    where the rows lie."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -111,13 +112,14 @@ def _blocks(rows: DataFrame, name: str, block: int = BLOCK) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield from out()
 
-    kind = dict(rows.dtypes)["v"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # ranges, so that cells which share their first signs lie together, and a large cell has several
     floor = F.col("floor") if "floor" in rows.columns else F.lit(-np.inf)
-    dealt = rows.select("id", "scale", "v", floor.alias("floor")).mapInArrow(cells, f"id long, scale float, v {kind}, floor double, cell int").repartitionByRange(n, "cell", "id")
-    near = dealt.sortWithinPartitions("cell", "id").select("id", "scale", "v", "floor")
-    return near.mapInArrow(pack, PACKED_DDL).select(*[F.col(c).alias(f"{name}_{c}") for c in PACKED.names])
+    rows = rows.select("id", "scale", "v", floor.alias("floor"))
+    if near:
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.mapInArrow(cells, f"id long, scale float, v {dict(rows.dtypes)['v']}, floor double, cell int")
+        # ranges, so that cells which share their first signs lie together, and a large cell has several
+        rows = dealt.repartitionByRange(n, "cell", "id").sortWithinPartitions("cell", "id").select("id", "scale", "v", "floor")
+    return rows.mapInArrow(pack, PACKED_DDL).select(*[F.col(c).alias(f"{name}_{c}") for c in PACKED.names])
 
 
 class Best:
@@ -204,9 +206,9 @@ def _floors(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def _pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     blocks = _blocks(vectors, "v")
-    floors = _floors(blocks, _blocks(queries, "q"), k)
+    floors = _floors(blocks, _blocks(queries, "q", near=False), k)
     # queries of one id share the lower floor
-    return blocks.crossJoin(_blocks(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-np.inf))), "q"))  # of blocks
+    return blocks.crossJoin(_blocks(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-np.inf))), "q", near=False))  # of blocks
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
