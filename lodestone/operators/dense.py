@@ -75,8 +75,7 @@ def halves(v: np.ndarray, most: int) -> Iterator[np.ndarray]:
 
 def _blocks(rows: DataFrame, name: str, block: int = BLOCK, near: bool = True) -> DataFrame:
     """Rows (id, scale, v, and perhaps floor) in blocks of near ones: ids, floors, one flat array of all v times their
-    scale, centre, radius. If not `near`, blocks are made
-    where the rows lie."""
+    scale, centre, radius. If not `near`, blocks are made where the rows lie."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
