@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import settle
+from . import lists
 
 K1, B = 1.2, 0.75
 CANDIDATES = 30
@@ -100,14 +101,26 @@ def scored(found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     return ranked(sums, k).select("query_id", "id", "score", "rank")
 
 
+def sweep_tokenized(listed: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES, tokens: Tokens = T.tokens) -> DataFrame:
+    """(k1, b, query_id, id, score, rank) for each pair of parameters, over listed (id, tokens): postings are made once
+    for all, and scored in blocks. Ties as in `scored`."""
+    blocks = lists.query_blocks(query_terms(queries, tokens))
+    held = lists.postings(listed, blocks)
+    size, n = F.size("tokens").cast("long"), F.count("*")
+    stats = listed.select(size.alias("len")).agg(n.alias("n"), F.coalesce(F.sum("len") / F.nullif(n, F.lit(0)), F.lit(0.0)).cast("double").alias("avgdl"))
+    pairs = [(float(x), float(y)) for x, y in params]
+    found = lists.hits(held, lists.weighted(blocks, held, stats, idf(F.col("n"), F.col("df"))), pairs, k)
+    return ranked(found, k, ("k1", "b", "query_id")).select("k1", "b", "query_id", "id", "score", "rank")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank) over documents (id, text), which are tokenized on the way."""
-    return scored(matches(docs, queries, tokens), k, k1, b)
+    return search_tokenized(tokenized(docs, tokens=tokens), queries, k, tokens, k1, b)
 
 
 def search_tokenized(listed: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
     """The same over listed (id, tokens), which several searches share."""
-    return scored(matches_of(listed, queries, tokens), k, k1, b)
+    return sweep_tokenized(listed, queries, [(k1, b)], k, tokens).select("query_id", "id", "score", "rank")
 
 
 def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int = CANDIDATES, k1: float = K1, b: float = B) -> DataFrame:
@@ -117,15 +130,7 @@ def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int
 
 def sweep(docs: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:
     """(k1, b, query_id, id, score, rank) for each pair of parameters: postings are made once for all."""
-    return sweep_matches(matches(docs, queries), params, k)
-
-
-def sweep_matches(found: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:
-    """The same over matches."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("k1"), F.lit(float(y)).alias("b")) for x, y in params])).alias("p")
-    parts = found.select("*", pairs).select("query_id", "id", "pos", "p.k1", "p.b", contribution(F.col("p.k1"), F.col("p.b")).alias("part"))
-    scored = parts.groupBy("k1", "b", "query_id", "id").agg(F.sum("part").alias("score"), F.min("pos").alias("first"))
-    return ranked(scored, k, ("k1", "b", "query_id")).select("k1", "b", "query_id", "id", "score", "rank")
+    return sweep_tokenized(tokenized(docs), queries, params, k)
 
 
 def explain(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

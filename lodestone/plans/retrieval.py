@@ -315,7 +315,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = asked(spark, sf_dir)
     listed = bm25.tokenized(docs(spark, sf_dir), full=T.tokens, plain=T.plain_tokens)
     plain = settle(bm25.search_tokenized(listed.select("id", F.col("plain").alias("tokens")), own, tokens=T.plain_tokens), "plain")
-    swept = settle(bm25.sweep_matches(bm25.matches_of(listed.select("id", F.col("full").alias("tokens")), own), PARAMS), "swept")
+    swept = settle(bm25.sweep_tokenized(listed.select("id", F.col("full").alias("tokens")), own, PARAMS), "swept")
     full = swept.where("k1 = 1.2 AND b = 0.75")
     fused_by = fuse.sweep(fuse.union({"full": full, "plain": plain}), RRF_KS)
     columns = ("query_id", "id", "score", "rank")

@@ -1,8 +1,11 @@
 """What only larger tables showed: references that were cut, and work that grew faster than its input."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
-from lodestone.operators import html
+from lodestone.operators import bm25, html, lists
 from lodestone.plans import registry
 
 
@@ -17,3 +20,38 @@ def test_titles_with_references_that_were_cut(spark, tmp_path):
 
 def test_pages_themselves_read_references_as_html_does():
     assert html.normalize("<h1>a &amp</h1><p>&copy b</p>", "1") == ("a &", "# a &\n\n© b")
+
+
+def texts(n, seed=5):
+    r = random.Random(seed)
+    words = [f"w{int(r.paretovariate(0.7)) % 400}" for _ in range(4000)]
+    return [" ".join(r.choices(words, k=r.randint(0, 25))) for _ in range(n)]
+
+
+def test_lists_in_blocks_are_those_of_single_rows(spark):
+    """More queries and documents than a block has, copies, null texts, ids that repeat (one document) or are null."""
+    own = texts(1500)
+    rows = [(str(i % 1400), t if i % 50 else None) for i, t in enumerate(own)] + [(f"copy{i}", own[7]) for i in range(200)] + [(None, own[9]), (None, own[9]), (None, own[10])]
+    docs = spark.createDataFrame(rows, "id string, text string").repartition(5)
+    queries = spark.createDataFrame(list(enumerate([*texts(298, 6), "", None])), "query_id long, text string")
+    plain = bm25.scored(bm25.matches(docs, queries), 10)
+    columns = ("query_id", "id", F.round("score", 8).alias("score"), "rank")
+
+    def listed(frame):
+        return sorted(map(tuple, frame.select(*columns).collect()), key=lambda r: (r[0], r[3]))
+
+    assert listed(bm25.search(docs, queries, 10)) == listed(plain)
+    swept = bm25.sweep(docs, queries, [(1.2, 0.75), (0.6, 1.0)], 10)
+    assert listed(swept.where("k1 = 1.2")) == listed(plain)
+    assert listed(swept.where("k1 = 0.6")) == listed(bm25.scored(bm25.matches(docs, queries), 10, 0.6, 1.0))
+
+
+def test_what_leaves_a_task_does_not_grow_with_documents(spark):
+    docs = spark.range(6000).select("id", F.concat(F.lit("common word"), F.col("id") % 7).alias("text"))
+    queries = spark.createDataFrame([(i, f"common word{i}") for i in range(20)], "query_id long, text string")
+    blocks = lists.query_blocks(bm25.query_terms(queries))
+    held = lists.postings(bm25.tokenized(docs), blocks)
+    assert held.select(F.explode("term")).count() == 12000
+    stats = docs.select(F.count("*").alias("n"), F.lit(2.0).alias("avgdl"))
+    found = lists.hits(held, lists.weighted(blocks, held, stats, bm25.idf(F.col("n"), F.col("df"))), [(1.2, 0.75)], 3)
+    assert 60 <= found.count() <= 60 * found.rdd.getNumPartitions()
