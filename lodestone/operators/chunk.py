@@ -11,16 +11,18 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import settle
 
 HEADING = re.compile(r"(#{1,6}) (.+)")
 SENTENCE_GAP = re.compile(r"(?<=[.!?:;])\s+")
 SECTION_LEVEL = 3
+#: Characters of chunks and windows that go out together, and rows that are read as Python's objects at once.
+OUT_CHARS, READ_ROWS = 1 << 20, 256
 
 
 @dataclass(frozen=True)
@@ -183,20 +185,30 @@ def chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """docs (doc_id, doc_title, source_url, text) in chunks: id, doc_id, doc_title, source_url, heading_path, sc_ref,
     text, char_start, char_end, token_count."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [spans(t, sizes) for t in rows["text"]]
-            part = pd.DataFrame({"doc_id": rows["doc_id"], "doc_title": rows["doc_title"], "source_url": rows["source_url"], "whole": rows["text"], "found": found}).explode("found").dropna(subset=["found"])
-            start, end, path = ([x[i] for x in part["found"]] for i in range(3))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "doc_title": part["doc_title"], "source_url": part["source_url"], "heading_path": path, "text": [w[a:b] for w, a, b in zip(part["whole"], start, end, strict=True)], "char_start": start, "char_end": end})
+    names = ["doc_id", "doc_title", "source_url", "heading_path", "text", "char_start", "char_end"]
 
-    schema = "doc_id string, doc_title string, source_url string, heading_path array<string>, text string, char_start int, char_end int"
-    found = docs.select("doc_id", "doc_title", "source_url", "text").mapInPandas(run, schema)
-    return with_ids(found).select("id", "doc_id", "doc_title", "source_url", "heading_path", T.sc_ref_of(F.col("heading_path")).alias("sc_ref"), "text", "char_start", "char_end", T.estimate_tokens(F.col("text")).alias("token_count"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            rows, starts, ends, paths, texts = zip(*held, strict=True)
+            own = [batch.column(c).take(pa.array(rows)) for c in range(3)]
+            return pa.RecordBatch.from_arrays([*own, pa.array(paths, pa.list_(pa.string())), pa.array(texts, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names)
 
+        for batch in batches:
+            held, chars = [], 0
+            for i, whole in enumerate(batch.column(3)):
+                text = whole.as_py() or ""
+                for start, end, path in spans(text, sizes):
+                    held.append((i, start, end, path, text[start:end]))
+                    chars += end - start
+                    if chars >= OUT_CHARS:
+                        yield out()
+                        held, chars = [], 0
+            if held:
+                yield out()
 
-#: Characters of windows that go out together.
-OUT_CHARS = 4 << 20
+    schema = "doc_id string, doc_title string, source_url string, heading_path array<string>, text string, char_start int, char_end int"
+    found = docs.select(*[F.col(c).cast("string") for c in ("doc_id", "doc_title", "source_url", "text")]).mapInArrow(run, schema)
+    return with_ids(found).select("id", "doc_id", "doc_title", "source_url", "heading_path", T.sc_ref_of(F.col("heading_path")).alias("sc_ref"), "text", "char_start", "char_end", T.estimate_tokens(F.col("text")).alias("token_count"))
 
 
 def windows_of(text: str, size: int, step: int) -> Iterator[tuple[int, int]]:
@@ -297,7 +309,7 @@ def beside_documents(chunked: DataFrame, docs: DataFrame, own: list[Column]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_id, held = None, []  # several, if documents share an id
-        for batch in batches:
+        for batch in (b.slice(i, READ_ROWS) for b in batches for i in range(0, b.num_rows, READ_ROWS)):
             rows, flags = [], []
             for i, (doc, at, end, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if doc != doc_id:
@@ -321,7 +333,8 @@ def statistics(chunked: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ())
     have a reference. chunked: keys, doc_id, text, char_start, char_end, sc_ref."""
     text = F.col("text")
     own = [*map(F.col, keys), T.estimate_tokens(text).alias("tokens"), text.rlike(CLEAN_END).alias("clean"), F.col("sc_ref").isNotNull().cast("int").alias("referenced")]
-    wide = beside_documents(chunked, docs, own).withColumn("ends", (F.col("clean") | (F.col("to_end") == 1)).cast("int"))
+    # written, as both halves of the result read it
+    wide = settle(beside_documents(chunked, docs, own).withColumn("ends", (F.col("clean") | (F.col("to_end") == 1)).cast("int")), "measured")
     shares = wide.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("holds", "ends", "starts", "referenced")])
     found = exact_quantiles(wide.select(*keys, "tokens"), "tokens", {"median": 0.5, "p10": 0.1, "p90": 0.9}, keys)
     return found.join(shares, list(keys)) if keys else found.crossJoin(shares)  # one row each

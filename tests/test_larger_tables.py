@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, html, lists
@@ -55,3 +56,17 @@ def test_what_leaves_a_task_does_not_grow_with_documents(spark):
     stats = docs.select(F.count("*").alias("n"), F.lit(2.0).alias("avgdl"))
     found = lists.hits(held, lists.weighted(blocks, held, stats, bm25.idf(F.col("n"), F.col("df"))), [(1.2, 0.75)], 3)
     assert 60 <= found.count() <= 60 * found.rdd.getNumPartitions()
+
+
+def test_pages_and_chunks_go_out_in_small_batches(spark):
+    """However many rows a task reads, what it hands on at once stays near OUT_CHARS."""
+    page = "<html><body><main><h1>t</h1>" + "<p>" + "Some words of text here. " * 2000 + "</p></main></body></html>"
+    pages = spark.range(60).coalesce(1).select(F.col("id").alias("page_id"), F.lit("/u").alias("url"), F.lit(page).alias("html"))
+
+    docs = html.normalize_pages(pages)
+    held = [pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(60)]), pa.array(["/u"] * 60), pa.array([page] * 60)], ["page_id", "url", "html"])]
+    sent = []
+    frame = type("Rows", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, f, schema: sent.extend(f(iter(held)))})()
+    html.normalize_pages(frame)
+    assert sum(b.num_rows for b in sent) == 60 and max(b.nbytes for b in sent) < 2 * html.OUT_CHARS
+    assert docs.count() == 60
