@@ -3,10 +3,11 @@
 Vectors that lie near each other are brought together: they are dealt out in ranges of the signs of a few fixed
 projections (and of ids, so equal vectors by the million are many tasks), and a task cuts what it holds into blocks around
 pivots, halving the widest until blocks are small. A block knows its centre and its radius, so no vector in it can score
-more with a query than the centre does, plus radius times the query's length. A task goes through pairs of blocks of
-vectors and of queries, the most promising first, keeps each query's best k scores, and scores a block only for queries
-whose k-th score it may reach; a first pass over centres alone gives every query a floor under its k-th score, so that
-tasks without good blocks skip all of theirs. No pair of single vectors is ever a row, and nothing runs while the plan is built.
+more with a query than the centre does, plus radius times the query's length. Blocks that lie together are a group, which
+is written as one row, and queries go in blocks, too. A task goes through pairs of a group and a block of queries, the
+most promising first, keeps each query's best k scores, and scores a block only for queries whose k-th score it may reach;
+where most are open, the group is scored as one product. A first pass over centres alone gives every query a floor under
+its k-th score, so that tasks without good blocks skip all of theirs. No pair of single vectors is ever a row.
 
 How much is skipped depends on the vectors: where they cluster, most pairs of queries and blocks (`pairs_scored` counts
 them); where they lie evenly on a sphere of many dimensions, no bound of this kind helps, and all are scored.
@@ -22,18 +23,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import settle
 from .bm25 import CANDIDATES, ranked
 
-#: Rows of a block at most, rows that a task cuts into blocks at once, and signs that name a cell.
-BLOCK, HELD, SIGNS = 256, 1 << 15, 12
+#: Rows of a block at most, rows that a task cuts into blocks at once, signs that name a cell, and tasks that vectors are
+#: dealt to (or as many as there are cores, if these are more): k rows a query leave each of them.
+BLOCK, HELD, SIGNS, TASKS = 256, 1 << 15, 12, 24
+#: Numbers of a group of blocks, about; numbers and rows of a block of queries at most; rows found before they are cut to
+#: each query's best; part of pairs of a query and a block from which a group is scored as one.
+GROUP, ASKED, QUERIES, KEPT, MOST = 1 << 18, 1 << 16, 1024, 1 << 16, 0.5
 #: Blocks of twice LEAST rows and more are split on if all parts then have at most GAIN of the radius.
 LEAST, GAIN = 16, 0.8
 #: Room for rounding in bounds on scores.
 SLACK = 1e-8
 
-PACKED = pa.schema([("ids", pa.list_(pa.int64())), ("floors", pa.list_(pa.float64())), ("flat", pa.list_(pa.float64())), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
-PACKED_DDL = "ids array<long>, floors array<double>, flat array<double>, centre array<double>, radius double"
-
 
 def radius_of(x: np.ndarray) -> float:
     return float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).max(initial=0)))
@@ -73,9 +76,39 @@ def halves(v: np.ndarray, most: int) -> Iterator[np.ndarray]:
             yield from narrowed(v, own)
 
 
-def _blocks(rows: DataFrame, name: str, block: int = BLOCK, near: bool = True) -> DataFrame:
-    """Rows (id, scale, v, and perhaps floor) in blocks of near ones: ids, floors, one flat array of all v times their
-    scale, centre, radius. If not `near`, blocks are made where the rows lie."""
+def _numbers(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, all v times their scale, floors) of rows (id, scale, v, floor)."""
+    t = pa.Table.from_batches(rows).combine_chunks()
+    ids, scales, floors = (t.column(i).to_numpy() for i in (0, 1, 3))
+    lists = t.column(2).combine_chunks()
+    widths = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors have widths {', '.join(map(str, widths))}")
+    return ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) * scales.astype(np.float64)[:, None], floors
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield held
+            held = []
+    if sum(b.num_rows for b in held):
+        yield held
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary())
+
+
+def _list(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays([0, len(x)], pa.array(x, kind))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """Rows (id, scale, v) in blocks of near ones, and these in groups: ids, sizes of the blocks, and all v times their
+    scale, centres and radii as 64-bit numbers. Written."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -88,37 +121,50 @@ def _blocks(rows: DataFrame, name: str, block: int = BLOCK, near: bool = True) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "cell"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            ids, scales, floors = (t.column(i).to_numpy() for i in (0, 1, 3))
-            lists = t.column(2).combine_chunks()
-            widths = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
-            if len(widths) > 1:
-                raise ValueError(f"vectors have widths {', '.join(map(str, widths))}")
-            v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) * scales.astype(np.float64)[:, None]
-            for own in halves(v, block):
-                x = v[own]
-                flat = pa.array(x.ravel(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[own].tolist()], pa.list_(pa.int64())), pa.array([floors[own].tolist()], pa.list_(pa.float64())), pa.ListArray.from_arrays([0, len(flat)], flat), pa.array([x.mean(axis=0).tolist()], pa.list_(pa.float64())), pa.array([radius_of(x)])], schema=PACKED)
+        def out(blocks: list[np.ndarray]) -> pa.RecordBatch:
+            x = [v[own] for own in blocks]
+            lists = [_list(ids[np.concatenate(blocks)], pa.int64()), _list(np.array([len(own) for own in blocks]), pa.int32())]
+            return pa.RecordBatch.from_arrays([*lists, _bytes(np.concatenate(x)), _bytes(np.array([y.mean(axis=0) for y in x])), _bytes(np.array([radius_of(y) for y in x]))], ["ids", "sizes", "flat", "centres", "radii"])
+
+        for held in _held(batches):
+            ids, v, _ = _numbers(held)
+            group: list[np.ndarray] = []
+            for own in halves(v, BLOCK):
+                group.append(own)
+                if sum(map(len, group)) * v.shape[1] >= GROUP:
+                    yield out(group)
+                    group = []
+            if group:
+                yield out(group)
+
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, TASKS)
+    wide = rows.select("id", "scale", "v", F.lit(-np.inf).alias("floor"))
+    dealt = wide.mapInArrow(cells, f"id long, scale float, v {dict(rows.dtypes)['v']}, floor double, cell int")
+    # ranges, so that cells which share their first signs lie together, and a large cell has several
+    near = dealt.repartitionByRange(n, "cell", "id").sortWithinPartitions("cell", "id").select("id", "scale", "v", "floor")
+    return settle(near.mapInArrow(pack, "ids array<long>, sizes array<int>, flat binary, centres binary, radii binary"), "vector-groups")
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """Queries (id, scale, v, floor) in blocks where they lie: q_ids, q_floors, q_flat. Written."""
 
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= HELD:
-                yield from out()
-        if sum(b.num_rows for b in held):
-            yield from out()
-
-    floor = F.col("floor") if "floor" in rows.columns else F.lit(-np.inf)
-    rows = rows.select("id", "scale", "v", floor.alias("floor"))
-    if near:
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.mapInArrow(cells, f"id long, scale float, v {dict(rows.dtypes)['v']}, floor double, cell int")
-        # ranges, so that cells which share their first signs lie together, and a large cell has several
-        rows = dealt.repartitionByRange(n, "cell", "id").sortWithinPartitions("cell", "id").select("id", "scale", "v", "floor")
-    return rows.mapInArrow(pack, PACKED_DDL).select(*[F.col(c).alias(f"{name}_{c}") for c in PACKED.names])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            ids, v, floors = _numbers(held)
+            step = max(1, min(QUERIES, ASKED // max(1, v.shape[1])))
+            for at in range(0, len(ids), step):
+                yield pa.RecordBatch.from_arrays([_list(ids[at : at + step], pa.int64()), _list(floors[at : at + step], pa.float64()), _bytes(v[at : at + step])], ["q_ids", "q_floors", "q_flat"])
+
+    return settle(rows.select("id", "scale", "v", "floor").mapInArrow(pack, "q_ids array<long>, q_floors array<double>, q_flat binary"), "query-vectors")
+
+
+def _matrix(cell: pa.Scalar, rows: int) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.float64).reshape(rows, -1)
+
+
+def _checked(q: np.ndarray, x: np.ndarray) -> None:
+    if x.shape[1] != q.shape[1]:
+        raise ValueError(f"queries have width {q.shape[1]}, vectors {x.shape[1]}")
 
 
 class Best:
@@ -127,26 +173,49 @@ class Best:
     def __init__(self, ids: np.ndarray, floors: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, q, k
         self.lengths = np.sqrt((q**2).sum(axis=1))
-        self.found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]  # places of queries, ids, scores
+        self.size = 0
         self.least = floors - SLACK  # what the k-th score can't be below
 
-    def bounds(self, centre: np.ndarray, radius: float) -> np.ndarray:
-        return self.q @ centre + radius * self.lengths + SLACK * (1 + self.lengths)
-
-    def add(self, open_: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        for i, row in zip(open_, self.q[open_] @ x.T, strict=True):
-            at = np.flatnonzero(np.round(row, 9) >= self.least[i])
-            if not len(at):
-                continue
-            all_ids, exact = np.concatenate([self.found[i][0], ids[at]]), np.concatenate([self.found[i][1], row[at]])
-            near = np.round(exact, 9)
-            if len(near) > 4 * self.k:  # only what reaches the k-th is put in order
-                cut = np.flatnonzero(near >= np.partition(near, len(near) - self.k)[len(near) - self.k])
-                all_ids, exact, near = all_ids[cut], exact[cut], near[cut]
-            best = np.lexsort((all_ids, -near))[: self.k]
-            self.found[i] = all_ids[best], exact[best]
-            if len(best) == self.k:
-                self.least[i] = max(self.least[i], near[best[-1]])
+    def open(self, centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the most that a query can reach in a block, whether that may be enough)."""
+        bounds = self.q @ centres.T + self.lengths[:, None] * radii + SLACK * (1 + self.lengths)[:, None]
+        return bounds, bounds >= self.least[:, None]
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        score = (self.q if len(queries) == len(self.q) else self.q[queries]) @ x.T
+        # a score that rounds to least is in
+        reached = score >= self.least[queries, None] - SLACK
+        full = np.flatnonzero(reached.sum(axis=1) > 4 * self.k)
+        if len(full):  # only what reaches the k-th of these is kept
+            kth = np.partition(score[full], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            self.least[queries[full]] = np.maximum(self.least[queries[full]], np.round(kth, 9))
+            reached[full] = score[full] >= self.least[queries[full], None] - SLACK
+            for i in full[reached[full].sum(axis=1) > 4 * self.k]:  # many equal scores
+                equal = np.flatnonzero(reached[i])
+                reached[i] = False
+                reached[i, equal[np.lexsort((ids[equal], -np.round(score[i, equal], 9)))[: self.k]]] = True
+        at = np.flatnonzero(reached)
+        self.held.append((queries[at // len(ids)], ids[at % len(ids)], score.ravel()[at]))
+        self.size += len(at)
+        if self.size >= max(KEPT, 2 * self.k * len(self.ids)):
+            self.cut()
+
+    def cut(self) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        near = np.round(score, 9)
+        order = np.lexsort((ids, -near, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        last = order[place == self.k - 1]
+        self.least[query[last]] = np.maximum(self.least[query[last]], near[last])
+        order = order[place < self.k]
+        self.held, self.size = [(query[order], ids[order], score[order])], len(order)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, ids, scores)"""
+        self.cut()
+        query, ids, score = self.held[0]
+        return self.ids[query], ids, score
 
 
 def _task(k: int, batches: Iterator[pa.RecordBatch]) -> tuple[list[Best], int, int]:
@@ -156,65 +225,80 @@ def _task(k: int, batches: Iterator[pa.RecordBatch]) -> tuple[list[Best], int, i
     for batch in batches:
         due = []
         for r in range(batch.num_rows):
-            ids, _, flat, centre, radius, q_ids, floors, q_flat, _, _ = (c[r] for c in batch.columns)
+            ids, sizes, flat, centres, radii, q_ids, floors, q_flat = (c[r] for c in batch.columns)
             q_ids = q_ids.values.to_numpy(zero_copy_only=False)
             name = (int(q_ids[0]), int(q_ids[-1]), len(q_ids), hash(q_ids.tobytes()))
             if name not in known:
-                known[name] = Best(q_ids, floors.values.to_numpy(zero_copy_only=False), q_flat.values.to_numpy(zero_copy_only=False).reshape(len(q_ids), -1), k)
-            best, n = known[name], len(ids.values)
-            x = flat.values.to_numpy(zero_copy_only=False).reshape(n, -1)
-            if x.shape[1] != best.q.shape[1]:
-                raise ValueError(f"queries have width {best.q.shape[1]}, vectors {x.shape[1]}")
-            bounds = best.bounds(centre.values.to_numpy(zero_copy_only=False), radius.as_py())
-            due.append((float(bounds.max()), best, bounds, ids.values.to_numpy(zero_copy_only=False), x))
-        for _, best, bounds, ids, x in sorted(due, key=lambda d: -d[0]):
-            open_ = np.flatnonzero(bounds >= best.least)
-            met, scored = met + len(bounds), scored + len(open_)
-            if len(open_):
-                best.add(open_, ids, x)
+                known[name] = Best(q_ids.copy(), floors.values.to_numpy(zero_copy_only=False), _matrix(q_flat, len(q_ids)).copy(), k)
+            best, sizes = known[name], sizes.values.to_numpy(zero_copy_only=False)
+            x, centres = _matrix(flat, len(ids.values)), _matrix(centres, len(sizes))
+            _checked(best.q, x)
+            radii = np.frombuffer(radii.as_buffer(), np.float64)
+            bounds, _ = best.open(centres, radii)
+            due.append((float(bounds.max()), best, bounds, ids.values.to_numpy(zero_copy_only=False), sizes, x))
+        for _, best, bounds, ids, sizes, x in sorted(due, key=lambda d: -d[0]):
+            met += bounds.size
+            open_ = bounds >= best.least[:, None]
+            if open_.mean() > MOST:
+                queries, blocks = np.flatnonzero(open_.any(axis=1)), open_.any(axis=0)
+                scored += len(queries) * int(blocks.sum())
+                if blocks.all():
+                    best.add(queries, ids, x)
+                else:
+                    rows = np.repeat(blocks, sizes)
+                    best.add(queries, ids[rows], x[rows])
+                continue
+            ends = np.cumsum(sizes)
+            for j in np.argsort(-bounds.max(axis=0), kind="stable"):
+                queries = np.flatnonzero(bounds[:, j] >= best.least)
+                scored += len(queries)
+                if len(queries):
+                    best.add(queries, ids[ends[j] - sizes[j] : ends[j]], x[ends[j] - sizes[j] : ends[j]])
     return list(known.values()), met, scored
 
 
-def _floors(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _floors(groups: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(id, floor): a score that a query's k-th is not below. All vectors of a block score at least what its centre
     does, less radius times the query's length; the best blocks with k vectors give the floor. Only centres are read."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[bytes, list[int]] = {}
+            same: dict[bytes, list[int]] = {}
             for r in range(batch.num_rows):
-                groups.setdefault(batch.column(3)[r].values.to_numpy(zero_copy_only=False).tobytes(), []).append(r)
-            for rows in groups.values():
+                same.setdefault(batch.column(4)[r].as_py(), []).append(r)
+            for rows in same.values():
                 q_ids = batch.column(3)[rows[0]].values.to_numpy(zero_copy_only=False)
-                q = batch.column(4)[rows[0]].values.to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
-                sizes = batch.column(0).take(pa.array(rows)).to_numpy()
-                centres = np.array(batch.column(1).take(pa.array(rows)).to_pylist())
-                if centres.shape[1] != q.shape[1]:
-                    raise ValueError(f"queries have width {q.shape[1]}, vectors {centres.shape[1]}")
-                low = q @ centres.T - np.sqrt((q**2).sum(axis=1))[:, None] * batch.column(2).take(pa.array(rows)).to_numpy()
-                for query, row in zip(q_ids, low, strict=True):
-                    best = np.argsort(-row, kind="stable")
-                    best = best[: np.searchsorted(np.cumsum(sizes[best]), k) + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query), pa.int64()), pa.array(row[best]), pa.array(sizes[best], pa.int64())], ["id", "low", "n"])
-
-    met = blocks.select(F.size("v_ids").alias("n"), "v_centre", "v_radius").crossJoin(queries.select("q_ids", "q_flat"))  # of blocks
+                q = _matrix(batch.column(4)[rows[0]], len(q_ids))
+                sizes = [batch.column(0)[r].values.to_numpy(zero_copy_only=False) for r in rows]
+                centres = np.concatenate([_matrix(batch.column(1)[r], len(n)) for r, n in zip(rows, sizes, strict=True)])
+                _checked(q, centres)
+                radii = np.concatenate([np.frombuffer(batch.column(2)[r].as_buffer(), np.float64) for r in rows])
+                low = q @ centres.T - np.sqrt((q**2).sum(axis=1))[:, None] * radii
+                order = np.argsort(-low, axis=1, kind="stable")
+                n = np.concatenate(sizes)[order]
+                # as many as hold k
+                query, place = np.nonzero(np.cumsum(n, axis=1) - n < k)
+                at = order[query, place]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query], pa.int64()), pa.array(low[query, at]), pa.array(n[query, place], pa.int64())], ["id", "low", "n"])
+
+    met = groups.select("sizes", "centres", "radii").crossJoin(queries.select("q_ids", "q_flat"))  # of groups
     low = met.mapInArrow(least, "id long, low double, n long")
     upto = F.sum("n").over(Window.partitionBy("id").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, 0))
     return low.withColumn("upto", upto).groupBy("id").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("low"))), F.lit(-np.inf)).alias("floor"))
 
 
 def _pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    blocks = _blocks(vectors, "v")
-    floors = _floors(blocks, _blocks(queries, "q", near=False), k)
+    groups = _groups(vectors)
+    none = F.lit(-np.inf)
+    floors = _floors(groups, _asked(queries.withColumn("floor", none)), k)
     # queries of one id share the lower floor
-    return blocks.crossJoin(_blocks(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-np.inf))), "q", near=False))  # of blocks
+    return groups.crossJoin(_asked(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))))  # of groups
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for best in _task(k, batches)[0]:
-            sizes = [len(f[0]) for f in best.found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes), pa.int64()), pa.array(np.concatenate([f[0] for f in best.found]), pa.int64()), pa.array(np.concatenate([f[1] for f in best.found]))], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best.rows(), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "score"])
 
     found = _pairs(vectors, queries, k).mapInArrow(score, "query_id long, id long, score double")
     return ranked(found, k, ties=("id",)).select("query_id", "id", "score", "rank")

@@ -53,3 +53,22 @@ def test_fewer_vectors_than_asked_for_and_none(spark):
     vectors, queries = frames(spark, clustered(7, 2, 0.1), 3)
     assert dense.search_int8(vectors, queries, 30).count() == 21
     assert dense.search_int8(vectors.limit(0), queries, 30).count() == 0 == dense.search_int8(vectors, queries.limit(0), 30).count()
+
+
+def test_blocks_meet_in_groups(spark):
+    """What goes to the tasks is a row for a group of blocks and a block of queries, not one for every block."""
+    vectors, queries = frames(spark, np.random.default_rng(3).normal(size=(40000, 8)), 20)
+    groups = max(dense.TASKS, spark.sparkContext.defaultParallelism)
+    pairs = dense._pairs(*dense._units(vectors, queries), 10)
+    assert pairs.count() <= groups * queries.rdd.getNumPartitions() < 40000 / dense.BLOCK
+    met, scored = dense.pairs_scored(vectors, queries, 10).first()
+    assert 0 < scored <= met
+
+
+def test_equal_scores_go_by_id_in_groups(spark):
+    v = np.concatenate([np.tile([[1.0, 2.0, 2.0]], (9000, 1)), clustered(1000, 5, 0.1)[:, :3]])
+    vectors, queries = frames(spark, v, 1000)
+    got = {}
+    for r in dense.search_float(vectors, queries, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == plain(v, 1000, 10)
