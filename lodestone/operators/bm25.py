@@ -101,25 +101,55 @@ def scored(found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     return ranked(sums, k).select("query_id", "id", "score", "rank")
 
 
-def sweep_tokenized(listed: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES, tokens: Tokens = T.tokens) -> DataFrame:
-    """(k1, b, query_id, id, score, rank) for each pair of parameters, over listed (id, tokens): postings are made once
-    for all, and scored in blocks. Ties as in `scored`."""
+def counted(docs: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
+    """Docs (id, text), read, cut and counted once: the rows that searches take."""
+    if tokens not in (T.tokens, T.plain_tokens):
+        return lists.counted(docs.select("id", tokens(F.col("text")).alias("tokens")))
+    return _two(docs, ("full" if tokens is T.tokens else "plain",))
+
+
+def two_counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of the full and of the plain tokenizer, which share what is equal."""
+    counts = _two(docs, ("full", "plain"))
+    return lists.of_list(counts, "full"), lists.of_list(counts, "plain")
+
+
+def _two(docs: DataFrame, only: tuple[str, ...]) -> DataFrame:
+    marked = docs.select("id", "text", F.coalesce(F.col("text").rlike(T.ODD), F.lit(False)).alias("odd"))
+    plain, full = T.lines(F.col("text"), F.col("odd"))
+    columns = [plain.alias("plain"), *([full.alias("full")] if "full" in only else [])]
+    return lists.counted(marked.select("id", *columns), ("plain",), only)
+
+
+def sweep_counted(counts: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES, tokens: Tokens = T.tokens) -> DataFrame:
+    """(k1, b, query_id, id, score, rank) for each pair of parameters, over `lists.counted`'s rows of one column: postings
+    are made once for all, and scored in blocks. Ties as in `scored`."""
     blocks = lists.query_blocks(query_terms(queries, tokens))
-    held = lists.postings(listed, blocks)
-    size, n = F.size("tokens").cast("long"), F.count("*")
-    stats = listed.select(size.alias("len")).agg(n.alias("n"), F.coalesce(F.sum("len") / F.nullif(n, F.lit(0)), F.lit(0.0)).cast("double").alias("avgdl"))
+    held = lists.postings_of(counts, blocks)
+    n, total = F.sum(F.size("ids")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))
+    stats = counts.agg(F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0)).cast("double").alias("avgdl"))
     pairs = [(float(x), float(y)) for x, y in params]
     found = lists.hits(held, lists.weighted(blocks, held, stats, idf(F.col("n"), F.col("df"))), pairs, k)
     return ranked(found, k, ("k1", "b", "query_id")).select("k1", "b", "query_id", "id", "score", "rank")
 
 
+def search_counted(counts: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score, rank) over the same rows, which several searches share."""
+    return sweep_counted(counts, queries, [(k1, b)], k, tokens).select("query_id", "id", "score", "rank")
+
+
+def sweep_tokenized(listed: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES, tokens: Tokens = T.tokens) -> DataFrame:
+    """`sweep_counted` over listed (id, tokens)."""
+    return sweep_counted(lists.counted(listed.select("id", "tokens")), queries, params, k, tokens)
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank) over documents (id, text), which are tokenized on the way."""
-    return search_tokenized(tokenized(docs, tokens=tokens), queries, k, tokens, k1, b)
+    return search_counted(counted(docs, tokens), queries, k, tokens, k1, b)
 
 
 def search_tokenized(listed: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """The same over listed (id, tokens), which several searches share."""
+    """The same over listed (id, tokens)."""
     return sweep_tokenized(listed, queries, [(k1, b)], k, tokens).select("query_id", "id", "score", "rank")
 
 
@@ -130,7 +160,7 @@ def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int
 
 def sweep(docs: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:
     """(k1, b, query_id, id, score, rank) for each pair of parameters: postings are made once for all."""
-    return sweep_tokenized(tokenized(docs), queries, params, k)
+    return sweep_counted(counted(docs), queries, params, k)
 
 
 def explain(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

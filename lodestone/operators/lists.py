@@ -1,10 +1,11 @@
 """First hits of batches of queries over tokenized documents, in blocks: no pair of a document and a query is ever a row.
 
-Queries come together in blocks, with the list of their different terms. Documents go by each block of queries once, in
-blocks too, and leave the numbers of the terms that they hold, with counts. These lie by document, counted again where
-rows share an id, and give the terms' frequencies. A task then sums the scores of a block of documents for a block of
-queries in arrays of fixed size, and keeps each query's best k; what leaves a task is k rows a query, however many
-documents it has.
+Documents are counted once, in blocks: the different words of a block, and for each document the numbers of its words with
+their counts. Lists of tokens that are equal for most documents share these. Queries come together in blocks, too, with the
+list of their different terms; of a block of documents, only its different words are looked up there. What is found lies
+by document, counted again where rows share an id, and gives the terms' frequencies. A task then sums the scores of a
+block of documents for a block of queries in arrays of fixed size, and keeps each query's best k; what leaves a task is k
+rows a query, however many documents it has.
 """
 
 from __future__ import annotations
@@ -60,18 +61,75 @@ def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _document_blocks(listed: DataFrame) -> DataFrame:
-    """(ids, lens, tokens) of listed (id, tokens): rows that lie together as one."""
-    kind = dict(listed.dtypes)["id"]
+#: ASCII but letters and digits as blanks.
+BLANKED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def _cut_up(lines: pa.Array, raw: bool) -> tuple[np.ndarray, pa.Array]:
+    """(how many tokens each line has, all tokens) of lists of tokens, or of texts with blanks between tokens; where they
+    are raw, other ASCII characters than letters and digits are blanks."""
+    if pa.types.is_list(lines.type):
+        return pc.fill_null(lines.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64), lines.flatten()
+    lines = pc.fill_null(lines, "")
+    if raw and len(lines):
+        wide = pa.types.is_large_string(lines.type)
+        at = np.frombuffer(lines.buffers()[1], np.int64 if wide else np.int32)[lines.offset : lines.offset + len(lines) + 1]
+        held = lines.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if at[-1] > at[0] else b""
+        lines = type(lines).from_buffers(len(lines), pa.py_buffer(at - at[0]), pa.py_buffer(held.translate(BLANKED)))
+    parts = pc.split_pattern(lines, " ")
+    tokens = parts.flatten()
+    some = pc.greater(pc.binary_length(tokens), 0)
+    ends = _ends(some.to_numpy(zero_copy_only=False))[_ends(parts.value_lengths().to_numpy(zero_copy_only=False))]
+    return np.diff(ends), tokens.filter(some)
+
+
+def _int32(x: np.ndarray) -> pa.Array:
+    return pa.array([x.astype(np.int32).tobytes()], pa.binary())
+
+
+def counted(listed: DataFrame, raw: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> DataFrame:
+    """(lists, ids, lens, words, sizes, term, tf) of listed (id, and columns of tokens, as lists or as texts with blanks
+    between tokens, in those of raw also other ASCII characters than letters and digits): for documents that lie together
+    their different words, and for each the numbers of its words with counts, as 32-bit numbers; lists names the columns
+    that this holds for. Where a column after the first is null, it is as the first. only: columns that are counted, if
+    not all. Written."""
+    kind, names = dict(listed.dtypes)["id"], [c for c in listed.columns if c != "id"]
+    only = only or tuple(names)
+
+    def block(of: list[str], ids: pa.Array, lens: np.ndarray, tokens: pa.Array) -> pa.RecordBatch:
+        coded = tokens.dictionary_encode("encode")
+        n = max(1, len(coded.dictionary))
+        keys, tf = np.unique(np.repeat(np.arange(len(lens)), lens) * n + coded.indices.to_numpy(), return_counts=True)
+        doc = keys // n
+        lists = [pa.array(of, pa.string()), ids, pa.array(lens, pa.int64()), coded.dictionary]
+        return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays([0, len(x)], x) for x in lists), _int32(np.bincount(doc, minlength=len(lens))), _int32(keys - doc * n), _int32(tf)], ["lists", "ids", "lens", "words", "sizes", "term", "tf"])
+
+    def blocks(name: str, of: list[str], ids: pa.Array, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        if of and len(ids):
+            lens, tokens = _cut_up(lines, name in raw)
+            ends = _ends(lens)
+            for a, b in _cuts(lens):
+                yield block(of, ids[a:b], lens[a:b], tokens[ends[a] : ends[b]])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(batch.column(1).value_lengths(), 0).cast(pa.int64())
-            for a, b in _cuts(sizes.to_numpy(zero_copy_only=False)):
-                lists = [batch.column(0)[a:b], sizes[a:b], batch.column(1)[a:b].flatten()]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in lists], ["ids", "lens", "tokens"])
+            # rows by which columns are as the first
+            own = [pc.is_valid(batch.column(i)).to_numpy(zero_copy_only=False) for i in range(2, len(names) + 1)]
+            which = sum((x.astype(np.int64) << i for i, x in enumerate(own)), np.zeros(batch.num_rows, np.int64))
+            for w in np.unique(which):
+                part = batch if len(own) == 0 else batch.filter(pa.array(which == w))
+                apart = [name for i, name in enumerate(names[1:]) if w >> i & 1]
+                yield from blocks(names[0], [c for c in only if c not in apart], part.column(0), part.column(1))
+                for name in apart:
+                    yield from blocks(name, [c for c in only if c == name], part.column(0), part.column(1 + names.index(name)))
 
-    return listed.select("id", "tokens").mapInArrow(pack, f"ids array<{kind}>, lens array<long>, tokens array<string>")
+    packed = listed.select("id", *names).mapInArrow(pack, f"lists array<string>, ids array<{kind}>, lens array<long>, words array<string>, sizes binary, term binary, tf binary")
+    return settle(packed, "counted")
+
+
+def of_list(counts: DataFrame, name: str) -> DataFrame:
+    """Of `counted`'s rows, those of one column."""
+    return counts.where(F.array_contains("lists", name))
 
 
 def _counted(doc: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,20 +145,24 @@ def _counted(doc: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray
 def postings(listed: DataFrame, blocks: DataFrame) -> DataFrame:
     """(block, ids, doc, len, term, tf): for blocks of documents, the postings of a block's terms; doc is a place in ids,
     term a number in the vocabulary. Rows of listed (id, tokens) with one id are one document. Written."""
-    kind = dict(listed.dtypes)["id"]
+    return postings_of(counted(listed.select("id", "tokens")), blocks)
+
+
+def postings_of(counts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The same from `counted`'s rows of one column."""
+    kind = dict(counts.dtypes)["ids"][6:-1]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                block, ids, lens, tokens, vocabulary = (c[r] for c in batch.columns)
-                lens, n = lens.values.to_numpy(zero_copy_only=False), len(vocabulary.values)
-                found = pc.fill_null(pc.index_in(tokens.values, value_set=vocabulary.values), -1).to_numpy(zero_copy_only=False)
+                block, ids, lens, words, sizes, term, tf, vocabulary = (c[r] for c in batch.columns)
+                sizes, term, tf = (np.frombuffer(x.as_buffer(), np.int32) for x in (sizes, term, tf))
+                known = pc.fill_null(pc.index_in(words.values, value_set=vocabulary.values), -1).to_numpy(zero_copy_only=False)
+                found = known[term]
                 at = np.flatnonzero(found >= 0)
-                keys, tf = np.unique(np.repeat(np.arange(len(lens)), lens)[at] * n + found[at], return_counts=True)
-                doc = keys // n if n else keys
-                ends = pa.array(np.searchsorted(doc, np.arange(len(lens) + 1)), pa.int32())
-                terms = pa.ListArray.from_arrays(ends, pa.array(keys - doc * n, pa.int32()))
-                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(lens), block.as_py()), pa.int64()), ids.values, pa.array(lens, pa.int64()), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], ["block", "id", "len", "term", "tf"])
+                ends = pa.array(np.searchsorted(np.repeat(np.arange(len(sizes)), sizes)[at], np.arange(len(sizes) + 1)), pa.int32())
+                terms = pa.ListArray.from_arrays(ends, pa.array(found[at], pa.int32()))
+                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), block.as_py()), pa.int64()), ids.values, lens.values, terms, pa.ListArray.from_arrays(ends, pa.array(tf[at], pa.int64()))], ["block", "id", "len", "term", "tf"])
                 yield out.filter(pc.greater(terms.value_lengths(), 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +199,7 @@ def postings(listed: DataFrame, blocks: DataFrame) -> DataFrame:
         if held is not None:
             yield out(own, ids, held)
 
-    met = _document_blocks(listed).crossJoin(blocks.select("block", "vocabulary")).select("block", "ids", "lens", "tokens", "vocabulary")  # of blocks
+    met = counts.crossJoin(blocks.select("block", "vocabulary")).select("block", "ids", "lens", "words", "sizes", "term", "tf", "vocabulary")  # of blocks
     found = met.mapInArrow(find, f"block long, id {kind}, len long, term array<int>, tf array<long>")
     dealt = found.repartition("id").sortWithinPartitions("block", "id")
     return settle(dealt.mapInArrow(pack, f"block long, ids array<{kind}>, doc array<int>, len array<long>, term array<int>, tf array<long>"), "postings")

@@ -181,8 +181,8 @@ def cosine_calibration(spark, sf_dir):
 def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Of the full and of the plain tokenizer: the texts are read and cut once for both."""
     own = asked(spark, sf_dir)
-    listed = bm25.tokenized(docs(spark, sf_dir), full=T.tokens, plain=T.plain_tokens)
-    return tuple(settle(bm25.search_tokenized(listed.select("id", F.col(name).alias("tokens")), own, tokens=f), name) for name, f in (("full", T.tokens), ("plain", T.plain_tokens)))
+    full, plain = bm25.two_counted(docs(spark, sf_dir))
+    return tuple(settle(bm25.search_counted(counts, own, tokens=f), name) for counts, name, f in ((full, "full", T.tokens), (plain, "plain", T.plain_tokens)))
 
 
 _TWO = f"WITH {sql.bm25()}, {sql.bm25(sql.plain_tokens, name='2')}, l AS (SELECT 'full' AS retriever, * FROM r UNION ALL SELECT 'plain', * FROM r2)"
@@ -313,9 +313,9 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of every variant, named group:variant. The texts are cut once, and the full tokenizer's postings serve
     all parameters."""
     own = asked(spark, sf_dir)
-    listed = bm25.tokenized(docs(spark, sf_dir), full=T.tokens, plain=T.plain_tokens)
-    plain = settle(bm25.search_tokenized(listed.select("id", F.col("plain").alias("tokens")), own, tokens=T.plain_tokens), "plain")
-    swept = settle(bm25.sweep_tokenized(listed.select("id", F.col("full").alias("tokens")), own, PARAMS), "swept")
+    full, plain = bm25.two_counted(docs(spark, sf_dir))
+    plain = settle(bm25.search_counted(plain, own, tokens=T.plain_tokens), "plain")
+    swept = settle(bm25.sweep_counted(full, own, PARAMS), "swept")
     full = swept.where("k1 = 1.2 AND b = 0.75")
     fused_by = fuse.sweep(fuse.union({"full": full, "plain": plain}), RRF_KS)
     columns = ("query_id", "id", "score", "rank")
@@ -397,8 +397,7 @@ SELECT r.query_id, count(rh.id) / 10.0::DOUBLE AS shared FROM r LEFT JOIN rh ON
 def header_ablation(spark, sf_dir):
     """How much of the first ten stays when headings are indexed with the text."""
     both = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", T.document_text(F.array("lang", "source"), F.col("text")).alias("headed"))
-    listed = settle(both.select("id", T.tokens(F.col("text")).alias("text"), T.tokens(F.col("headed")).alias("headed")), "tokens")
-    a, b = (settle(bm25.search_tokenized(listed.select("id", F.col(c).alias("tokens")), asked(spark, sf_dir), 10), c) for c in ("text", "headed"))
+    a, b = (settle(bm25.search(both.select("id", F.col(c).alias("text")), asked(spark, sf_dir), 10), c) for c in ("text", "headed"))
     return a.groupBy("query_id").agg(F.count("*").alias("n")).join(dense.agreement(a, b), "query_id", "left").select("query_id", F.coalesce("shared", F.lit(0.0)).alias("shared"))
 
 

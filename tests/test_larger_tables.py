@@ -1,11 +1,14 @@
 """What only larger tables showed: references that were cut, and work that grew faster than its input."""
 
 import random
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import bm25, html, lists
 from lodestone.plans import registry
 
@@ -47,6 +50,25 @@ def test_lists_in_blocks_are_those_of_single_rows(spark):
     assert listed(swept.where("k1 = 0.6")) == listed(bm25.scored(bm25.matches(docs, queries), 10, 0.6, 1.0))
 
 
+ODD_TEXTS = ["", None, "Plain words, e.g. these: 12 of 3", "foo-bar a_b 1.2.3 x.y", "camelCase HTTPServer", "Ünï Çödé ÀÉ Žluť", "a\u00d7b c\u00f7d \u00bfqu\u00e9? \u00aa\u00b5\u00ba", "e\u0301te\u0301 “quoted” – dash…", "\u0130stanbul i", "ΣΑΣ ςσ", " \t lead\ntrail \r\n", "日本語 テスト１２ ½ ²", "\u00a0nbsp\u00a0x\x7fy\x00z", "ſtraße ŉ ĸ ǅ", "한국 \U0001d400\U0001f600 ok"]
+
+
+def test_documents_are_counted_as_their_tokens(spark):
+    """Texts go out whole and are counted in blocks; what both tokenizers share is held once."""
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS * 3)), "id long, text string").repartition(3)
+    for counts, tokens in zip(bm25.two_counted(docs), (T.tokens, T.plain_tokens), strict=True):
+        want = {r[0]: (len(r[1]), dict(Counter(r[1]))) for r in docs.select("id", tokens(F.col("text"))).collect()}
+        for again in (counts, bm25.counted(docs, tokens)):
+            got = {}
+            for r in again.collect():
+                sizes, term, tf = (np.frombuffer(r[c], np.int32) for c in ("sizes", "term", "tf"))
+                for i, (a, b) in enumerate(zip(ends := np.concatenate([[0], np.cumsum(sizes)]), ends[1:], strict=False)):
+                    got[r["ids"][i]] = (r["lens"][i], {r["words"][t]: int(n) for t, n in zip(term[a:b], tf[a:b], strict=True)})
+            assert got == want
+    shared = docs.select("id", F.lit("a b a").alias("plain"), F.when(F.col("id") % 10 == 0, "c").alias("full"))
+    assert lists.counted(shared, ("plain",)).where("size(lists) = 2").select(F.explode("ids")).count() == shared.where("full IS NULL").count()
+
+
 def test_what_leaves_a_task_does_not_grow_with_documents(spark):
     docs = spark.range(6000).select("id", F.concat(F.lit("common word"), F.col("id") % 7).alias("text"))
     queries = spark.createDataFrame([(i, f"common word{i}") for i in range(20)], "query_id long, text string")
