@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,24 +102,32 @@ def scored(found: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     return ranked(sums, k).select("query_id", "id", "score", "rank")
 
 
-def counted(docs: DataFrame, tokens: Tokens = T.tokens) -> DataFrame:
-    """Docs (id, text), read, cut and counted once: the rows that searches take."""
+def counted(docs: DataFrame, tokens: Tokens = T.tokens, terms: DataFrame | None = None) -> DataFrame:
+    """Docs (id, text), read, cut and counted once: the rows that searches take. terms: those of all queries that will
+    come; other words are then counted in lengths only."""
+    asked = lists.asked_words(terms) if terms is not None else None
     if tokens not in (T.tokens, T.plain_tokens):
-        return lists.counted(docs.select("id", tokens(F.col("text")).alias("tokens")))
-    return _two(docs, ("full" if tokens is T.tokens else "plain",))
+        return lists.counted(docs.select("id", tokens(F.col("text")).alias("tokens")), asked=asked)
+    return _two(docs, ("full" if tokens is T.tokens else "plain",), asked)
 
 
-def two_counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def two_counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The same of the full and of the plain tokenizer, which share what is equal."""
-    counts = _two(docs, ("full", "plain"))
+    counts = _two(docs, ("full", "plain"), lists.asked_words(terms) if terms is not None else None)
     return lists.of_list(counts, "full"), lists.of_list(counts, "plain")
 
 
-def _two(docs: DataFrame, only: tuple[str, ...]) -> DataFrame:
-    marked = docs.select("id", "text", F.coalesce(F.col("text").rlike(T.ODD), F.lit(False)).alias("odd"))
+def two_terms(queries: DataFrame) -> DataFrame:
+    """(term) of queries, by either tokenizer."""
+    return query_terms(queries).select("term").union(query_terms(queries, T.plain_tokens).select("term"))
+
+
+def _two(docs: DataFrame, only: tuple[str, ...], asked: Broadcast | None) -> DataFrame:
+    simple, others = lists.counted_texts(docs, only, asked)
+    marked = others.select("id", "text", F.col("text").rlike(T.ODD).alias("odd"))
     plain, full = T.lines(F.col("text"), F.col("odd"))
     columns = [plain.alias("plain"), *([full.alias("full")] if "full" in only else [])]
-    return lists.counted(marked.select("id", *columns), ("plain",), only)
+    return simple.unionByName(lists.counted(marked.select("id", *columns), ("plain",), only, asked))
 
 
 def sweep_counted(counts: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES, tokens: Tokens = T.tokens) -> DataFrame:
@@ -145,7 +154,7 @@ def sweep_tokenized(listed: DataFrame, queries: DataFrame, params: list[tuple[fl
 
 def search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank) over documents (id, text), which are tokenized on the way."""
-    return search_counted(counted(docs, tokens), queries, k, tokens, k1, b)
+    return search_counted(counted(docs, tokens, query_terms(queries, tokens)), queries, k, tokens, k1, b)
 
 
 def search_tokenized(listed: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens: Tokens = T.tokens, k1: float = K1, b: float = B) -> DataFrame:
@@ -160,7 +169,7 @@ def search_index(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int
 
 def sweep(docs: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES) -> DataFrame:
     """(k1, b, query_id, id, score, rank) for each pair of parameters: postings are made once for all."""
-    return sweep_counted(counted(docs), queries, params, k)
+    return sweep_counted(counted(docs, terms=query_terms(queries)), queries, params, k)
 
 
 def explain(docs: DataFrame, queries: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

@@ -181,7 +181,7 @@ def cosine_calibration(spark, sf_dir):
 def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Of the full and of the plain tokenizer: the texts are read and cut once for both."""
     own = asked(spark, sf_dir)
-    full, plain = bm25.two_counted(docs(spark, sf_dir))
+    full, plain = bm25.two_counted(docs(spark, sf_dir), bm25.two_terms(own))
     return tuple(settle(bm25.search_counted(counts, own, tokens=f), name) for counts, name, f in ((full, "full", T.tokens), (plain, "plain", T.plain_tokens)))
 
 
@@ -313,7 +313,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of every variant, named group:variant. The texts are cut once, and the full tokenizer's postings serve
     all parameters."""
     own = asked(spark, sf_dir)
-    full, plain = bm25.two_counted(docs(spark, sf_dir))
+    full, plain = bm25.two_counted(docs(spark, sf_dir), bm25.two_terms(own))
     plain = settle(bm25.search_counted(plain, own, tokens=T.plain_tokens), "plain")
     swept = settle(bm25.sweep_counted(full, own, PARAMS), "swept")
     full = swept.where("k1 = 1.2 AND b = 0.75")
