@@ -130,15 +130,19 @@ def _two(docs: DataFrame, only: tuple[str, ...], asked: Broadcast | None) -> Dat
     return simple.unionByName(lists.counted(marked.select("id", *columns), ("plain",), only, asked))
 
 
+def counted_statistics(counts: DataFrame) -> DataFrame:
+    """The one row of statistics."""
+    n, total = F.sum(F.size("ids")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))
+    return counts.agg(F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0)).cast("double").alias("avgdl"))
+
+
 def sweep_counted(counts: DataFrame, queries: DataFrame, params: list[tuple[float, float]], k: int = CANDIDATES, tokens: Tokens = T.tokens) -> DataFrame:
     """(k1, b, query_id, id, score, rank) for each pair of parameters, over `lists.counted`'s rows of one column: postings
     are made once for all, and scored in blocks. Ties as in `scored`."""
     blocks = lists.query_blocks(query_terms(queries, tokens))
     held = lists.postings_of(counts, blocks)
-    n, total = F.sum(F.size("ids")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))
-    stats = counts.agg(F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0)).cast("double").alias("avgdl"))
     pairs = [(float(x), float(y)) for x, y in params]
-    found = lists.hits(held, lists.weighted(blocks, held, stats, idf(F.col("n"), F.col("df"))), pairs, k)
+    found = lists.hits(held, lists.weighted(blocks, held, counted_statistics(counts), idf(F.col("n"), F.col("df"))), pairs, k)
     return ranked(found, k, ("k1", "b", "query_id")).select("k1", "b", "query_id", "id", "score", "rank")
 
 

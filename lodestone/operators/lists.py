@@ -304,6 +304,11 @@ def postings(listed: DataFrame, blocks: DataFrame) -> DataFrame:
     return postings_of(counted(listed.select("id", "tokens")), blocks)
 
 
+def ids_repeat(counts: DataFrame) -> bool:
+    """Whether a document lies in more than one place."""
+    return not counts.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def postings_of(counts: DataFrame, blocks: DataFrame) -> DataFrame:
     """The same from `counted`'s rows of one column."""
     kind = dict(counts.dtypes)["ids"][6:-1]
@@ -365,7 +370,7 @@ def postings_of(counts: DataFrame, blocks: DataFrame) -> DataFrame:
 
     met = counts.crossJoin(blocks.select("block", "vocabulary")).select("block", "ids", "lens", "words", "sizes", "term", "tf", "vocabulary")  # of blocks
     schema = f"block long, ids array<{kind}>, doc binary, len binary, term array<int>, tf binary"
-    if counts.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not ids_repeat(counts):
         return settle(met.mapInArrow(whole, schema), "postings")  # every document lies whole
     found = met.mapInArrow(find, f"block long, id {kind}, len long, term array<int>, tf array<long>")
     dealt = found.repartition("id").sortWithinPartitions("block", "id")
@@ -386,7 +391,12 @@ def frequencies(posted: DataFrame) -> DataFrame:
 
 def weighted(blocks: DataFrame, posted: DataFrame, stats: DataFrame, idf: Column) -> DataFrame:
     """blocks with the weight of each of their terms that documents hold: idf is an expression over n and df. Written."""
-    known = frequencies(posted).crossJoin(F.broadcast(stats.select("n", "avgdl"))).select("block", "term", idf.alias("idf"), "avgdl")  # one row
+    return weights(blocks, frequencies(posted), stats, idf)
+
+
+def weights(blocks: DataFrame, often: DataFrame, stats: DataFrame, idf: Column) -> DataFrame:
+    """The same from the terms' frequencies (block, term, df)."""
+    known = often.crossJoin(F.broadcast(stats.select("n", "avgdl"))).select("block", "term", idf.alias("idf"), "avgdl")  # one row
     listed = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("w"), F.first("avgdl").alias("avgdl"))  # of a block's vocabulary
     return settle(blocks.join(listed, "block").select("block", "queries", "sizes", "numbers", "places", F.size("vocabulary").alias("n_terms"), F.col("w.term").alias("known"), F.col("w.idf").alias("idf"), "avgdl"), "weights")
 
@@ -437,8 +447,9 @@ class Block:
         self.avgdl, self.n = row["avgdl"].as_py(), len(own["sizes"])
         self.best = [Best(row["queries"].values, k) for _ in params]
 
-    def score(self, ids: pa.Array, doc: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray, params: list[tuple[float, float]]) -> None:
-        """doc is in order; a part of the documents is scored at once."""
+    def score(self, ids: pa.Array, doc: np.ndarray, size: np.ndarray, term: np.ndarray, tf: np.ndarray, params: list[tuple[float, float]], open_in: np.ndarray | None = None, width: int = 1) -> None:
+        """doc is in order; a part of the documents is scored at once. open_in: for each query and each `width` documents,
+        whether they are scored, if not all are."""
         upto = _ends(self.count[term])
         a = 0
         while a < len(doc):
@@ -448,6 +459,9 @@ class Block:
             n, base = self.count[term[a:b]], int(doc[a])
             row = np.repeat(np.arange(b - a), n)
             entry = np.arange(len(row)) - np.repeat(upto[a:b] - upto[a], n) + np.repeat(self.start[term[a:b]], n)
+            if open_in is not None:
+                stays = open_in[self.query[entry], doc[a:b][row] // width]
+                row, entry = row[stays], entry[stays]
             key = (doc[a:b][row] - base) * self.n + self.query[entry]
             cells = (int(doc[b - 1]) - base + 1) * self.n
             for (k1, bb), best in zip(params, self.best, strict=True):
@@ -462,6 +476,13 @@ class Block:
                     best.add(cell % self.n, ids.take(pa.array(cell // self.n + base)), total[cell], first[cell])
             a = b
 
+    def rows(self, params: list[tuple[float, float]]) -> Iterator[pa.RecordBatch]:
+        """(k1, b, query_id, id, score, first) of what was best."""
+        for (k1, b), best in zip(params, self.best, strict=True):
+            if best.held:
+                t = best.rows()
+                yield from pa.table({"k1": np.full(len(t), k1), "b": np.full(len(t), b), "query_id": best.queries.take(t["query"].combine_chunks()), "id": t["id"], "score": t["score"], "first": t["first"]}).to_batches()
+
 
 def hits(posted: DataFrame, blocks: DataFrame, params: list[tuple[float, float]], k: int) -> DataFrame:
     """(k1, b, query_id, id, score, first): k rows at most for each task, query and pair of parameters; every query's
@@ -480,10 +501,7 @@ def hits(posted: DataFrame, blocks: DataFrame, params: list[tuple[float, float]]
                 doc, size, tf = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("doc", "len", "tf"))
                 met[at].score(row["ids"].values, doc, size, row["term"].values.to_numpy(zero_copy_only=False), tf, params)
         for block in met.values():
-            for (k1, b), best in zip(params, block.best, strict=True):
-                if best.held:
-                    t = best.rows()
-                    yield from pa.table({"k1": np.full(len(t), k1), "b": np.full(len(t), b), "query_id": best.queries.take(t["query"].combine_chunks()), "id": t["id"], "score": t["score"], "first": t["first"]}).to_batches()
+            yield from block.rows(params)
 
     kinds = dict(posted.dtypes)["ids"][6:-1], dict(blocks.dtypes)["queries"][6:-1]
     wide = posted.join(blocks, "block").select(*columns, *own)

@@ -82,11 +82,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {sql.bm25()} SELECT query_id, id, round(score, 6) AS score, rank FROM r")
 def bm25_blocks_topk(spark, sf_dir):
     """Over an index of blocks that is written first: blocks that can't reach a query's first 30 are skipped."""
-    posted = settle(bm25.postings(docs(spark, sf_dir)), "postings")
-    lengths = posted.groupBy("id").agg(F.first("len").alias("len"))
-    n = docs(spark, sf_dir).agg(F.count("*").alias("n"))  # documents without any token have no posting
-    stats = settle(lengths.agg(F.sum("len").alias("total")).crossJoin(n).select("n", F.coalesce(F.col("total") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl")), "stats")
-    return shown(blockmax.search(settle(blockmax.build(posted, stats), "blocks"), stats, asked(spark, sf_dir)))
+    return shown(blockmax.search_documents(docs(spark, sf_dir), asked(spark, sf_dir)))
 
 
 @query(f"WITH {sql.bm25(sql.plain_tokens)} SELECT query_id, id, round(score, 6) AS score, rank FROM r")
