@@ -11,28 +11,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import settle
+from . import lists
 
 #: Words of a shingle; bits of the table, whatever the input.
 WIDTH, CELLS = 8, 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_keys(text: bytes, width: int) -> np.ndarray:
-    """Hashes of all runs of `width` words, as signed integers."""
-    words = text.split()
-    if len(words) < width:
-        return np.zeros(0, np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    n, out = len(words) - width + 1, np.zeros(len(words) - width + 1, np.uint64)
+#: White space as blanks.
+BLANKED = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
+
+
+def shingle_keys(lines: pa.Array, width: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): hashes of the different runs of `width` words of each text, as signed integers; those in the table if
+    there is one. No text is null."""
+    held, at = lists.held_bytes(lines)
+    held = np.frombuffer(held.tobytes().translate(BLANKED), np.uint8)
+    word = held != 32
+    border = np.zeros(len(held) + 1, bool)
+    border[at] = True
+    first = np.flatnonzero(word & (border[:-1] | np.concatenate([[True], ~word[:-1]])[: len(word)]))
+    # the words' bytes without what is between them
+    begin = np.concatenate([np.cumsum(word)[first] - 1, [word.sum()]]).astype(np.int64)
+    h = lists.hashes(held[word], begin)
+    row = np.searchsorted(at, first, "right") - 1
+    n = max(0, len(h) - width + 1)
+    keys = np.zeros(n, np.uint64)
     for i in range(width):
-        out = out * PRIME + h[i : i + n]
-    return (out ^ (out >> np.uint64(29))).view(np.int64)
+        keys = keys * PRIME + h[i : i + n]
+    keys = (keys ^ (keys >> np.uint64(29))).view(np.int64)
+    stays = row[:n] == row[len(row) - n :]
+    if table is not None:
+        stays &= table[keys & (CELLS - 1)]
+    row, keys = row[:n][stays], keys[stays]
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])[: len(row)]
+    return row[new], keys[new]
 
 
 def _keys(rows: DataFrame, name: str, width: int, table: np.ndarray | None = None) -> DataFrame:
@@ -42,16 +63,14 @@ def _keys(rows: DataFrame, name: str, width: int, table: np.ndarray | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
-            for i, text in enumerate(batch.column(1)):
-                keys = shingle_keys((text.as_py() or "").encode("utf-8", "surrogatepass"), width)
-                if shared is not None:
-                    keys = keys[shared.value[keys & (CELLS - 1)]]
-                keys = np.unique(keys)
-                at.append(np.full(len(keys), i, np.int32))
-                found.append(keys)
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], [name, "key"])
+            names, lines = batch.column(0), pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(lines):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + lists.BYTES)))
+                at, keys = shingle_keys(lines[first:last], width, shared and shared.value)
+                yield pa.RecordBatch.from_arrays([names[first:last].take(pa.array(at)), pa.array(keys)], [name, "key"])
+                first = last
 
     return rows.select(name, F.col("text").cast("string")).mapInArrow(run, f"{name} {kind}, key long")
 

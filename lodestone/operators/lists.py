@@ -143,16 +143,25 @@ def _compound(lines: pa.Array) -> tuple[np.ndarray, pa.Array]:
 FACTORS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def _cells(words: pa.Array) -> np.ndarray:
-    """The place of each word in a table of CELLS bits."""
-    wide = pa.types.is_large_string(words.type)
-    at = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    held = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
-    at = at - at[0]
+def hashes(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits for each word, of all words' bytes and where each begins, with the end."""
     place = np.arange(len(held)) - np.repeat(at[:-1], np.diff(at))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((held + np.uint64(1)) * FACTORS[place & 255])])
     h = sums[at[1:]] - sums[at[:-1]]
-    return (((h ^ (h >> np.uint64(29))) * FACTORS[1]) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+    return (h ^ (h >> np.uint64(29))) * FACTORS[1]
+
+
+def held_bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of texts, where each begins, with the end); no text is null."""
+    wide = pa.types.is_large_string(lines.type)
+    at = np.frombuffer(lines.buffers()[1], np.int64 if wide else np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    held = np.frombuffer(lines.buffers()[2], np.uint8)[at[0] : at[-1]] if len(at) and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return held, at - at[0] if len(at) else np.zeros(1, np.int64)
+
+
+def _cells(words: pa.Array) -> np.ndarray:
+    """The place of each word in a table of CELLS bits."""
+    return (hashes(*held_bytes(words)) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
 def asked_words(terms: DataFrame) -> Broadcast:
