@@ -137,7 +137,7 @@ def pack(counts: DataFrame, stats: DataFrame, block: int = BLOCK, k1: float = K1
                 yield pa.RecordBatch.from_arrays([listed[0], pa.array([size.astype(np.int32).tobytes()], pa.binary()), listed[1], *binary], ["ids", "lens", "words", "heads", "blocks", "peaks", "held", "docs", "tfs"])
 
     rows = counts.select("ids", "lens", "words", "sizes", "term", "tf").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
-    return settle(rows.mapInArrow(run, f"ids array<{kind}>, lens binary, words array<string>, heads binary, blocks binary, peaks binary, held binary, docs binary, tfs binary"), "packed")
+    return settle(rows.mapInArrow(run, f"ids array<{kind}>, lens binary, words array<string>, heads binary, blocks binary, peaks binary, held binary, docs binary, tfs binary"), "packed", heavy=True)
 
 
 def _numbers(words: pa.Scalar, vocabulary: pa.Scalar) -> np.ndarray:

@@ -253,7 +253,7 @@ def counted(listed: DataFrame, raw: tuple[str, ...] = (), only: tuple[str, ...]
                 for name in apart:
                     yield from blocks(name, [c for c in only if c == name], part.column(0), part.column(1 + names.index(name)))
 
-    return settle(listed.select("id", *names).mapInArrow(pack, _counted_schema(kind)), "counted")
+    return settle(listed.select("id", *names).mapInArrow(pack, _counted_schema(kind)), "counted", heavy=True)
 
 
 def counted_texts(docs: DataFrame, of: tuple[str, ...], asked: Broadcast | None = None) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +287,7 @@ def counted_texts(docs: DataFrame, of: tuple[str, ...], asked: Broadcast | None
                     yield pa.RecordBatch.from_arrays([*nulls, own.filter(pa.array(odd)), part.filter(pa.array(odd))], [*COUNTED, "id", "text"])
                 first = last
 
-    both = settle(docs.select("id", "text").mapInArrow(pack, f"{_counted_schema(kind)}, id {kind}, text string"), "counted")
+    both = settle(docs.select("id", "text").mapInArrow(pack, f"{_counted_schema(kind)}, id {kind}, text string"), "counted", heavy=True)
     return both.where("text IS NULL").select(*COUNTED), both.where("text IS NOT NULL").select("id", "text")
 
 
@@ -380,10 +380,10 @@ def postings_of(counts: DataFrame, blocks: DataFrame) -> DataFrame:
     met = counts.crossJoin(blocks.select("block", "vocabulary")).select("block", "ids", "lens", "words", "sizes", "term", "tf", "vocabulary")  # of blocks
     schema = f"block long, ids array<{kind}>, doc binary, len binary, term array<int>, tf binary"
     if not ids_repeat(counts):
-        return settle(met.mapInArrow(whole, schema), "postings")  # every document lies whole
+        return settle(met.mapInArrow(whole, schema), "postings", heavy=True)  # every document lies whole
     found = met.mapInArrow(find, f"block long, id {kind}, len long, term array<int>, tf array<long>")
     dealt = found.repartition("id").sortWithinPartitions("block", "id")
-    return settle(dealt.mapInArrow(pack, schema), "postings")
+    return settle(dealt.mapInArrow(pack, schema), "postings", heavy=True)
 
 
 def frequencies(posted: DataFrame) -> DataFrame:

@@ -42,11 +42,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: what is lost with an executor is reread, not recomputed."""
+#: For rows of up to some megabytes: a reader holds up to 4,096 rows of a row group at once, so groups are cut by size, which
+#: is looked at every few rows.
+HEAVY = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64"}
+
+
+def settle(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: what is lost with an executor is reread, not recomputed. heavy:
+    whether rows are large, as those that hold many documents are."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(HEAVY if heavy else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
