@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.scratch import settle
+from ..sources.scratch import settle, small_batches
 from .bm25 import CANDIDATES, ranked
 
-#: Rows of a block at most, rows that a task cuts into blocks at once, signs that name a cell, and tasks that vectors are
-#: dealt to (or as many as there are cores, if these are more): k rows a query leave each of them.
-BLOCK, HELD, SIGNS, TASKS = 256, 1 << 15, 12, 24
+#: Rows of a block at most, numbers that a task cuts into blocks at once (of vectors of any width, as it holds several
+#: copies of them in 64 bits), signs that name a cell, and tasks that vectors are dealt to (or as many as there are cores, if
+#: these are more): k rows a query leave each of them.
+BLOCK, HELD, SIGNS, TASKS = 256, 1 << 21, 12, 24
 #: Numbers of a group of blocks, about; numbers and rows of a block of queries at most; rows found before they are cut to
 #: each query's best; part of pairs of a query and a block from which a group is scored as one.
 GROUP, ASKED, QUERIES, KEPT, MOST = 1 << 18, 1 << 16, 1024, 1 << 16, 0.5
@@ -76,30 +77,40 @@ def halves(v: np.ndarray, most: int) -> Iterator[np.ndarray]:
             yield from narrowed(v, own)
 
 
-def _numbers(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, all v times their scale, floors) of rows (id, scale, v, floor)."""
+def _numbers(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, v as they are, scales, floors) of rows (id, scale, v, floor)."""
     t = pa.Table.from_batches(rows).combine_chunks()
     ids, scales, floors = (t.column(i).to_numpy() for i in (0, 1, 3))
     lists = t.column(2).combine_chunks()
     widths = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
     if len(widths) > 1:
         raise ValueError(f"vectors have widths {', '.join(map(str, widths))}")
-    return ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) * scales.astype(np.float64)[:, None], floors
+    return ids, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), scales, floors
+
+
+def _scaled(v: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """In 64 bits."""
+    return np.multiply(v, scales.astype(np.float64)[:, None], dtype=np.float64)
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of batches, cut to HELD numbers at most where a vector has no more."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= HELD:
-            yield held
-            held = []
-    if sum(b.num_rows for b in held):
+        most, at = max(1, HELD * batch.num_rows // max(1, len(batch.column(2).flatten()))), 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, max(1, most - rows)))
+            at, rows = at + held[-1].num_rows, rows + held[-1].num_rows
+            if rows >= most:
+                yield held
+                held, rows = [], 0
+    if rows:
         yield held
 
 
 def _bytes(x: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(x, np.float64).tobytes()], pa.binary())
+    return pa.array([x.tobytes()], pa.binary())
 
 
 def _list(x: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -107,8 +118,8 @@ def _list(x: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """Rows (id, scale, v) in blocks of near ones, and these in groups: ids, sizes of the blocks, and all v times their
-    scale, centres and radii as 64-bit numbers. Written."""
+    """Rows (id, scale, v) in blocks of near ones, and these in groups: ids, sizes of the blocks, all v as they are, their
+    scales, and centres and radii as 64-bit numbers. Written."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -122,12 +133,14 @@ def _groups(rows: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(blocks: list[np.ndarray]) -> pa.RecordBatch:
-            x = [v[own] for own in blocks]
-            lists = [_list(ids[np.concatenate(blocks)], pa.int64()), _list(np.array([len(own) for own in blocks]), pa.int32())]
-            return pa.RecordBatch.from_arrays([*lists, _bytes(np.concatenate(x)), _bytes(np.array([y.mean(axis=0) for y in x])), _bytes(np.array([radius_of(y) for y in x]))], ["ids", "sizes", "flat", "centres", "radii"])
+            rows = np.concatenate(blocks)
+            lists = [_list(ids[rows], pa.int64()), _list(np.array([len(own) for own in blocks]), pa.int32())]
+            centres, radii = np.array([v[own].mean(axis=0) for own in blocks]), np.array([radius_of(v[own]) for own in blocks])
+            return pa.RecordBatch.from_arrays([*lists, *map(_bytes, (raw[rows], scales[rows], centres, radii))], ["ids", "sizes", "flat", "scales", "centres", "radii"])
 
         for held in _held(batches):
-            ids, v, _ = _numbers(held)
+            ids, raw, scales, _ = _numbers(held)
+            v = _scaled(raw, scales)
             group: list[np.ndarray] = []
             for own in halves(v, BLOCK):
                 group.append(own)
@@ -142,7 +155,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     dealt = wide.mapInArrow(cells, f"id long, scale float, v {dict(rows.dtypes)['v']}, floor double, cell int")
     # ranges, so that cells which share their first signs lie together, and a large cell has several
     near = dealt.repartitionByRange(n, "cell", "id").sortWithinPartitions("cell", "id").select("id", "scale", "v", "floor")
-    return settle(near.mapInArrow(pack, "ids array<long>, sizes array<int>, flat binary, centres binary, radii binary"), "vector-groups")
+    return settle(near.mapInArrow(pack, "ids array<long>, sizes array<int>, flat binary, scales binary, centres binary, radii binary"), "vector-groups", heavy=True)
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -150,21 +163,29 @@ def _asked(rows: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
-            ids, v, floors = _numbers(held)
-            step = max(1, min(QUERIES, ASKED // max(1, v.shape[1])))
+            ids, raw, scales, floors = _numbers(held)
+            step = max(1, min(QUERIES, ASKED // max(1, raw.shape[1])))
             for at in range(0, len(ids), step):
-                yield pa.RecordBatch.from_arrays([_list(ids[at : at + step], pa.int64()), _list(floors[at : at + step], pa.float64()), _bytes(v[at : at + step])], ["q_ids", "q_floors", "q_flat"])
+                own = slice(at, at + step)
+                yield pa.RecordBatch.from_arrays([_list(ids[own], pa.int64()), _list(floors[own], pa.float64()), _bytes(_scaled(raw[own], scales[own]))], ["q_ids", "q_floors", "q_flat"])
 
-    return settle(rows.select("id", "scale", "v", "floor").mapInArrow(pack, "q_ids array<long>, q_floors array<double>, q_flat binary"), "query-vectors")
+    return settle(rows.select("id", "scale", "v", "floor").mapInArrow(pack, "q_ids array<long>, q_floors array<double>, q_flat binary"), "query-vectors", heavy=True)
 
 
 def _matrix(cell: pa.Scalar, rows: int) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), np.float64).reshape(rows, -1)
 
 
-def _checked(q: np.ndarray, x: np.ndarray) -> None:
-    if x.shape[1] != q.shape[1]:
-        raise ValueError(f"queries have width {q.shape[1]}, vectors {x.shape[1]}")
+def _vectors(flat: pa.Scalar, scales: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(v as they are, scales) of a group."""
+    flat, scales = flat.as_buffer(), np.frombuffer(scales.as_buffer(), np.float32)
+    kind = {1: np.int8, 4: np.float32}.get(len(flat) // max(1, len(scales) * width), np.float64)
+    return np.frombuffer(flat, kind).reshape(len(scales), width), scales
+
+
+def _checked(q: np.ndarray, centres: np.ndarray) -> None:
+    if centres.shape[1] != q.shape[1]:
+        raise ValueError(f"queries have width {q.shape[1]}, vectors {centres.shape[1]}")
 
 
 class Best:
@@ -225,35 +246,38 @@ def _task(k: int, batches: Iterator[pa.RecordBatch]) -> tuple[list[Best], int, i
     for batch in batches:
         due = []
         for r in range(batch.num_rows):
-            ids, sizes, flat, centres, radii, q_ids, floors, q_flat = (c[r] for c in batch.columns)
+            ids, sizes, flat, scales, centres, radii, q_ids, floors, q_flat = (c[r] for c in batch.columns)
             q_ids = q_ids.values.to_numpy(zero_copy_only=False)
             name = (int(q_ids[0]), int(q_ids[-1]), len(q_ids), hash(q_ids.tobytes()))
             if name not in known:
                 known[name] = Best(q_ids.copy(), floors.values.to_numpy(zero_copy_only=False), _matrix(q_flat, len(q_ids)).copy(), k)
             best, sizes = known[name], sizes.values.to_numpy(zero_copy_only=False)
-            x, centres = _matrix(flat, len(ids.values)), _matrix(centres, len(sizes))
-            _checked(best.q, x)
+            centres = _matrix(centres, len(sizes))
+            _checked(best.q, centres)
             radii = np.frombuffer(radii.as_buffer(), np.float64)
             bounds, _ = best.open(centres, radii)
-            due.append((float(bounds.max()), best, bounds, ids.values.to_numpy(zero_copy_only=False), sizes, x))
-        for _, best, bounds, ids, sizes, x in sorted(due, key=lambda d: -d[0]):
+            due.append((float(bounds.max()), best, bounds, ids.values.to_numpy(zero_copy_only=False), sizes, *_vectors(flat, scales, centres.shape[1])))
+        for _, best, bounds, ids, sizes, raw, scales in sorted(due, key=lambda d: -d[0]):
             met += bounds.size
             open_ = bounds >= best.least[:, None]
             if open_.mean() > MOST:
                 queries, blocks = np.flatnonzero(open_.any(axis=1)), open_.any(axis=0)
                 scored += len(queries) * int(blocks.sum())
                 if blocks.all():
-                    best.add(queries, ids, x)
+                    best.add(queries, ids, _scaled(raw, scales))
                 else:
                     rows = np.repeat(blocks, sizes)
-                    best.add(queries, ids[rows], x[rows])
+                    best.add(queries, ids[rows], _scaled(raw[rows], scales[rows]))
                 continue
             ends = np.cumsum(sizes)
             for j in np.argsort(-bounds.max(axis=0), kind="stable"):
                 queries = np.flatnonzero(bounds[:, j] >= best.least)
                 scored += len(queries)
                 if len(queries):
-                    best.add(queries, ids[ends[j] - sizes[j] : ends[j]], x[ends[j] - sizes[j] : ends[j]])
+                    own = slice(ends[j] - sizes[j], ends[j])
+                    best.add(queries, ids[own], _scaled(raw[own], scales[own]))
+        # else they stay while the next rows are read
+        batch = due = ids = raw = scales = None
     return list(known.values()), met, scored
 
 
@@ -288,20 +312,27 @@ def _floors(groups: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    groups = _groups(vectors)
+    return _met(_groups(vectors), queries, k)
+
+
+def _met(groups: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     none = F.lit(-np.inf)
     floors = _floors(groups, _asked(queries.withColumn("floor", none)), k)
     # queries of one id share the lower floor
-    return groups.crossJoin(_asked(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))))  # of groups
+    with small_batches(groups.sparkSession):
+        own = _asked(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none)))
+    return groups.crossJoin(own)  # of groups
 
 
-def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _search(groups: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for best in _task(k, batches)[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best.rows(), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "score"])
 
-    found = _pairs(vectors, queries, k).mapInArrow(score, "query_id long, id long, score double")
-    return ranked(found, k, ties=("id",)).select("query_id", "id", "score", "rank")
+    found = _met(groups, queries, k).mapInArrow(score, "query_id long, id long, score double")
+    # written here, as a pair of a group and a block of queries is a row of up to some megabytes
+    with small_batches(groups.sparkSession):
+        return settle(ranked(found, k, ties=("id",)).select("query_id", "id", "score", "rank"), "ranks")
 
 
 def pairs_scored(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -315,21 +346,36 @@ def pairs_scored(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
     return counted.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
 
 
+def _unit(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.col(name).alias("id"), F.lit(1.0).cast("float").alias("scale"), V.l2_normalize(F.col("embedding")).alias("v"))
+
+
 def _units(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    one = F.lit(1.0).cast("float").alias("scale")
-    return tuple(x.select(F.col(c).alias("id"), one, V.l2_normalize(F.col("embedding")).alias("v")) for x, c in ((vectors, "id"), (queries, "query_id")))
+    return _unit(vectors, "id"), _unit(queries, "query_id")
+
+
+def index_int8(vectors: DataFrame) -> DataFrame:
+    """The codes of vectors (id, embedding) in groups, which any number of searches may read. What makes the vectors runs
+    once, as codes are written before they are dealt out, which takes reading them twice."""
+    coded = vectors.select("id", V.quantize(F.col("embedding")).alias("c")).select("id", "c.scale", F.col("c.codes").alias("v"))
+    return _groups(settle(coded, "codes"))
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """search_int8 over index_int8's groups."""
+    return _search(index, _unit(queries, "query_id"), k)
 
 
 def search_int8(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, id, score, rank): unit queries against codes, times the scale. vectors (id, embedding), queries
     (query_id, embedding)."""
-    coded = vectors.select("id", V.quantize(F.col("embedding")).alias("c")).select("id", "c.scale", F.col("c.codes").alias("v"))
-    return _search(coded, queries.select(F.col("query_id").alias("id"), F.lit(1.0).cast("float").alias("scale"), V.l2_normalize(F.col("embedding")).alias("v")), k)
+    return search_index(index_int8(vectors), queries, k)
 
 
 def search_float(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The same without codes: the exact baseline."""
-    return _search(*_units(vectors, queries), k)
+    vectors, queries = _units(vectors, queries)
+    return _search(_groups(vectors), queries, k)
 
 
 def agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:

@@ -25,6 +25,8 @@ QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 # What a request may hold.
 CAPS = {"query": 512, "candidates": 30, "sources": 8, "pairs": 12, "sentence": 1000, "chunk": 2400, "documents": 100}
 RETRIES = 6
+#: Words that the stand-in encoder remembers from text to text, about.
+KNOWN = 1 << 16
 
 
 class Encoder(Protocol):
@@ -56,11 +58,16 @@ class HashEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
+        known: dict[str, int] = {}  # places of words: those that add, and after these those that take away
         for text in texts:
-            v = np.zeros(self.dims)
-            for word in text.lower().split():
+            words = text.lower().split()
+            if len(known) > KNOWN:
+                known = {}
+            for word in set(words).difference(known):
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % self.dims] += 1.0 if h >> 63 else -1.0
+                known[word] = h % self.dims + (0 if h >> 63 else self.dims)
+            n_at = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=2 * self.dims)
+            v = (n_at[: self.dims] - n_at[self.dims :]).astype(np.float64)
             n = np.sqrt((v**2).sum())
             out.append((v / n if n else v).astype(np.float32))
         return out

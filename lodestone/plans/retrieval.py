@@ -435,7 +435,7 @@ def embedding_ledger(spark, sf_dir):
 def query_prefix_ablation(spark, sf_dir):
     """How much of the first ten stays when queries are embedded with their instruction, with the stand-in encoder."""
     encoder = providers.HashEncoder()
-    vectors_ = providers.embed(docs(spark, sf_dir), encoder)
+    index = dense.index_int8(providers.embed(docs(spark, sf_dir), encoder))
     plain = asked(spark, sf_dir).withColumnRenamed("query_id", "id")
-    found = [dense.search_int8(vectors_, providers.embed(q, encoder).withColumnRenamed("id", "query_id"), 10) for q in (plain, plain.withColumn("text", providers.query_text(F.col("text"))))]
-    return dense.agreement(*found)
+    both = (settle(providers.embed(q, encoder), "asked").withColumnRenamed("id", "query_id") for q in (plain, plain.withColumn("text", providers.query_text(F.col("text")))))
+    return dense.agreement(*[dense.search_index(index, q, 10) for q in both])

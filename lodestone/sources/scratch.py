@@ -47,6 +47,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 HEAVY = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64"}
 
 
+#: Of what goes to a Python worker at once. Spark's own is 64 MB, which a task holds several times over.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends Python workers BATCH_BYTES at once, unless the session says less. Results don't depend on it."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before), BATCH_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def settle(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     """df, written to the shared folder and read again: what is lost with an executor is reread, not recomputed. heavy:
     whether rows are large, as those that hold many documents are."""
